@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvane.llm import simhash
+from corvane.llm import mixing, quality_lines, simhash
 from corvane.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -23,3 +23,20 @@ def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession
 def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint, component and number of links of every document."""
     return simhash.simhash_groups(table(spark, sf_dir, "documents"))
+
+
+@query
+def op7_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Figures and verdict of every document."""
+    return quality_lines.judge_documents(table(spark, sf_dir, "documents")).drop("failed_lines")
+
+
+@query
+def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often the mix takes every document, in words, beside its source's size and target."""
+    plan = mixing.mix_plan(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+    taken = F.col("__size") * F.size("__draws")
+    return plan.select("doc_id", F.col("__size").alias("size"), F.col("__source_size").alias("source_size"), F.col("__target").alias("target"), taken.cast("long").alias("taken"))
+
+
+ORACLES["op8_source_mixing"] = mixing.ORACLE_SQL
