@@ -29,7 +29,7 @@ PROSE = "The river ran past the old mill and turned to the south, where nobody h
 
 
 def prose(n):
-    return "\n".join(PROSE.format(f" of year {i}") for i in range(n))
+    return "\n".join(" ".join(f"w{i}x{j}" for j in range(14)) + "." for i in range(n))
 
 
 def test_rules():
@@ -53,7 +53,7 @@ def test_verdicts():
     assert not q.judge("\n".join(["Home | News | Sport | Weather | Money"] * 20))[6]
     half = prose(8) + "\n" + "\n".join(f"menu item number {i}" for i in range(8))
     assert q.judge(half)[6] and "menu" not in q.cleaned(half)
-    mostly = prose(3) + "\n" + "\n".join(f"menu item number {i} of a long list" for i in range(40))
+    mostly = prose(3) + "\n" + "\n".join(f"menu{i} item{i} number{i} of{i}" for i in range(40))
     assert not q.judge(mostly)[5] and not q.judge(mostly)[6]
 
 
