@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvane.llm import mixing, quality_lines, simhash, toxicity, url_filter
+from corvane.llm import mixing, quality_lines, simhash, token_counts, token_files, toxicity, url_filter
 from corvane.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -58,3 +58,27 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = toxicity.fit(documents, table(spark, sf_dir, "labels"))
     scored = toxicity.score_documents(documents, model)
     return scored.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted", F.to_json("evidence").alias("evidence"))
+
+
+def tokenizer_file(name: str) -> str:
+    """The text of a public tokenizer's vocabulary file, read once on the driver."""
+    import public_tokenizers
+
+    with open(public_tokenizers.path(name), encoding="utf-8") as f:
+        return f.read()
+
+
+@query
+def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's place, length and checksum, read back from the token files written of all of them."""
+    path = token_files.write(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"))
+    return token_files.read(spark, path).select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
+@query
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's token count, scanned from flat files of ids that end in the vocabulary's free id."""
+    import public_tokenizers
+
+    documents = table(spark, sf_dir, "documents")
+    return token_counts.count_tokens(documents, tokenizer_file("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, 50256)
