@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvane.llm import mixing, quality_lines, simhash, token_counts, token_files, toxicity, url_filter
+from corvane.llm import mixing, quality_lines, simhash, spotsigs, token_counts, token_files, toxicity, url_filter
 from corvane.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -82,3 +82,9 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     documents = table(spark, sf_dir, "documents")
     return token_counts.count_tokens(documents, tokenizer_file("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, 50256)
+
+
+@query
+def op10_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's fingerprint, beside its edited text's and the next document's."""
+    return spotsigs.compare_with_next(table(spark, sf_dir, "documents"))
