@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 import math
-import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -18,21 +18,30 @@ from corvane.llm.common import cut, texts
 #: Labelled rows that the index is built from, at most: those with the least keyed hash of their id. This bounds index, broadcast and driver.
 MAX_EXAMPLES = 8000
 #: Terms of the vocabulary, at most: those whose presence tells most about the label (chi-square), of enough examples.
-MAX_TERMS, MIN_CHI2, MIN_TOXIC_DOCS, MIN_CLEAN_DOCS = 2048, 11.0, 5, 25
+MAX_TERMS, MIN_CHI2, MIN_TOXIC_DOCS, MIN_CLEAN_DOCS = 1024, 11.0, 5, 25
 #: Beside whole words, their first characters are terms, which inflected forms share.
 PREFIXES = (4, 5, 6, 7)
 NEIGHBOURS, BLOCK = 25, 64
+#: Blocks that a search meets before it has a floor; dot products below TINY are none.
+FIRST_BLOCKS, TINY = 12, 1e-12
 #: A vote weighs 1 / (distance + SOFT); PRIOR_VOTES stand for the base rate.
 SOFT, PRIOR_VOTES = 0.05, 0.5
 #: How strongly calibration holds to leaving shares as they are.
 PULL = 5.0
 EVIDENCE = 3
 MAX_CACHED_WORDS = 500_000
-WORDS = re.compile(r"[^\W\d_]+")
+#: ASCII letters are lower-cased and other ASCII characters part words; the rest of Unicode stands in words.
+TABLE = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 97 <= c <= 122 else 32 for c in range(256))
 
 
-def terms_of(word: str) -> list[str]:
-    return [word, *(word[:n] + "*" for n in PREFIXES if len(word) > n)]
+def words_of(text: str) -> list[bytes]:
+    return text.encode().translate(TABLE).split()
+
+
+def terms_of(word: bytes) -> list[str]:
+    """A word's terms, lower-cased: itself and its first characters."""
+    whole = word.decode().lower()
+    return [whole, *(whole[:n] + "*" for n in PREFIXES if len(whole) > n)]
 
 
 class Vocabulary(dict):
@@ -42,7 +51,7 @@ class Vocabulary(dict):
         super().__init__()
         self.number = number
 
-    def __missing__(self, word: str) -> tuple[int, ...]:
+    def __missing__(self, word: bytes) -> tuple[int, ...]:
         if len(self) > MAX_CACHED_WORDS:
             self.clear()
         found = self[word] = tuple(self.number[t] for t in terms_of(word) if t in self.number)
@@ -50,15 +59,11 @@ class Vocabulary(dict):
 
     def counts(self, text: str) -> tuple[tuple[int, int], ...]:
         """(term, count) of a whole text, sorted; the last number is that of all words without a term, counted together."""
-        found: Counter[int] = Counter()
-        other = 0
-        for numbers in map(self.__getitem__, WORDS.findall(text.lower())):
-            if numbers:
-                found.update(numbers)
-            else:
-                other += 1
-        if other:
-            found[len(self.number)] = other
+        words = words_of(text)
+        hits = list(filter(None, map(self.__getitem__, words)))
+        found = Counter(chain.from_iterable(hits))
+        if len(words) > len(hits):
+            found[len(self.number)] = len(words) - len(hits)
         return tuple(sorted(found.items()))
 
 
@@ -66,8 +71,8 @@ class Vocabulary(dict):
 class Index:
     """Examples in blocks of BLOCK; for each (term, block) its postings and the largest weight among them."""
 
-    starts: np.ndarray  # [term, block] into slots and weights, one column more than blocks
-    slots: np.ndarray
+    starts: np.ndarray  # [term, block] into places and weights, one column more than blocks
+    places: np.ndarray
     weights: np.ndarray
     largest: np.ndarray  # [term, block]
     labels: np.ndarray
@@ -78,9 +83,9 @@ class Index:
         """Examples with the same heaviest terms are laid side by side, so that few blocks have large bounds."""
         order = sorted(range(len(vectors)), key=lambda i: (tuple(vectors[i][0][np.argsort(-vectors[i][1], kind="stable")][:4].tolist()), i))
         n_blocks = max(1, -(-len(order) // BLOCK))
-        rows = [(t, at // BLOCK, at % BLOCK, w) for at, i in enumerate(order) for t, w in zip(*(x.tolist() for x in vectors[i]), strict=True)]
+        rows = [(t, at // BLOCK, at, w) for at, i in enumerate(order) for t, w in zip(*(x.tolist() for x in vectors[i]), strict=True)]
         rows.sort()
-        term, block, slot, weight = (np.array(c, k) for c, k in zip(zip(*rows, strict=True) if rows else ((),) * 4, (np.int64, np.int64, np.int64, np.float64), strict=True))
+        term, block, place, weight = (np.array(c, k) for c, k in zip(zip(*rows, strict=True) if rows else ((),) * 4, (np.int64, np.int64, np.int64, np.float64), strict=True))
         largest = np.zeros((n_terms, n_blocks))
         np.maximum.at(largest, (term, block), weight)
         counts = np.zeros((n_terms, n_blocks), np.int64)
@@ -89,40 +94,44 @@ class Index:
         ends = np.cumsum(counts.ravel()).reshape(n_terms, n_blocks)
         starts[:, 1:] = ends
         starts[1:, 0] = ends[:-1, -1]
-        return Index(starts, slot, weight, largest, np.array([labels[i] for i in order], np.int64), [ids[i] for i in order])
+        return Index(starts, place, weight, largest, np.array([labels[i] for i in order], np.int64), [ids[i] for i in order])
 
     def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int = NEIGHBOURS, skip: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """Places and cosines of the k examples with the largest cosine above zero, ties by place; skip is a place left out.
 
-        Blocks are met by falling bound, the sum of query weights times the
-        blocks' largest weights, and the search ends when the next bound is
-        below the k-th cosine so far: nothing unseen can enter.
+        A block's bound is the sum of query weights times the block's largest
+        weights. The blocks of the largest bounds are met first; their k-th
+        cosine is a floor under the answer, so of the others only those whose
+        bound reaches it can hold a part of it, and only those are met.
         """
         bounds = weights @ self.largest[terms]
         order = np.argsort(-bounds, kind="stable")
-        places, cosines, least = np.empty(0, np.int64), np.empty(0), 0.0
-        for at in range(0, len(order), 8):
-            blocks = order[at : at + 8]
-            blocks = blocks[bounds[blocks] >= max(least - 1e-9, 1e-12)]
-            if not len(blocks):
-                break
-            begin, end = self.starts[terms[:, None], blocks], self.starts[terms[:, None], blocks + 1]
-            n = (end - begin).ravel()
-            base = np.repeat(begin.ravel() - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())
-            cell = np.repeat(np.tile(np.arange(len(blocks)) * BLOCK, len(terms)), n) + self.slots[base]
-            dots = np.bincount(cell, self.weights[base] * np.repeat(np.repeat(weights, len(blocks)), n), len(blocks) * BLOCK)
-            hit = np.flatnonzero(dots > 1e-12)
-            found = blocks[hit // BLOCK] * BLOCK + hit % BLOCK
-            keep = found != skip
-            places, cosines = np.concatenate((places, found[keep])), np.concatenate((cosines, dots[hit][keep]))
-            if len(places) > k:
-                best = np.lexsort((places, -np.round(cosines, 12)))[:k]
-                places, cosines = places[best], cosines[best]
-            if len(places) == k:
-                least = cosines.min()
-        best = np.lexsort((places, -np.round(cosines, 12)))
+        first = order[:FIRST_BLOCKS]
+        places, cosines = self._meet(terms, weights, first[bounds[first] > TINY], skip)
+        rest = order[FIRST_BLOCKS:]
+        if len(places) >= k:
+            rest = rest[bounds[rest] >= np.partition(cosines, len(cosines) - k)[len(cosines) - k] - 1e-9]
+        else:
+            rest = rest[bounds[rest] > TINY]
+        if len(rest):
+            more, others = self._meet(terms, weights, rest, skip)
+            places, cosines = np.concatenate((places, more)), np.concatenate((cosines, others))
+        best = np.lexsort((places, -np.round(cosines, 12)))[:k]
         return places[best], cosines[best]
 
+    def _meet(self, terms: np.ndarray, weights: np.ndarray, blocks: np.ndarray, skip: int) -> tuple[np.ndarray, np.ndarray]:
+        """Places and whole cosines of the examples of some blocks that share a term with the query."""
+        begin = self.starts[terms[:, None], blocks]
+        n = self.starts[terms[:, None], blocks + 1] - begin
+        each = n.ravel()
+        ends = np.cumsum(each)
+        at = np.repeat(begin.ravel() - ends + each, each) + np.arange(ends[-1] if len(ends) else 0)
+        dots = np.bincount(self.places[at], self.weights[at] * np.repeat(weights, n.sum(axis=1)), len(self.labels))
+        found = np.flatnonzero(dots > TINY)
+        if skip >= 0:
+            found = found[found != skip]
+        return found, dots[found]
+
 
 @dataclass
 class Model:
@@ -176,7 +185,7 @@ def fit(documents: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAMPLE
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for toxic, text in zip(b.column(0).to_pylist(), texts(b.column(1)), strict=True):
-                found = {t for w in set(WORDS.findall(text.lower())) for t in terms_of(w)}
+                found = {t for w in set(words_of(text)) for t in terms_of(w)}
                 yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array([toxic] * len(found), pa.int32())], names=["term", "toxic"])
 
     n = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
