@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvane.llm import mixing, quality_lines, simhash, spotsigs, token_counts, token_files, toxicity, url_filter
+from corvane.llm import mixing, quality_lines, sentencepiece_codec, simhash, spotsigs, token_counts, token_files, toxicity, url_filter
 from corvane.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -88,3 +88,17 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's fingerprint, beside its edited text's and the next document's."""
     return spotsigs.compare_with_next(table(spark, sf_dir, "documents"))
+
+
+def piece_model() -> bytes:
+    """A public merge-type SentencePiece model, read once on the driver."""
+    import public_tokenizers
+
+    with open(public_tokenizers.path("piece_bpe_32k.model"), "rb") as f:
+        return f.read()
+
+
+@query
+def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of every document under seeded dropout, and whether they decode to its text."""
+    return sentencepiece_codec.encode_documents(table(spark, sf_dir, "documents"), piece_model(), with_ids=False)
