@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import base64
 from collections.abc import Iterator
 
 import numpy as np
@@ -59,26 +60,15 @@ def scan(spark: SparkSession, path: str, separator: int, width: int = 4, block_i
     return ended.unionByName(loose)
 
 
-def ordered_ids(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """(doc_id, ordinal): each row's place in ascending order of id, nulls first, without a sort in one task."""
-    ids = docs.select(F.col(id_col).alias("doc_id")).repartitionByRange("doc_id").withColumn("range", F.spark_partition_id())
-    ids = cut(ids)
-    ahead = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
-    counts = ids.groupBy("range").agg(F.count("*").alias("n")).select(F.col("range").alias("r"), F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("ahead"))
-    inside = F.row_number().over(Window.partitionBy("range").orderBy("doc_id")) - 1
-    return ids.withColumn("inside", inside).join(counts, F.col("range") == F.col("r")).select("doc_id", (F.col("ahead") + F.col("inside")).alias("ordinal"))
-
-
 def write_flat(docs: DataFrame, ranks: str, pattern: str, separator: int, path: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> str:
-    """Writes each partition's documents, in ascending order of id, as one flat file of 32-bit ids, and returns the folder.
+    """Writes each partition's documents, as they come, as one flat file of 16-bit ids, and returns the folder.
 
-    ranks is a tiktoken vocabulary, its lines a base64 token and its rank. The
-    ids of a document are followed by the separator; nothing else is kept, so
-    that only a scan tells documents apart. Spark's text writer adds a line
-    feed to each file.
+    ranks is a tiktoken vocabulary of at most 65,536 ids, its lines a base64
+    token and its rank. A document's ids are followed by the separator; nothing
+    else is kept, so that only a scan tells documents apart. What the documents
+    are called stands, in the same order, in a file beside it, written by the
+    same task: kind=tokens/part-N has the ids, kind=names/part-N the documents'.
     """
-    import base64
-
     spark = docs.sparkSession
     path = path or scratch_path(spark, "flat")
     shared = spark.sparkContext.broadcast((ranks, pattern))
@@ -88,31 +78,37 @@ def write_flat(docs: DataFrame, ranks: str, pattern: str, separator: int, path:
 
         lines, split = shared.value
         table = {base64.b64decode(t): int(r) for t, r in (line.split() for line in lines.encode().splitlines() if line)}
+        if max(separator, *table.values()) >= 1 << 16:
+            raise ValueError("ids of more than 16 bits")
         encode = tiktoken.Encoding("corpus", pat_str=split, mergeable_ranks=table, special_tokens={}).encode_ordinary
-        end, out = np.array([separator], "<u4").tobytes(), bytearray()
+        end, out, names = np.array([separator], "<u2").tobytes(), bytearray(), []
         for b in batches:
+            names += ["" if i is None else str(i) for i in b.column(0).to_pylist()]
             for text in texts(b.column(1)):
-                out += np.array(encode(text), "<u4").tobytes()
+                out += np.array(encode(text), "<u2").tobytes()
                 out += end
         if out:
-            yield pa.RecordBatch.from_arrays([pa.array([bytes(out)], pa.binary())], names=["ids"])
+            yield pa.RecordBatch.from_arrays([pa.array(["names", "tokens"]), pa.array(["\n".join(names).encode(), bytes(out)], pa.binary())], names=["kind", "data"])
 
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).repartitionByRange("id").sortWithinPartitions("id")
-    rows.mapInArrow(run, "ids binary").select(F.col("ids").cast("string")).write.option("compression", "none").text(path)
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, "kind string, data binary")
+    rows.select("kind", F.col("data").cast("string").alias("value")).write.partitionBy("kind").option("compression", "none").text(path)
     return path
 
 
 def count_tokens(docs: DataFrame, ranks: str, pattern: str, separator: int, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, block_ids: int = BLOCK_IDS) -> DataFrame:
-    """One row (doc_id, ordinal, start, n_tokens) for each row of docs, counted in the flat files written of it.
+    """One row (doc_id, part, place, start, n_tokens) for each row of docs, counted in the flat files written of it.
 
-    The files know no ids: a document's place among all separators is its place
-    among the sorted ids. n_tokens counts the separator; a null text has it
-    alone; rows that repeat an id are counted one by one.
+    part is the file, place the document's place in it and start the ids before
+    it there. n_tokens counts the separator; a null text has it alone; rows that
+    repeat an id are counted one by one. Texts are not shuffled.
     """
+    spark = docs.sparkSession
+    if docs.isEmpty():
+        return spark.createDataFrame([], "doc_id long, part int, place long, start long, n_tokens long")
     path = write_flat(docs, ranks, pattern, separator, path, id_col, text_col)
-    found = cut(scan(docs.sparkSession, path, separator, 4, block_ids))
-    ahead = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
-    files = found.groupBy("file").agg(F.count("*").alias("documents"), F.sum("n_tokens").alias("ids"))
-    files = files.select(F.col("file").alias("f"), F.coalesce(F.sum("documents").over(ahead), F.lit(0)).alias("d"), F.coalesce(F.sum("ids").over(ahead), F.lit(0)).alias("t"))
-    placed = found.join(files, F.col("file") == F.col("f")).select((F.col("ordinal") + F.col("d")).alias("ordinal"), (F.col("start") + F.col("t")).alias("start"), "n_tokens")
-    return ordered_ids(docs, id_col).join(placed, "ordinal").select("doc_id", "ordinal", "start", "n_tokens")
+    part = lambda name: F.regexp_extract(name, r"part-(\d+)", 1).cast("int").alias("part")
+    found = scan(spark, f"{path}/kind=tokens", separator, 2, block_ids).where("ended").select(part("file"), F.col("ordinal").alias("place"), "start", "n_tokens")
+    names = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(f"{path}/kind=names")
+    listed = F.split(F.expr("cast(substring(content, 1, cast(length - 1 as int)) as string)"), "\n")
+    names = names.select(part("path"), F.posexplode(listed).alias("place", "name")).select("part", F.col("place").cast("long").alias("place"), F.expr("nullif(name, '')").cast("long").alias("doc_id"))
+    return names.join(found, ["part", "place"]).select("doc_id", "part", "place", "start", "n_tokens")
