@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import sys
 import tempfile
+import types
 import uuid
 from collections.abc import Iterator
 
@@ -50,6 +52,15 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Rows up to which a table that is proven to have no more is broadcast; beyond, it is joined by shuffle.
+BROADCAST_ROWS = 200_000
+
+
+def small(df: DataFrame) -> DataFrame:
+    """df, to be broadcast if counting proves that it has few rows."""
+    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+
+
 def ascii_lower(c: Column) -> Column:
     """Lower-cases A-Z and nothing else."""
     return F.translate(c, UPPER, LOWER)
@@ -75,3 +86,15 @@ def texts(column: pa.Array) -> Iterator[str]:
     """The strings of a string column, null as empty, a slice at a time."""
     for at in range(0, len(column), 256):
         yield from (x or "" for x in column.slice(at, 256).to_pylist())
+
+
+def worker_cache(key: str, make):
+    """What make() returns, once for each Python worker and key, so that the tasks of a worker share it.
+
+    Functions travel to workers by value, so a module's own variables are new
+    in every task; a module of the worker itself holds what lasts.
+    """
+    held = sys.modules.setdefault("corvane_worker_cache", types.ModuleType("corvane_worker_cache")).__dict__
+    if key not in held:
+        held[key] = make()
+    return held[key]

@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corvane.llm.common import cut, word_count
+from corvane.llm.common import cut, small, word_count
 
 WEIGHTS = (5.0, 2.0, 1.0)
 MAX_REPEAT = 3
@@ -31,14 +31,6 @@ SEED = 1
 BLOCK_WORDS, MAX_BLOCKS = 20_000, 65_536
 #: Words of an output shard, roughly.
 SHARD_WORDS = 4_000_000
-#: Rows up to which a table of sources or blocks is broadcast; beyond, it is joined by shuffle.
-BROADCAST_ROWS = 200_000
-
-
-def small(df: DataFrame) -> DataFrame:
-    """df, to be broadcast if it is proven to have few rows."""
-    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
-
 
 def hash32(*parts: Column) -> Column:
     """A uniform number below 2^32 from md5, the same in other SQL engines."""

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvane.llm import mixing, quality_lines, sentencepiece_codec, simhash, spotsigs, token_counts, token_files, toxicity, url_filter
+from corvane.llm import html_extract, mixing, quality_lines, sentencepiece_codec, simhash, spotsigs, token_counts, token_files, toxicity, url_filter
 from corvane.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -102,3 +102,9 @@ def piece_model() -> bytes:
 def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pieces of every document under seeded dropout, and whether they decode to its text."""
     return sentencepiece_codec.encode_documents(table(spark, sf_dir, "documents"), piece_model(), with_ids=False)
+
+
+@query
+def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
+    return html_extract.extract(table(spark, sf_dir, "pages"))
