@@ -20,33 +20,38 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-import regex
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corvane.llm import simple8b
-from corvane.llm.common import cut, scratch_path, texts
+from corvane.llm.common import cut, give_back, scratch_path, worker_cache
 
 MAGIC = b"CVTOK8B1"
 BLOCK_IDS, SEGMENT_IDS = 65_536, 1_000_000
 END_ID = 2
-MAX_KNOWN = 400_000
+#: Distinct words whose ids a worker remembers.
+MAX_KNOWN = 1_000_000
+BATCH = 2048
 
-#: The byte-level BPE's pre-token pattern. Fixed value.
-PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Characters for which every Unicode version and regular-expression library splits alike.
-PLAIN = re.compile(r"[\x00-\x1b\x20-\x84\x86-ɏ]*\Z")
+#: Characters for which every Unicode version and regular-expression library splits alike; of white space, space and line feed.
+PLAIN = r"\A[\n\x20-\x7e\x{a1}-\x{24f}]*\z"
+TANGLED = r"  |\n\n| \n|\n |\A | \z"
 
 
 class Encoder:
-    """Encodes by the tokenizers library, each distinct pre-token once.
-
-    Byte-level BPE never merges across pre-tokens, so a text's ids are those of
-    its pre-tokens in a row. Texts with characters on whose classes versions
-    might differ, or with a special token, go to the library whole.
+    """Encodes by the tokenizers library, each distinct word once.
+
+    The byte-level BPE's pre-tokens never cross from a word to the single space
+    or line feed after it: a space starts the next word's first pre-token and a
+    line feed is one alone. So where words are parted by single spaces and line
+    feeds, a text's ids are those of its words, with their spaces, in a row.
+    Any other text, and one with a special token or other characters, goes to
+    the library whole. Words are parted, told apart and looked up by Arrow.
     """
 
     def __init__(self, json: str):
@@ -56,24 +61,128 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(json)
-        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.split = regex.compile(PATTERN).findall
-        self.known: dict[str, bytes] = {}
-
-    def encode_all(self, batch: list[str]) -> list[bytes]:
-        """The ids of each text as little-endian unsigned 32-bit integers."""
-        plain = [bool(PLAIN.match(t)) and not any(s in t for s in self.special) for t in batch]
-        parts = [self.split(t) if p else [] for t, p in zip(batch, plain, strict=True)]
+        special = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.whole = "|".join([TANGLED, *special])
+        self.feed, dot, comma = (self.tokenizer.encode(c, add_special_tokens=False).ids for c in ("\n", ".", ","))
+        #: Marks that end words, of one id each.
+        self.marks = [(c, m[0]) for c, m in ((".", dot), (",", comma)) if len(m) == 1]
+        #: The byte-level alphabet: printable bytes stand for themselves, others for characters from U+0100 on.
+        shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        self.alphabet = {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in shown)}
+        self.space = chr(self.alphabet[32])
+        #: Known words, with the space before them, and their ids in a row. No word and the line feed come first.
+        self.known = pa.array(["", "\n"])
+        self.pool, self.ends = np.array(self.feed, np.uint32), np.array([0, 0, len(self.feed)], np.int64)
+
+    def _append(self, words: pa.Array, ids: np.ndarray, lengths: np.ndarray) -> None:
+        begin = int(self.ends[-1])
+        end = begin + len(ids)
+        if end > len(self.pool):
+            self.pool = np.concatenate((self.pool, np.empty(max(end, 2 * len(self.pool)) - len(self.pool), np.uint32)))
+        self.pool[begin:end] = ids
+        self.ends = np.concatenate((self.ends, begin + np.cumsum(lengths)))
+        self.known = pa.concat_arrays([self.known, words])
+
+    def _learn(self, words: pa.Array) -> np.ndarray:
+        """Makes new words known and returns their numbers.
+
+        Letters, with a space before them, are one pre-token, which goes to the
+        library's model as it is, and a full stop or comma after them is another.
+        Words of another kind go to the library many to a text, parted by line
+        feeds, whose ids tell them apart again.
+        """
+        mark = np.full(len(words), -1, np.int64)
+        for c, i in self.marks:
+            mark[pc.ends_with(words, c).to_numpy(False)] = i
+        stems = pc.if_else(pa.array(mark >= 0), pc.utf8_slice_codeunits(words, 0, -1), words)
+        letters = pc.utf8_is_alpha(pc.utf8_ltrim(stems, " "))
+        plain, other = words.filter(letters), words.filter(pc.invert(letters))
+        letter = letters.to_numpy(False)
+        mark = mark[letter]
+        numbers = np.empty(len(words), np.int64)
+        numbers[letter] = len(self.known) + np.arange(len(plain))
+        numbers[~letter] = len(self.known) + len(plain) + np.arange(len(other))
+        stems = stems.filter(letters).dictionary_encode()
+        names = [self.space + s[1:] if s[0] == " " else s for s in stems.dictionary.to_pylist()]
+        names = [n if a else self._spelt(n) for n, a in zip(names, pc.string_is_ascii(stems.dictionary).to_pylist(), strict=True)]
+        tokenize = self.tokenizer.model.tokenize
+        found = [[t.id for t in tokenize(n)] for n in names]
+        if found:
+            n = np.fromiter(map(len, found), np.int64, len(found))
+            flat, stop = np.fromiter(chain.from_iterable(found), np.uint32, int(n.sum())), np.cumsum(n)
+            of = stems.indices.to_numpy()
+            n, stop = n[of], stop[of]
+            lengths = n + (mark >= 0)
+            ends = np.cumsum(lengths)
+            ids = np.empty(ends[-1], np.uint32)
+            within = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            ids[np.repeat(ends - lengths, n) + within] = flat[np.repeat(stop - n, n) + within]
+            ids[ends[mark >= 0] - 1] = mark[mark >= 0]
+            self._append(plain, ids, lengths)
+        if len(other):
+            parts = list(self._parted(other.to_pylist()))
+            self._append(other, np.concatenate([i for i, _ in parts]), np.concatenate([n for _, n in parts]))
+        return numbers
+
+    def _spelt(self, name: str) -> str:
+        """A word's bytes in the byte-level alphabet; its first character may be the space's already."""
+        spaced = name[0] == self.space
+        body = (name[1:] if spaced else name).encode().decode("latin-1").translate(self.alphabet)
+        return self.space + body if spaced else body
+
+    def _parted(self, words: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        groups = [words[at : at + 512] for at in range(0, len(words), 512)]
+        for group, e in zip(groups, self.tokenizer.encode_batch_fast(list(map("\n".join, groups)), add_special_tokens=False), strict=True):
+            ids = np.array(e.ids, np.uint32)
+            parted = np.flatnonzero(ids == self.feed[0])
+            if len(self.feed) == 1 and len(parted) == len(group) - 1:
+                yield np.delete(ids, parted), np.diff(np.concatenate(([-1], parted, [len(ids)]))) - 1
+            else:
+                found = [x.ids for x in self.tokenizer.encode_batch_fast(group, add_special_tokens=False)]
+                yield np.array(list(chain.from_iterable(found)), np.uint32), np.array(list(map(len, found)), np.int64)
+
+    def encode_all(self, batch: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts in a row, and how many each has."""
         if len(self.known) > MAX_KNOWN:
-            self.known.clear()
-        new = list({x for p in parts for x in p} - self.known.keys())
-        for x, e in zip(new, self._library(new), strict=True):
-            self.known[x] = e
-        whole = iter(self._library([t for t, p in zip(batch, plain, strict=True) if not p]))
-        return [b"".join(map(self.known.__getitem__, x)) if p else next(whole) for x, p in zip(parts, plain, strict=True)]
-
-    def _library(self, batch: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(batch, add_special_tokens=False)] if batch else []
+            # The half that came first has the common words.
+            self.known, self.ends = self.known.slice(0, MAX_KNOWN // 2), self.ends[: MAX_KNOWN // 2 + 1]
+        whole = pc.or_(pc.invert(pc.match_substring_regex(batch, PLAIN)), pc.match_substring_regex(batch, self.whole)).to_numpy(False)
+        parted = pc.split_pattern(pc.replace_substring(batch.filter(pa.array(~whole)), "\n", " \n "), " ")
+        offsets = parted.offsets.to_numpy().astype(np.int64)
+        values = parted.values.slice(offsets[0], offsets[-1] - offsets[0]) if len(offsets) else pa.array([], pa.string())
+        offsets = offsets - offsets[0]
+        coded = values.dictionary_encode()
+        distinct, code = coded.dictionary, coded.indices.to_numpy()
+        # A text's first word and those after a line feed have no space before them, nor has the feed.
+        feed = distinct.index("\n").as_py()
+        bare = code == feed
+        bare[1:] |= code[:-1] == feed
+        bare[offsets[:-1][offsets[:-1] < len(bare)]] = True
+        code = 2 * code + bare
+        there = np.zeros(2 * len(distinct), bool)
+        there[code] = True
+        used = np.flatnonzero(there)
+        words = distinct.take(pa.array(used // 2))
+        bare_word = pc.or_(pa.array(used % 2 == 1), pc.equal(words, ""))
+        words = pc.if_else(bare_word, words, pc.binary_join_element_wise(" ", words, ""))
+        found = pc.index_in(words, value_set=self.known)
+        number = pc.fill_null(found, -1).to_numpy(False).astype(np.int64)
+        new = words.filter(pc.is_null(found))
+        number[number < 0] = np.concatenate([self._learn(new.slice(at, 16_384)) for at in range(0, len(new), 16_384)] or [number[:0]])
+        unit = number.astype(np.int32)[(np.cumsum(there) - 1)[code]]
+        n = (self.ends[unit + 1] - self.ends[unit]).astype(np.int32)
+        stop = np.cumsum(n)
+        ids = self.pool[np.repeat(self.ends[unit + 1] - stop, n) + np.arange(stop[-1])] if len(unit) else self.pool[:0]
+        counts = np.zeros(len(batch), np.int64)
+        counts[~whole] = np.diff(np.concatenate(([0], stop))[offsets])
+        if not whole.any():
+            return ids, counts
+        rest = [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(batch.filter(pa.array(whole)).to_pylist(), add_special_tokens=False)]
+        counts[whole] = list(map(len, rest))
+        own = np.repeat(whole, counts)
+        out = np.empty(len(own), np.uint32)
+        out[~own], out[own] = ids, np.concatenate(rest)
+        return out, counts
 
 
 def pack(ids: list[int | None], encoded: list[np.ndarray]) -> bytes:
@@ -126,26 +235,31 @@ def write(docs: DataFrame, json: str, path: str | None = None, id_col: str = "do
     spark = docs.sparkSession
     path = path or scratch_path(spark, "tokens")
     shared = spark.sparkContext.broadcast(json)
-    end = np.array([end_id], np.uint64)
+    end_of_document = np.uint32(end_id)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, ids, held, n = Encoder(shared.value), [], [], 0
+        encoder = worker_cache(f"encoder {hash(shared.value)}", lambda: Encoder(shared.value))
+        ids, held, n = [], [], 0
 
         def flush() -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array([pack(ids, held)], pa.binary())], names=["segment"])
 
         for b in batches:
-            for at in range(0, b.num_rows, 128):
-                part = b.slice(at, 128)
-                for i, e in zip(part.column(0).to_pylist(), encoder.encode_all(list(texts(part.column(1)))), strict=True):
+            for at in range(0, b.num_rows, BATCH):
+                part = b.slice(at, BATCH)
+                flat, counts = encoder.encode_all(pc.fill_null(part.column(1).cast(pa.string()), ""))
+                names, begin = part.column(0).to_pylist(), 0
+                for i, end in zip(names, np.cumsum(counts).tolist(), strict=True):
                     ids.append(i)
-                    held.append(np.concatenate((np.frombuffer(e, "<u4").astype(np.uint64), end)))
-                    n += len(held[-1])
+                    held.append(np.append(flat[begin:end], end_of_document))
+                    n += end - begin + 1
+                    begin = end
                     if n >= SEGMENT_IDS:
                         yield flush()
                         ids, held, n = [], [], 0
         if ids:
             yield flush()
+        give_back()
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     rows = rows.repartitionByRange("id").sortWithinPartitions("id").mapInArrow(run, "segment binary")

@@ -3,6 +3,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -37,9 +38,20 @@ def test_simple8b_is_dense():
 
 
 @settings(max_examples=200, deadline=None)
-@given(st.lists(st.one_of(st.text(max_size=80), st.text(alphabet="ab'stre vl\n \t\r\x0b\x1c\x85\xa0é1.,!", max_size=80), st.sampled_from(["<|endoftext|>", "I'll we've  \n\n x", "日本語 12", "  x"])), max_size=8))
+@given(st.lists(st.one_of(st.text(max_size=80), st.text(alphabet="ab'stre vl\n \t\r\x0b\x1c\x85\xa0é1.,!", max_size=80), st.lists(st.text(alphabet="aé'sLl1.,\n", max_size=6), max_size=12).map(" ".join), st.text(alphabet=st.characters(max_codepoint=0x24F), max_size=40), st.sampled_from(["<|endoftext|>", "I'll we've  \n\n x", "日本語 12", "  x"])), max_size=8))
 def test_encoder_is_the_library(batch):
-    assert [np.frombuffer(e, "<u4").tolist() for e in FAST.encode_all(batch)] == [LIBRARY.encode(t, add_special_tokens=False).ids for t in batch]
+    flat, counts = FAST.encode_all(pa.array(batch, pa.string()))
+    want = [LIBRARY.encode(t, add_special_tokens=False).ids for t in batch]
+    assert flat.tolist() == [i for w in want for i in w] and counts.tolist() == list(map(len, want))
+
+
+def test_encoder_forgets(monkeypatch):
+    monkeypatch.setattr(token_files, "MAX_KNOWN", 3)
+    own = token_files.Encoder(JSON)
+    for batch in (["one two three four", "日本 one"], ["four two\nfive"], []):
+        flat, counts = own.encode_all(pa.array(batch, pa.string()))
+        want = [LIBRARY.encode(t, add_special_tokens=False).ids for t in batch]
+        assert flat.tolist() == [i for w in want for i in w] and counts.tolist() == list(map(len, want))
 
 
 def expected(rows):
@@ -97,10 +109,15 @@ def test_scan_finds_every_document(spark, tmp_path, block):
 
 def test_counts_match_the_vocabulary(spark):
     rows = rows_of(2)
-    df = spark.createDataFrame([(i, t, 5) for i, t in rows], "doc_id long, text string, ordinal int").repartition(3)
+    df = spark.createDataFrame([(i, t, 5) for i, t in rows], "doc_id long, text string, part int").repartition(3)
     ranks = queries.tokenizer_file("byte_bpe_50k.tiktoken")
-    got = sorted(map(tuple, token_counts.count_tokens(df, ranks, public_tokenizers.PATTERN, 50256, block_ids=100).collect()), key=lambda r: r[1])
-    assert got == [(i, k, start, n) for k, (i, start, n, _, _) in enumerate(expected(rows))]
+    got = token_counts.count_tokens(df, ranks, public_tokenizers.PATTERN, 50256, block_ids=100).collect()
+    assert sorted(((r.doc_id, r.n_tokens) for r in got), key=str) == sorted(((i, n) for i, _, n, _, _ in expected(rows)), key=str)
+    place = {}
+    for r in sorted(got, key=lambda r: (r.part, r.place)):
+        k, start = place.get(r.part, (0, 0))
+        assert (r.place, r.start) == (k, start)
+        place[r.part] = (k + 1, start + r.n_tokens)
     twice = spark.createDataFrame([(1, "a"), (1, "a b c")], "doc_id long, text string")
     assert sorted(r.n_tokens for r in token_counts.count_tokens(twice, ranks, public_tokenizers.PATTERN, 50256).collect()) == [2, 4]
     assert token_counts.count_tokens(twice.limit(0), ranks, public_tokenizers.PATTERN, 50256).collect() == []
