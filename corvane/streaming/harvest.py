@@ -14,7 +14,7 @@ from corvane.sources.readers import records_jsonl
 def harvest_stream(spark: SparkSession, landing: str, store: str, archive: str, checkpoint: str, files_per_batch: int = 64) -> StreamingQuery:
     """Texts in folders <landing>/journal_no=.../journal_part=...; a text that was read is not read again, an address that is stored is not stored again."""
     schema = "value string, journal_no string, journal_part string"
-    texts = spark.readStream.schema(schema).option("wholetext", True).option("maxFilesPerTrigger", files_per_batch).text(landing)
+    texts = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).text(landing, wholetext=True)
     texts = texts.withColumn("file", F.col("_metadata.file_path"))
 
     def run(batch: DataFrame, number: int) -> None:
