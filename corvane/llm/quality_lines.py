@@ -23,7 +23,8 @@ MAX_SEPARATORS, MAX_PHRASE_WORDS, SHOUT_LETTERS = 1, 40, 20
 
 #: A line's end: a mark that ends a sentence, perhaps with closing quotes, brackets or emphasis after it.
 ENDED = re.compile(r"""[.!?…:;。！？；：؟।][ \u00a0\u202f]?[")'\]}”’»」』*_]*$""")
-SEPARATOR = re.compile(r"(?:^|[ \t])(?:\||»|›|>|·|•|::)(?=[ \t]|$)")
+#: Words that part the items of a menu.
+SEPARATORS = ("|", "»", "›", ">", "·", "•", "::")
 # Phrases that page furniture is made of, lower case.
 PHRASES = re.compile(
     r"all rights reserved|terms of (?:use|service)|privacy policy|cookie policy|we use cookies|uses cookies|accept cookies|"
@@ -40,7 +41,7 @@ def failed_rule(line: str, words: list[str]) -> str | None:
     if not ENDED.search(end[-12:]):
         return "punctuation"
     n = len(words)
-    if len(SEPARATOR.findall(line)) > MAX_SEPARATORS:
+    if sum(map(words.count, SEPARATORS)) > MAX_SEPARATORS:
         return "navigation"
     raw = line.encode()
     if 100 * (len(raw) - len(raw.translate(None, SYMBOLS))) > MAX_SYMBOL_PCT * n:
@@ -159,3 +160,29 @@ def clean_lines(docs: DataFrame, text_col: str = "text", chars_col: str | None =
             yield b
 
     return docs.mapInArrow(run, docs.schema)
+
+
+_LISTED = ", ".join(f"'{x}'" for x in SEPARATORS)
+_ENDED, _PHRASES = (x.pattern.replace("'", "''").replace("\\u00a0", "\\x{a0}").replace("\\u202f", "\\x{202f}") for x in (ENDED, PHRASES))
+#: The same figures and verdicts for DuckDB.
+ORACLE_SQL = rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
+w AS (SELECT r, doc_id, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS words FROM d),
+s AS (SELECT r, unnest(range(1, len(words) - 1)) AS i, words FROM w),
+win AS (SELECT r, i, count(*) OVER (PARTITION BY r, words[i], words[i + 1], words[i + 2]) AS n FROM s),
+rep AS (SELECT r, count(DISTINCT i + k) AS repeats FROM win, (SELECT unnest([0, 1, 2]) AS k) WHERE n > 1 GROUP BY r),
+l0 AS (SELECT r, unnest(string_split(t, chr(10))) AS line, unnest(range(len(string_split(t, chr(10))))) AS k FROM d),
+l1 AS (SELECT r, line, regexp_extract_all(line, '[^\x20\x09-\x0D]+') AS own, row_number() OVER (PARTITION BY r, line ORDER BY k) > 1 AS again FROM l0 WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
+l2 AS (SELECT *, len(own) AS n, again OR NOT regexp_matches(right(regexp_replace(line, '[\x20\x09-\x0D]+$', ''), 12), '{_ENDED}')
+    OR len(list_filter(own, lambda x: x IN ({_LISTED}))) > {MAX_SEPARATORS}
+    OR 100 * (length(line) - length(regexp_replace(line, '[#*$%&|<>]', '', 'g'))) > {MAX_SYMBOL_PCT} * len(own)
+    OR (upper(line) = line AND len(regexp_extract_all(line, '\p{{Lu}}')) >= {SHOUT_LETTERS})
+    OR (len(own) >= {LONG_LINE} AND 100 * len(list_filter(own, lambda x: x = list_aggregate(own, 'mode'))) > {MAX_SAME_PCT} * len(own))
+    OR (len(own) <= {MAX_PHRASE_WORDS} AND regexp_matches(lower(line), '{_PHRASES}')) AS failed FROM l1),
+l AS (SELECT r, count(*) FILTER (again) AS dups, coalesce(sum(n) FILTER (failed), 0) AS lost FROM l2 GROUP BY r),
+f AS (SELECT doc_id, len(words)::BIGINT AS n_words, coalesce(list_sum(list_transform(words, lambda x: length(x))), 0)::BIGINT AS word_chars,
+    (length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols, coalesce(dups, 0)::BIGINT AS n_dup_lines,
+    coalesce(repeats, 0)::BIGINT AS n_repeat_words, coalesce(lost, 0)::BIGINT AS lost_words FROM w LEFT JOIN rep USING (r) LEFT JOIN l USING (r)),
+b AS (SELECT *, n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEAT_PCT} * n_words AS base_failed FROM f)
+SELECT *, NOT base_failed AND 100 * lost_words <= {MAX_LOST_PCT} * n_words AS kept FROM b
+"""

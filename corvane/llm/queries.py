@@ -31,6 +31,9 @@ def op7_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_lines.judge_documents(table(spark, sf_dir, "documents")).drop("failed_lines")
 
 
+ORACLES["op7_line_quality"] = quality_lines.ORACLE_SQL
+
+
 @query
 def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How often the mix takes every document, in words, beside its source's size and target."""
