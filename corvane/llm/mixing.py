@@ -152,15 +152,16 @@ def mix_plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
     seats = dealt.withColumn("ahead", ahead).select("rank", "shard", F.explode(F.sequence(F.col("ahead") + 1, F.col("ahead") + F.col("quota"))).alias("turn"))
     placed = draws.join(seats, ["rank", "turn"]).groupBy("rank", "block").agg(F.sort_array(F.collect_list(F.struct("copy", "shard"))).alias("draws"))
     plan = blocks.select("rank", "block", "part", "passes").join(placed, ["rank", "block"], "left").join(last, "rank", "left")
-    plan = cut(plan.select(F.col("rank").alias("__r"), F.col("block").alias("__b"), "part", "passes", "draws", "last"))
+    plan = cut(plan.select(*[F.col(c).alias(f"__{c}") for c in ("rank", "block", "part", "passes", "draws", "last")])).withColumnsRenamed({"__rank": "__r", "__block": "__b"})
 
-    named = sources.select(F.col("source").alias("__s"), F.col("rank").alias("__rank"), "n_blocks", F.col("words").alias("__source_size"), F.col("target").alias("__target"))
+    named = sources.select(F.col("source").alias("__s"), F.col("rank").alias("__rank"), F.col("n_blocks").alias("__n_blocks"), F.col("words").alias("__source_size"), F.col("target").alias("__target"))
     out = rows.join(small(named), F.col(source_col).eqNullSafe(F.col("__s")))
-    out = out.withColumn("__block", F.shiftright(F.col("__u") * F.col("n_blocks"), 32))
+    out = out.withColumn("__block", F.shiftright(F.col("__u") * F.col("__n_blocks"), 32))
     out = out.join(small(plan), (F.col("__rank") == F.col("__r")) & (F.col("__block") == F.col("__b")))
     place = F.struct("__u", F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("id"))
-    extra = (F.col("part") == "all") | ((F.col("part") == "some") & F.coalesce(place <= F.col("last"), F.lit(False)))
-    taken = F.filter(F.coalesce("draws", F.expr("cast(array() as array<struct<copy:bigint,shard:bigint>>)")), lambda d: (d["copy"] < F.col("passes")) | extra)
+    extra = (F.col("__part") == "all") | ((F.col("__part") == "some") & F.coalesce(place <= F.col("__last"), F.lit(False)))
+    none = F.expr("cast(array() as array<struct<copy:bigint,shard:bigint>>)")
+    taken = F.filter(F.coalesce("__draws", none), lambda d: (d["copy"] < F.col("__passes")) | extra)
     position = lambda d: hash32(F.lit(seed), F.lit("place"), key, d["copy"])
     draws_of = F.transform(taken, lambda d: F.struct(d["copy"].alias("copy"), d["shard"].alias("shard"), position(d).alias("position")))
     return out.select(*docs.columns, "__size", "__source_size", "__target", draws_of.alias("__draws"))

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 from corvane.llm import mixing
 
-SCHEMA = "doc_id long, text string, source string, rank int, words string, copy int"
+SCHEMA = "doc_id long, text string, source string, rank int, words string, copy int, n_blocks int, part string, passes int, draws int, last int, block int, target double, id string, u long"
+MORE = (1, "x", 2, 7, "all", 9, 1, 1, 1, 0.5, "id", 3)
 
 
 def make(spark, n=400, seed=3):
@@ -18,8 +19,8 @@ def make(spark, n=400, seed=3):
         source = rng.choice(["a", "a", "a", "a", "b", "B", "é", None, "tiny"] if i else ["tiny"])
         if source == "tiny" and i > 20:
             source = "a"
-        rows.append((i, " ".join(["w"] * rng.randrange(0, 60)), source, 1, "x", 2))
-    rows += [(n, None, "a", 1, "x", 2), (n + 1, "", "empty", 1, "x", 2), (5, "again five", "a", 1, "x", 2), (5, "again five", "a", 1, "x", 2), (None, "no id here", "b", 1, "x", 2), (None, None, None, 1, "x", 2)]
+        rows.append((i, " ".join(["w"] * rng.randrange(0, 60)), source, *MORE))
+    rows += [(n, None, "a", *MORE), (n + 1, "", "empty", *MORE), (5, "again five", "a", *MORE), (5, "again five", "a", *MORE), (None, "no id here", "b", *MORE), (None, None, None, *MORE)]
     return spark.createDataFrame(rows, SCHEMA), rows
 
 
@@ -106,5 +107,5 @@ def test_single_draw_follows_the_distribution(spark, good, bad, need):
 def test_empty_table_and_no_words(spark):
     assert mixing.mix_plan(spark.createDataFrame([], SCHEMA)).collect() == []
     assert mixing.mix(spark.createDataFrame([], SCHEMA)).collect() == []
-    none = mixing.mix_plan(spark.createDataFrame([(1, "", "a", 1, "", 1), (2, None, None, 1, "", 1)], SCHEMA)).collect()
+    none = mixing.mix_plan(spark.createDataFrame([(1, "", "a", *MORE), (2, None, None, *MORE)], SCHEMA)).collect()
     assert [(r["__size"], r["__target"]) for r in none] == [(0, 0.0), (0, 0.0)]
