@@ -25,7 +25,7 @@ def display_text(ids, names: dict[str, str]):
 
 
 def enriched(records: DataFrame, taxonomy: Taxonomy, index: DataFrame) -> DataFrame:
-    """records(doc_id, ...) with labels, orgs and tax_text.
+    """records(doc_id, tier, file, line, ...) with labels, orgs and tax_text.
 
     Labels are predicted for records that lack minerals or stages, and fill only
     what is null: an empty list was said by someone and stays.
@@ -35,7 +35,8 @@ def enriched(records: DataFrame, taxonomy: Taxonomy, index: DataFrame) -> DataFr
     lacks = (F.coalesce(F.size("mineral_ids"), F.lit(0)) <= 0) | (F.coalesce(F.size("stage_ids"), F.lit(0)) <= 0)
     out = out.withColumn("__lacks", lacks).withColumns({c: F.when(F.col("__lacks"), F.coalesce(c, f"pred_{c}")).otherwise(F.col(c)) for c in LABELS})
     out = out.drop("__lacks", *[f"pred_{c}" for c in LABELS])
-    out = out.withColumn("__row", F.monotonically_increasing_id())
+    # Where a record stood tells rows apart, and the same in every evaluation.
+    out = out.withColumn("__row", F.concat_ws(":", "tier", "file", "line"))
     out = with_orgs(out, index, "__row").drop("__row")
     ids = F.concat(F.coalesce("mineral_ids", empty), F.coalesce("stage_ids", empty))
     return out.withColumn("tax_text", display_text(ids, taxonomy.names))

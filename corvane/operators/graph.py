@@ -48,9 +48,9 @@ def nodes(records: DataFrame, order: list[str]) -> DataFrame:
 def dangling(nodes_: DataFrame, edges_: DataFrame) -> DataFrame:
     """Edges an end of which is no node."""
     ids = nodes_.select("id").distinct()
-    numbered = edges_.withColumn("__edge", F.monotonically_increasing_id())
-    lost = [numbered.join(ids, numbered[side] == ids["id"], "left_anti") for side in ("src", "dst")]
-    return lost[0].unionByName(lost[1]).dropDuplicates(["__edge"]).drop("__edge")
+    src, dst = ids.withColumnRenamed("id", "__src"), ids.withColumnRenamed("id", "__dst")
+    met = edges_.join(src, F.col("src") == F.col("__src"), "left").join(dst, F.col("dst") == F.col("__dst"), "left")
+    return met.where("__src is null or __dst is null").drop("__src", "__dst")
 
 
 def reconcile(nodes_: DataFrame, edges_: DataFrame, n_records: int, expected: int | None = None) -> DataFrame:
