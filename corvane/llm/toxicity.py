@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm.common import cut, texts
+from corvane.llm.common import cut, give_back, texts
 
 #: Labelled rows that the index is built from, at most: those with the least keyed hash of their id. This bounds index, broadcast and driver.
 MAX_EXAMPLES = 8000
@@ -29,7 +29,7 @@ SOFT, PRIOR_VOTES = 0.05, 0.5
 #: How strongly calibration holds to leaving shares as they are.
 PULL = 5.0
 EVIDENCE = 3
-MAX_CACHED_WORDS = 500_000
+MAX_CACHED_WORDS = 200_000
 #: ASCII letters are lower-cased and other ASCII characters part words; the rest of Unicode stands in words.
 TABLE = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 97 <= c <= 122 else 32 for c in range(256))
 
@@ -296,6 +296,7 @@ def score_documents(docs: DataFrame, model: Model, id_col: str = "doc_id", text_
             predicted = pa.array([int(s >= 0.5) for s, _ in found], pa.int32())
             near = pa.array([[{"doc_id": model.index.ids[p], "cosine": c, "toxic": labels[p]} for p, c in n] for _, n in found], pa.list_(pa.struct([("doc_id", b.column(0).type), ("cosine", pa.float64()), ("toxic", pa.int32())])))
             yield pa.RecordBatch.from_arrays([b.column(0), scores, predicted, near], names=["doc_id", "score", "predicted", "evidence"])
+        give_back()
 
     return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(run, f"doc_id {kind}, score double, predicted int, evidence array<struct<doc_id:{kind},cosine:double,toxic:int>>")
 
@@ -309,5 +310,6 @@ def drop_toxic(docs: DataFrame, model: Model, text_col: str = "text", threshold:
         for b in batches:
             at = b.schema.get_field_index(text_col)
             yield b.filter(pa.array([score(t)[0] < threshold for t in texts(b.column(at))], pa.bool_()))
+        give_back()
 
     return docs.mapInArrow(run, docs.schema)
