@@ -394,6 +394,14 @@ def pipeline_stats(spark, sf):
     return quality.pipeline_stats(records, dedupe.keep_first(records, ["source_id", "source_url"], ["doc_id"]))
 
 
+@query(f"""WITH d AS (SELECT o_orderpriority AS s, o_custkey::VARCHAR AS u, CASE WHEN o_orderkey % 5 > 0 THEN 'x' END AS t, o_orderstatus AS st FROM orders)
+SELECT 'source_id_missing' AS rule, count(*) FILTER (s IS NULL)::BIGINT AS n FROM d UNION ALL SELECT 'source_url_missing', count(*) FILTER (u IS NULL) FROM d UNION ALL SELECT 'title_missing', count(*) FILTER (t IS NULL) FROM d
+UNION ALL SELECT 'kind_unknown', count(*) FILTER (st NOT IN ('F', 'O', 'P')) FROM d UNION ALL SELECT 'source_pair_repeated', count(*) - count(DISTINCT s || '|' || u) FROM d""")
+def record_constraints(spark, sf):
+    rows = table(spark, sf, "orders").select(F.col("o_orderpriority").alias("source_id"), F.col("o_custkey").cast("string").alias("source_url"), F.when(F.col("o_orderkey") % 5 > 0, "x").alias("title"), kind_of_status().alias("kind"))
+    return quality.constraint_report(rows)
+
+
 @query("SELECT o_orderkey FROM orders WHERE o_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderdate < TIMESTAMP '1997-01-01')")
 def incremental_anti(spark, sf):
     orders = table(spark, sf, "orders")

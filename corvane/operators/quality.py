@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corvane.functions.text import filled
-from corvane.schemas import ABSTRACT_SHARE, COMPLETE_ENOUGH, GATE_ACCURACY, GATE_MACRO_F1, GATE_ROWS, QUALITY_PP, REQUIRED, SPEED_PCT, TITLE_SHARE, VOLUME_TARGET
+from corvane.schemas import ABSTRACT_SHARE, COMPLETE_ENOUGH, GATE_ACCURACY, GATE_MACRO_F1, GATE_ROWS, KINDS, QUALITY_PP, REQUIRED, SPEED_PCT, TITLE_SHARE, VOLUME_TARGET
 from corvane.sources.reference import N_STAGES, PILOT_MINERALS, Taxonomy
 
 
@@ -180,3 +180,15 @@ def backed_up(path: Column) -> Column:
     """Whether a relative path belongs in a backup: no cache, no archive or its manifest, nothing under a scratch folder."""
     p = F.replace(path, F.lit("\\"), F.lit("/"))
     return ~(p.rlike(r"^data/ipo_cache(/|\z)") | p.rlike(r"(^|/)[^/]*\.verify(/|\z)") | p.rlike(r"\.tgz(\.manifest\.json)?\z"))
+
+
+def constraint_report(records: DataFrame) -> DataFrame:
+    """(rule, n): rows that break what the record table declares: source and address present and unique together, a known kind, a title."""
+    blank = lambda c: F.coalesce(F.col(c), F.lit("")) == ""
+    counts = records.agg(
+        F.count_if(blank("source_id")).alias("source_id_missing"), F.count_if(blank("source_url")).alias("source_url_missing"), F.count_if(blank("title")).alias("title_missing"),
+        F.count_if(~F.coalesce(F.col("kind").isin(*KINDS), F.lit(False))).alias("kind_unknown"),
+    )
+    pairs = records.groupBy("source_id", "source_url").agg((F.count("*") - 1).alias("more")).agg(F.coalesce(F.sum("more"), F.lit(0)).alias("source_pair_repeated"))
+    wide = counts.crossJoin(pairs)
+    return wide.select(F.explode(F.array(*[F.struct(F.lit(c).alias("rule"), F.col(c).cast("long").alias("n")) for c in wide.columns])).alias("x")).select("x.*")

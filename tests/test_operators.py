@@ -199,3 +199,41 @@ def test_sinks(engine, tmp_path):
 def test_display_text_of_unknown_ids(spark):
     df = spark.createDataFrame([(["LI", "ZZ"],)], "ids array<string>")
     assert df.select(corpus.display_text(F.col("ids"), {"LI": "Lithium"})).first()[0] == "Lithium ZZ"
+
+
+def test_jobs(engine, tmp_path):
+    from corvane.plans import jobs
+
+    d = {"locked": True, "test_ids": ["G1", "G3"], "labels": {"G1": {"mineral_ids": ["LI"], "stage_ids": ["extraction_refining"]}, "G3": {"mineral_ids": ["LI"], "stage_ids": ["recycling"]}}}
+    (tmp_path / "holdout.json").write_text(json.dumps(d))
+    scores = {r.task: r for r in jobs.evaluate(engine, str(tmp_path / "holdout.json")).collect()}
+    assert scores["mineral"].subset_accuracy == 1.0 and scores["stage"].subset_accuracy == 0.5
+    now = {r.metric: r.value for r in jobs.measure(engine, str(tmp_path / "holdout.json"), 1).collect()}
+    assert now["org_merge_rate"] == 1.0 and now["mineral_macro_f1"] == 1.0 and now["search_ms_avg"] > 0
+    baseline = {"tolerance": {"quality_pp": 2.0, "speed_pct": 1e9}, "metrics": {m: {"value": v, "kind": "speed" if m == "search_ms_avg" else "quality"} for m, v in now.items()}}
+    (tmp_path / "baseline.json").write_text(json.dumps(baseline))
+    assert jobs.check_drift(engine, str(tmp_path / "holdout.json"), str(tmp_path / "baseline.json"))[0]
+    said = []
+    assert not jobs.in_order([("a", lambda: None), ("b", lambda: 1 / 0), ("c", lambda: None)], said.append) and [x.split(":")[0] for x in said] == ["a", "b"]
+    (tmp_path / "root/data/ipo_cache").mkdir(parents=True)
+    (tmp_path / "root/data/x").write_text("x")
+    (tmp_path / "root/data/ipo_cache/y").write_text("y")
+    assert [r.path for r in jobs.backup_manifest(engine.spark, str(tmp_path / "root")).collect()] == ["data/x"]
+
+
+def test_journal_job(spark, tmp_path):
+    from corvane.plans import jobs
+
+    block = "x (12) PATENT APPLICATION PUBLICATION (21) Application No.202611000001 A\n(54) Title of the invention : COBALT CELL (51) x"
+    (tmp_path / "a.txt").write_text(block)
+    texts = {("1/2026", "Part I"): str(tmp_path / "a.txt"), ("2/2026", "Part I"): str(tmp_path / "missing.txt")}
+    run = lambda: jobs.harvest_journal(spark, texts, str(tmp_path / "archive"), str(tmp_path / "store"))
+    added, failed = run()
+    assert added == 1 and set(failed) == {("2/2026", "Part I")}
+    assert run()[0] == 0
+
+
+def test_constraints(engine):
+    rows = engine.records.unionByName(engine.records.limit(1))
+    got = {r.rule: r.n for r in quality.constraint_report(rows).collect()}
+    assert got == {"source_id_missing": 0, "source_url_missing": 0, "title_missing": 0, "kind_unknown": 0, "source_pair_repeated": 1}
