@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corvane.llm.common import cut
+from corvane.llm.common import cut, small
 from corvane.llm.graph import connected_components
 
 SEED, SHINGLE, MAX_BITS = 42, 3, 3
@@ -145,15 +145,19 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     same answer; other columns of docs are not read; an empty table gives none.
     """
     fps = cut(fingerprints(docs, id_col, text_col))
-    nodes = cut(fps.groupBy("fp").agg(F.min("doc_id").alias("least")))
+    nodes = cut(fps.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies")))
     pairs = cut(links(nodes.select("fp"), max_bits).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     groups = connected_components(pairs, "a", "b").withColumnsRenamed({"node": "fp", "component": "group"})
     degrees = pairs.select(F.explode(F.array("a", "b")).alias("fp")).groupBy("fp").agg(F.count("*").alias("n_links"))
     # Only nodes with a link have anything to join, and they are few.
     linked = nodes.join(groups, "fp").join(degrees, "fp")
-    named = linked.join(linked.groupBy("group").agg(F.min("least").alias("first")), "group").select("fp", "first", "n_links")
-    nodes = nodes.join(named, "fp", "left").select("fp", F.when(F.col("n_links").isNull(), F.col("least")).otherwise(F.col("first")).alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
-    return fps.join(nodes, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "n_links")
+    linked = linked.join(linked.groupBy("group").agg(F.min("least").alias("first")), "group").select("fp", "first", "n_links")
+    # A document that shares its fingerprint with none and has no link is its own group, so it meets no other table.
+    shared = nodes.join(linked, "fp", "left").where((F.col("copies") > 1) | F.col("n_links").isNotNull())
+    shared = shared.select("fp", F.lit(True).alias("known"), F.when(F.col("n_links").isNull(), F.col("least")).otherwise(F.col("first")).alias("component_id"), "n_links")
+    out = fps.join(small(cut(shared)), "fp", "left")
+    component = F.when(F.col("known"), F.col("component_id")).otherwise(F.col("doc_id"))
+    return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), component.alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_bits: int = MAX_BITS) -> DataFrame:
