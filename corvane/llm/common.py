@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import ctypes
 import sys
 import tempfile
@@ -42,9 +44,22 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+_scratch: list[str] = []
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh folder for a written table in the shared folder."""
-    return f"{shared_dir(spark).rstrip('/')}/corvane-{name}-{uuid.uuid4().hex}"
+    """A fresh folder for a written table in the shared folder, which goes when the driver's Python ends."""
+    if not _scratch:
+        atexit.register(_clear, spark.sparkContext._jvm)
+    _scratch.append(f"{shared_dir(spark).rstrip('/')}/corvane-{name}-{uuid.uuid4().hex}")
+    return _scratch[-1]
+
+
+def _clear(jvm) -> None:
+    # The JVM may have gone before; then the folder stays for the cluster's own cleaning.
+    with contextlib.suppress(Exception):
+        for path in map(jvm.org.apache.hadoop.fs.Path, _scratch):
+            path.getFileSystem(jvm.org.apache.hadoop.conf.Configuration()).delete(path, True)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
