@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corvane.operators.graph import cofiled
@@ -34,17 +34,30 @@ def cells(records: DataFrame) -> DataFrame:
     return records.select("kind", "stage_ids", F.explode("mineral_ids").alias("mineral")).select("mineral", F.explode("stage_ids").alias("stage"), "kind")
 
 
-def _grid(records: DataFrame, minerals: DataFrame | None, stages: DataFrame | None) -> DataFrame:
-    """All pairs of two label axes. Axes are taxonomy labels, so their product is bounded by the taxonomy, not by the records."""
-    minerals = minerals if minerals is not None else axis(records, "mineral_ids", "mineral")
-    stages = stages if stages is not None else axis(records, "stage_ids", "stage")
-    return minerals.crossJoin(F.broadcast(stages))
+def _counted(records: DataFrame, **measures: Column) -> DataFrame:
+    """(mineral, stage, measures) in one pass over the records; a label without the other kind has a row with a null."""
+    outer = records.select("kind", "stage_ids", F.explode_outer("mineral_ids").alias("mineral")).select("mineral", F.explode_outer("stage_ids").alias("stage"), "kind")
+    return outer.groupBy("mineral", "stage").agg(*[m.alias(n) for n, m in measures.items()])
+
+
+def _completed(counted: DataFrame, minerals: DataFrame | None, stages: DataFrame | None, names: list[str]) -> DataFrame:
+    """The counts over all pairs of two label axes, zeros included. Axes are taxonomy labels, so their product is bounded by the taxonomy, not by the records."""
+    if minerals is not None or stages is not None:
+        minerals = minerals if minerals is not None else counted.select("mineral").where("mineral is not null").distinct()
+        stages = stages if stages is not None else counted.select("stage").where("stage is not null").distinct()
+        out = minerals.crossJoin(F.broadcast(stages)).join(counted, ["mineral", "stage"], "left")
+        return out.select("mineral", "stage", *[F.coalesce(n, F.lit(0)).cast("long").alias(n) for n in names])
+    # Observed axes come from the counted cells themselves, so that the records are read once.
+    one = counted.groupBy().agg(F.collect_list(F.struct("mineral", "stage", *names)).alias("cells"))
+    axis_of = lambda name: F.array_distinct(F.filter(F.transform("cells", lambda x: x[name]), lambda v: v.isNotNull()))
+    grid = one.select("cells", axis_of("stage").alias("stages"), F.explode(axis_of("mineral")).alias("mineral")).select("cells", "mineral", F.explode("stages").alias("stage"))
+    own = F.get(F.filter("cells", lambda x: (x["mineral"] == F.col("mineral")) & (x["stage"] == F.col("stage"))), F.lit(0))
+    return grid.select("mineral", "stage", *[F.coalesce(own[n], F.lit(0)).cast("long").alias(n) for n in names])
 
 
 def heatmap(records: DataFrame, minerals: DataFrame | None = None, stages: DataFrame | None = None) -> DataFrame:
     """(mineral, stage, n) over the whole grid of the axes, zeros included."""
-    counted = cells(records).groupBy("mineral", "stage").agg(F.count("*").alias("n"))
-    return _grid(records, minerals, stages).join(counted, ["mineral", "stage"], "left").withColumn("n", F.coalesce("n", F.lit(0)).cast("long"))
+    return _completed(_counted(records, n=F.count("*")), minerals, stages, ["n"])
 
 
 def heatmap_wide(records: DataFrame, stages: list[str]) -> DataFrame:
@@ -55,9 +68,7 @@ def heatmap_wide(records: DataFrame, stages: list[str]) -> DataFrame:
 def matrix(records: DataFrame, minerals: DataFrame | None = None, stages: DataFrame | None = None) -> DataFrame:
     """(mineral, stage, patents, research) over the grid: research kinds count as research and all others as patents."""
     research = F.coalesce(F.col("kind").isin(*RESEARCH_KINDS), F.lit(False))
-    counted = cells(records).groupBy("mineral", "stage").agg(F.count_if(~research).alias("patents"), F.count_if(research).alias("research"))
-    out = _grid(records, minerals, stages).join(counted, ["mineral", "stage"], "left")
-    return out.withColumns({c: F.coalesce(c, F.lit(0)).cast("long") for c in ("patents", "research")})
+    return _completed(_counted(records, patents=F.count_if(~research), research=F.count_if(research)), minerals, stages, ["patents", "research"])
 
 
 def whitespace(cells_: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corvane.operators.dedupe import keep_first
@@ -16,22 +16,37 @@ def with_record_key(records: DataFrame) -> DataFrame:
     return records.withColumn("rec_key", F.coalesce(*[F.nullif(F.col(c), F.lit("")) for c in ("fixture_id", "appl_no", "source_url")]))
 
 
+def _pairs(orgs: Column) -> Column:
+    """Each pair of a list of names, as structs (org_a, org_b) with org_a before org_b."""
+    names = F.array_sort(F.array_distinct(orgs))
+    return F.flatten(F.transform(names, lambda a, i: F.transform(F.slice(names, i + 2, F.size(names)), lambda b: F.struct(a.alias("org_a"), b.alias("org_b")))))
+
+
+def _of(items: Column, make, kind: str) -> Column:
+    """A struct for each item of a list; none for a null list."""
+    return F.coalesce(F.transform(items, make), F.expr(f"cast(array() as array<{kind}>)"))
+
+
+EDGE = "struct<src:string,dst:string,type:string>"
+NODE = "struct<id:string,type:string,name:string>"
+
+
 def edges(records: DataFrame) -> DataFrame:
-    """(src, dst, type) of records(rec_key, orgs, labels): applicants, classifications, and co-filing pairs of each record."""
+    """(src, dst, type) of records(rec_key, orgs, labels): applicants, classifications, and co-filing pairs of each record, in one pass."""
     rec = F.concat(F.lit("rec:"), "rec_key")
-    applicant = records.select(rec.alias("src"), F.explode("orgs").alias("o")).select("src", F.concat(F.lit("org:"), "o").alias("dst"), F.lit("applicant_of").alias("type"))
-    out = applicant
-    for prefix, _, column in FACETS:
-        facet = records.select(rec.alias("src"), F.explode(column).alias("x"))
-        out = out.unionByName(facet.select("src", F.concat(F.lit(f"{prefix}:"), "x").alias("dst"), F.lit("classified_as").alias("type")))
-    return out.unionByName(cofiled(records).select(F.concat(F.lit("org:"), "org_a").alias("src"), F.concat(F.lit("org:"), "org_b").alias("dst"), F.lit("cofiled_with").alias("type")))
+
+    def facet(column: str, prefix: str, kind: str) -> Column:
+        return _of(F.col(column), lambda x: F.struct(rec.alias("src"), F.concat(F.lit(f"{prefix}:"), x).alias("dst"), F.lit(kind).alias("type")), EDGE)
+
+    org = lambda x: F.concat(F.lit("org:"), x)
+    filed = _of(_pairs(F.col("orgs")), lambda p: F.struct(org(p["org_a"]).alias("src"), org(p["org_b"]).alias("dst"), F.lit("cofiled_with").alias("type")), EDGE)
+    every = F.concat(facet("orgs", "org", "applicant_of"), *[facet(column, prefix, "classified_as") for prefix, _, column in FACETS], filed)
+    return records.select(F.explode(every).alias("e")).select("e.*")
 
 
 def cofiled(records: DataFrame) -> DataFrame:
     """(org_a, org_b), org_a before org_b: each pair of organisations of one record, for each record."""
-    names = F.array_sort(F.array_distinct("orgs"))
-    pairs = F.flatten(F.transform(names, lambda a, i: F.transform(F.slice(names, i + 2, F.size(names)), lambda b: F.struct(a.alias("org_a"), b.alias("org_b")))))
-    return records.where(F.size("orgs") > 1).select(F.explode(pairs).alias("p")).select("p.*")
+    return records.where(F.size("orgs") > 1).select(F.explode(_pairs(F.col("orgs"))).alias("p")).select("p.*")
 
 
 def nodes(records: DataFrame, order: list[str]) -> DataFrame:
@@ -39,10 +54,13 @@ def nodes(records: DataFrame, order: list[str]) -> DataFrame:
     last = keep_first(records, ["rec_key"], [F.col(c).desc() for c in order])
     none = F.lit(None).cast("string")
     out = last.select(F.concat(F.lit("rec:"), "rec_key").alias("id"), F.lit("record").alias("type"), "kind", F.coalesce("title", F.lit("")).alias("title"), none.alias("name"))
-    for prefix, kind, column in (("org", "org", "orgs"), *FACETS):
-        each = records.select(F.explode(column).alias("name")).where("name is not null").distinct()
-        out = out.unionByName(each.select(F.concat(F.lit(f"{prefix}:"), "name").alias("id"), F.lit(kind).alias("type"), none.alias("kind"), none.alias("title"), "name"))
-    return out
+
+    def facet(column: str, prefix: str, kind: str) -> Column:
+        return _of(F.col(column), lambda x: F.struct(F.concat(F.lit(f"{prefix}:"), x).alias("id"), F.lit(kind).alias("type"), x.alias("name")), NODE)
+
+    each = F.concat(*[facet(column, prefix, kind) for prefix, kind, column in (("org", "org", "orgs"), *FACETS)])
+    named = records.select(F.explode(each).alias("n")).where("n.name is not null").select("n.*").distinct()
+    return out.unionByName(named.select("id", "type", none.alias("kind"), none.alias("title"), "name"))
 
 
 def dangling(nodes_: DataFrame, edges_: DataFrame) -> DataFrame:

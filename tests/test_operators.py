@@ -104,6 +104,12 @@ def test_matrix_and_whitespace(engine):
     assert [tuple(r) for r in wide] == [("CO", 1, 1), ("LI", 0, 0)]
     odd = engine.records.sparkSession.createDataFrame([("x", ["A", "A"], ["S"])], "kind string, mineral_ids array<string>, stage_ids array<string>")
     assert analytics.matrix(odd).first().patents == 2
+    half = engine.spark.createDataFrame([("rd", ["A"], []), ("patent", None, ["S"]), ("patent", ["B"], ["T"])], odd.schema)
+    want = {("A", "S"): (0, 0), ("A", "T"): (0, 0), ("B", "S"): (0, 0), ("B", "T"): (1, 0)}
+    assert {(r.mineral, r.stage): (r.patents, r.research) for r in analytics.matrix(half).collect()} == want
+    named = engine.spark.createDataFrame([("B",), ("Z",)], "mineral string")
+    assert {(r.mineral, r.stage): r.patents for r in analytics.matrix(half, minerals=named).collect()} == {("B", "S"): 0, ("B", "T"): 1, ("Z", "S"): 0, ("Z", "T"): 0}
+    assert analytics.matrix(half.limit(0)).collect() == []
 
 
 def test_collaborations(engine):
