@@ -45,6 +45,7 @@ NAMES = frozenset(
     sponsored promo promotion cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login share sharing social
     breadcrumb breadcrumbs pagination pager related recommended recommendations toolbar widget widgets skip copyright legal disclaimer""".split()
 )
+HEADERS = frozenset(["header", "masthead"])
 COMMENT_NAMES = frozenset("comment comments commentlist disqus respond replies reply".split())
 
 TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)[^>]*(?:>|\Z)", re.S)
@@ -75,7 +76,7 @@ def zone_of(tag: str, attributes: str, zone: int, closed: bool) -> tuple[int, bo
     if role in ROLES:
         return FURNITURE_ZONE, True
     # A header within an article has its title.
-    if words & NAMES or tag == "header" and zone < ARTICLE:
+    if words & (NAMES - HEADERS if zone == ARTICLE else NAMES) or tag == "header" and zone < ARTICLE:
         return FURNITURE_ZONE, False
     return zone, False
 

@@ -30,6 +30,7 @@ def test_pages_without_an_article():
     assert main("<article>A</article><p>x</p><article>B</article>") == "A\nB"
     assert main("") == main("<p>") == main("<script>") == main("<!-- x") == ""
     assert main("<") == "<"
+    assert main("<div class=page-header>x</div><article><div class='article-header'><h1>T</h1></div><p>A</article>") == "T\nA"
     assert main("a < b & c &amp d &copy; &#233; &bogus;") == "a < b & c & d © é &bogus;"
     assert main("<p title='a>b' data-x=\"<p>\">T<p") == "T"
 
