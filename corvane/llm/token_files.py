@@ -36,6 +36,8 @@ BLOCK_IDS, SEGMENT_IDS = 65_536, 1_000_000
 END_ID = 2
 #: Distinct words whose ids a worker remembers.
 MAX_KNOWN = 1_000_000
+#: Words whose ids are gathered together.
+GATHERED = 200_000
 BATCH = 2048
 
 #: Characters for which every Unicode version and regular-expression library splits alike; of white space, space and line feed.
@@ -170,11 +172,16 @@ class Encoder:
         new = words.filter(pc.is_null(found))
         number[number < 0] = np.concatenate([self._learn(new.slice(at, 16_384)) for at in range(0, len(new), 16_384)] or [number[:0]])
         unit = number.astype(np.int32)[(np.cumsum(there) - 1)[code]]
-        n = (self.ends[unit + 1] - self.ends[unit]).astype(np.int32)
-        stop = np.cumsum(n)
-        ids = self.pool[np.repeat(self.ends[unit + 1] - stop, n) + np.arange(stop[-1])] if len(unit) else self.pool[:0]
+        ends = self.ends.astype(np.int32)
+        lengths = ends[unit + 1] - ends[unit]
+        parts = []
+        for at in range(0, len(unit), GATHERED):
+            n = lengths[at : at + GATHERED]
+            stop = np.cumsum(n, dtype=np.int32)
+            parts.append(self.pool[np.repeat(ends[unit[at : at + GATHERED] + 1] - stop, n) + np.arange(stop[-1], dtype=np.int32)])
+        ids = np.concatenate(parts) if parts else self.pool[:0]
         counts = np.zeros(len(batch), np.int64)
-        counts[~whole] = np.diff(np.concatenate(([0], stop))[offsets])
+        counts[~whole] = np.diff(np.concatenate(([0], np.cumsum(lengths, dtype=np.int64)))[offsets])
         if not whole.any():
             return ids, counts
         rest = [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(batch.filter(pa.array(whole)).to_pylist(), add_special_tokens=False)]
