@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections import Counter
+from functools import reduce
+from itertools import chain
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -30,11 +32,17 @@ def faceted(df: DataFrame, mineral: str | None = None, stage: str | None = None,
 
 def score(tokens: list[str]) -> Column:
     """For each token of the query, repeats counted, the weights of the fields that have it."""
-    total = F.lit(0.0)
-    for token, n in Counter(tokens).items():
-        for f, w in WEIGHTS.items():
-            total = total + F.when(F.array_contains(f"tok_{f}", token), F.lit(w * n)).otherwise(F.lit(0.0))
-    return total
+    times = Counter(tokens)
+    if not times:
+        return F.lit(0.0)
+    worth = F.create_map(*map(F.lit, chain(*((t, float(n)) for t, n in times.items()))))
+    wanted = F.array(*map(F.lit, times))
+
+    def field(f: str) -> Column:
+        # The token set is named once for each field, so that a plan that inlines it makes it once.
+        return F.aggregate(F.array_intersect(f"tok_{f}", wanted), F.lit(0.0), lambda a, x: a + F.element_at(worth, x)) * F.lit(WEIGHTS[f])
+
+    return reduce(lambda a, b: a + b, map(field, WEIGHTS))
 
 
 def hits(index: DataFrame, q: str, mineral: str | None = None, stage: str | None = None, kind: str | None = None) -> DataFrame:
