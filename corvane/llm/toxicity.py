@@ -17,8 +17,8 @@ from corvane.llm.common import cut, give_back, texts
 
 #: Labelled rows that the index is built from, at most: those with the least keyed hash of their id. This bounds index, broadcast and driver.
 MAX_EXAMPLES = 8000
-#: Terms of the vocabulary, at most: those whose presence tells most about the label (chi-square), of enough examples.
-MAX_TERMS, MIN_CHI2, MIN_TOXIC_DOCS, MIN_CLEAN_DOCS = 1024, 11.0, 5, 25
+#: Terms of the vocabulary: all whose presence tells about the label (chi-square) in enough examples; MAX_EXAMPLES bounds their number.
+MIN_CHI2, MIN_TOXIC_DOCS, MIN_CLEAN_DOCS = 11.0, 5, 25
 #: Beside whole words, their first characters are terms, which inflected forms share.
 PREFIXES = (4, 5, 6, 7)
 NEIGHBOURS, BLOCK = 25, 64
@@ -196,7 +196,7 @@ def fit(documents: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAMPLE
     per_term = per_term.where((a >= MIN_TOXIC_DOCS) | (b >= MIN_CLEAN_DOCS)).where(a + b < n1 + n0)
     number: dict[str, int] = {}
     if n1 and n0:
-        best = per_term.withColumn("chi2", chi2).where(F.col("chi2") >= MIN_CHI2).orderBy(F.desc("chi2"), "term").limit(MAX_TERMS)
+        best = per_term.withColumn("chi2", chi2).where(F.col("chi2") >= MIN_CHI2).orderBy(F.desc("chi2"), "term")
         number = {r["term"]: i for i, r in enumerate(best.select("term").collect())}
 
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -1,3 +1,4 @@
+import itertools
 import random
 import zlib
 
@@ -78,6 +79,13 @@ def test_odd_rows(spark):
     assert t.score_documents(odd.limit(0), model).collect() == []
 
 
+def test_every_telling_term_is_kept(spark):
+    words = ["".join(w) for w in itertools.product("abcdefghijk", repeat=3)]
+    rows = [(i, " ".join(words) if i % 4 == 0 else "sun tree", 0.0, 0) for i in range(200)]
+    model = t.fit(spark.createDataFrame(rows, SCHEMA), spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(200)], "doc_id long, toxic int"))
+    assert set(words) <= set(model.number) and len(words) == 1331
+
+
 @pytest.mark.parametrize("case", ["no labels", "one class", "no documents"])
 def test_nothing_to_learn(spark, case):
     docs, labels = small(spark)
