@@ -4,13 +4,14 @@ Encoding is that of a merge-type model: the symbols of a text are its
 characters, an agenda holds each pair of neighbours whose joint piece the
 vocabulary has, and the best one (highest score, then leftmost) is merged until
 none is left. With dropout, a candidate merge is skipped for good when a keyed
-hash of it falls below the rate. The key is the seed, a variant of the chunk's
-occurrence, the chunk and the candidate's span, so segmentations differ between
+hash of it falls below the rate. The key is the seed, the document, the chunk's
+place in it, the chunk and the candidate's span, so segmentations differ between
 seeds, documents and places, and a rerun gives the same ones.
 
 No piece holds a space mark after another character, so chunks of space marks
-and what follows them are merged alone, and all distinct chunks of a batch at
-once: each round merges the best candidate of every chunk that has one.
+and what follows them are merged alone, and all chunks of a batch at once: each
+round merges the best candidate of every chunk that has one. Equal chunks of
+which the same candidates are dropped are merged once.
 """
 
 from __future__ import annotations
@@ -32,14 +33,16 @@ from corvane.llm.common import give_back, texts
 SPACE = "▁"
 #: Stands for a literal space mark of a text until it is spelt in bytes. No text holds a lone surrogate.
 LITERAL = "\ud800"
-#: How many segmentations a chunk can have under one seed; a power of two.
-VARIANTS = 4
 DROPOUT, SEED = 0.1, 7
 #: Chunks beyond this many symbols go through the agenda one by one, in n log n steps.
 LONG_CHUNK = 256
 BATCH = 512
 #: Chunks that are merged together.
 PART = 10_000
+#: Chunks beyond this many symbols or candidates, or of fewer places in a batch, are merged at each place by themselves.
+PATTERN_SYMBOLS, PATTERN_BITS, PATTERN_PLACES = 24, 64, 16
+#: Places whose dropped candidates are found together; chunks whose candidates are kept.
+PLACES, MAX_CACHED_CHUNKS = 50_000, 50_000
 NONE = np.int64(1) << np.int64(62)
 CHUNKS = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 
@@ -92,6 +95,8 @@ class Codec:
         self.bits = max(4, int(2 * len(pairs)).bit_length() + 1)
         self.slots = np.full(1 << self.bits, -1, np.int64)
         self._fill()
+        #: Chunk to what candidates gives for it.
+        self.known: dict[str, tuple[np.ndarray, int]] = {}
 
     def _slot(self, keys: np.ndarray) -> np.ndarray:
         return (keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - self.bits)).astype(np.int64)
@@ -256,6 +261,64 @@ class Codec:
         order = np.argsort(owners << np.int64(20) | starts)
         return owners[order], symbols[order]
 
+    def candidates(self, chunk: str) -> tuple[np.ndarray, int]:
+        """The scrambled spans of all merges that some dropout can come to, and as bits those that are met where none is dropped.
+
+        A chunk with too many of them has none here and -1 as bits.
+        """
+        n, get = len(chunk), self.piece_id.get
+        if n > PATTERN_SYMBOLS:
+            return np.empty(0, np.uint64), -1
+        reached = {(i, i + 1) for i in range(n) if chunk[i] in self.piece_id}
+        number: dict[tuple[int, int, int], int] = {}
+        for size in range(2, n + 1):
+            for i in range(n - size + 1):
+                j = i + size
+                if chunk[i:j] in self.piece_id:
+                    for k in range(i + 1, j):
+                        if (i, k) in reached and (k, j) in reached:
+                            number[i, k, j] = len(number)
+                            reached.add((i, j))
+        if len(number) > PATTERN_BITS:
+            return np.empty(0, np.uint64), -1
+        met, cuts = 0, list(range(n + 1))
+        while found := [(int(self.rank[get(chunk[i:j])]), at, number[i, k, j]) for at, (i, k, j) in enumerate(zip(cuts, cuts[1:], cuts[2:], strict=False)) if (i, k, j) in number]:
+            for _, _, bit in found:
+                met |= 1 << bit
+            del cuts[min(found)[1] + 1]
+        return mix(np.array([i << 42 | k << 21 | j for i, k, j in number], np.uint64)), met
+
+    def patterns(self, chunks: list[str], use: np.ndarray, keys: np.ndarray) -> np.ndarray:
+        """For each place, the number of its chunk in use and its key, a number that stands for what is dropped; equal ones of a chunk have equal segmentations."""
+        if len(self.known) > MAX_CACHED_CHUNKS:
+            self.known.clear()
+        seldom = (np.empty(0, np.uint64), -1)
+        often = np.bincount(use, minlength=len(chunks)) >= PATTERN_PLACES
+        for i in np.flatnonzero(often).tolist():
+            if chunks[i] not in self.known:
+                self.known[chunks[i]] = self.candidates(chunks[i])
+        spans, met = zip(*(self.known[c] if o else seldom for c, o in zip(chunks, often.tolist(), strict=True)), strict=True)
+        size = np.array(list(map(len, spans)), np.int64)
+        first, span = np.cumsum(size) - size, np.concatenate(spans)
+        single = np.array([m < 0 for m in met])
+        met = np.array([max(m, 0) for m in met], np.uint64)
+        out = np.zeros(len(use), np.uint64)
+        for at in range(0, len(use), PLACES):
+            u, key = use[at : at + PLACES], keys[at : at + PLACES]
+            some = np.flatnonzero(size[u] > 0)
+            n = size[u[some]]
+            begin = np.cumsum(n) - n
+            bit = np.arange(n.sum()) - np.repeat(begin, n)
+            h = mix(np.repeat(key[some], n) ^ span[np.repeat(first[u[some]], n) + bit])
+            drop = ((h >> np.uint64(11)).astype(np.float64) / 2.0**53 < self.dropout).astype(np.uint64) << bit.astype(np.uint64)
+            if len(some):
+                found = np.bitwise_or.reduceat(drop, begin)
+                # Where nothing that is met is dropped, the rest is never come to.
+                out[at + some] = np.where(found & met[u[some]], found, 0)
+        alone = np.flatnonzero(single[use])
+        out[alone] = keys[alone]
+        return out
+
     def encode_all(self, names: list[bytes], batch: list[str]) -> list[np.ndarray]:
         """Ids of each text; names tell documents apart, so that each varies on its own."""
         number: defaultdict[str, int] = defaultdict()
@@ -263,21 +326,24 @@ class Codec:
         uses = [np.array(list(map(number.__getitem__, self._split(t))), np.int64) for t in batch]
         counts = np.array(list(map(len, uses)), np.int64)
         use = np.concatenate(uses) if uses else np.empty(0, np.int64)
-        if self.dropout:
+        chunks = list(number)
+        base = self.chunk_keys(chunks)
+        if self.dropout and len(use):
             own = np.frombuffer(b"".join([xxhash.xxh64_digest(n, self.seed & 0xFFFFFFFF) for n in names]), ">u8").astype(np.uint64)
             place = np.arange(len(use), dtype=np.uint64) - np.repeat(np.cumsum(counts) - counts, counts).astype(np.uint64)
-            use = use * VARIANTS + (mix(place ^ np.repeat(own, counts)) & np.uint64(VARIANTS - 1)).astype(np.int64)
+            keys = mix(base[use] ^ mix(place ^ np.repeat(own, counts)))
+            pattern = self.patterns(chunks, use, keys)
+            order = np.lexsort((pattern, use))
+            fresh = np.concatenate(([True], (np.diff(use[order]) != 0) | (pattern[order][1:] != pattern[order][:-1])))
+            # Of equal ones the first place stands for all.
+            there = order[fresh]
+            of_place = np.empty(len(use), np.int64)
+            of_place[order] = np.cumsum(fresh) - 1
+            flat, ends = self.segment([chunks[i] for i in use[there].tolist()], keys[there])
+            use = of_place
         else:
-            use = use * VARIANTS
-        there = np.zeros(len(number) * VARIANTS, bool)
-        there[use] = True
-        distinct = np.flatnonzero(there)
-        chunks = list(number)
-        base = self.chunk_keys(chunks)
-        keys = mix(base[distinct // VARIANTS] + (distinct % VARIANTS).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-        flat, ends = self.segment([chunks[i] for i in (distinct // VARIANTS).tolist()], keys)
+            flat, ends = self.segment(chunks, base)
         begins = np.concatenate(([0], ends[:-1])) if len(ends) else ends
-        use = (np.cumsum(there) - 1)[use]
         n = (ends - begins)[use]
         stop = np.cumsum(n)
         ids = flat[np.repeat(ends[use] - stop, n) + np.arange(stop[-1])] if len(use) else flat[:0]

@@ -1,10 +1,12 @@
 import random
+import unittest.mock
 import zlib
 
 import numpy as np
 import public_tokenizers
 import pytest
 import sentencepiece
+import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -90,6 +92,28 @@ def test_seeds_and_documents_vary_and_reruns_agree():
     assert all(len(r) > 1.05 * few for r in runs.values())
 
 
+def test_a_word_varies_with_every_place():
+    text = " ".join(["unbelievable"] * 2000 + ["x" * 40])
+    ids = VARIED.encode_all([b"1"], [text])[0].tolist()
+    words = "".join("|" * VARIED.raw[i].startswith(b" ") + str(i) + "," for i in ids).split("|")
+    assert len(set(words)) > 20
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(TEXT, min_size=1, max_size=6), st.sampled_from([1, 16]))
+def test_each_place_follows_its_own_key(batch, least):
+    digest = lambda x: int.from_bytes(xxhash.xxh64_digest(x, VARIED.seed), "big")
+    names = [str(i).encode() for i in range(len(batch))]
+    with unittest.mock.patch.object(c, "PATTERN_PLACES", least):
+        found = VARIED.encode_all(names, batch)
+    for name, text, got in zip(names, batch, found, strict=True):
+        want = []
+        for place, chunk in enumerate(VARIED._split(text)):
+            key = c.mix(VARIED.chunk_keys([chunk]) ^ c.mix(np.array([place ^ digest(name)], np.uint64)))
+            want += VARIED.segment_by_agenda(chunk, int(key[0]))
+        assert got.tolist() == want
+
+
 @pytest.mark.parametrize("dropout", [0.0, 0.1])
 def test_documents(spark, dropout):
     rows = [(1, "The river is long.\nAnd wide.", 0), (2, None, 0), (3, "", 0), (None, "no id ▁ here", 0), (1, "The river is long.\nAnd wide.", 0), (5, "word " * 30000 + "x" * 5000, 0)]
