@@ -20,9 +20,13 @@ from corvane.llm.url_filter import host_of
 SHARD_PAGES = 128
 #: A repeated substring has this many tokens or more, block ends included.
 MIN_TOKENS = 8
-#: What a page marks as its article goes only where over that share of a host's pages, and that many, repeat it; unmarked text sooner.
-MARKED_PAGES, MARKED_SHARE = 20, 0.6
-UNMARKED_PAGES, UNMARKED_SHARE = 3, 0.2
+#: Pages whose sets of SHINGLE tokens in a row have that Jaccard similarity or more, and what such pairs join, count as one page.
+SHINGLE, SAME_PAGE = 5, 0.8
+#: Columns of the page matrix that are multiplied at once.
+COLUMNS = 8192
+#: Text goes where that many of a host's distinct pages, and over that share of them, repeat it: more of what a page marks as its article.
+LEAST_PAGES = 3
+MARKED_SHARE, UNMARKED_SHARE = 0.6, 0.2
 
 # Elements by what their content is.
 SKIPPED = frozenset("script style noscript template svg math iframe object embed canvas audio video map select option datalist textarea button title".split())
@@ -159,15 +163,60 @@ def block_hash(text: str) -> int:
     return int.from_bytes(xxhash.xxh64_digest(text.encode()), "big", signed=True)
 
 
-def repeated_blocks(pages: list[list[str]]) -> dict[int, int]:
+def same_pages(pages: list[str]) -> np.ndarray:
+    """A number for each page's text, which equal and near-equal pages share."""
+    number: dict[str, int] = {}
+    text = [number.setdefault(p, len(number)) for p in pages]
+    pages = list(number)
+    words = pc.split_pattern(pa.array([p.replace("\n", " ") for p in pages]), " ")
+    ends = words.offsets.to_numpy().astype(np.int64)
+    token = words.values.dictionary_encode().indices.to_numpy().astype(np.uint64) + np.uint64(1)
+    key = np.zeros(len(token), np.uint64)
+    stop = np.repeat(ends[1:], np.diff(ends))
+    for k in range(SHINGLE):
+        # A page with fewer tokens than a shingle is one; none goes beyond its page.
+        at = np.arange(len(token)) + k
+        own = np.where(at < stop, token[np.minimum(at, len(token) - 1)], np.uint64(0))
+        key = (key ^ own) * np.uint64(0x9E3779B97F4A7C15)
+        key ^= key >> np.uint64(29)
+    place = np.arange(len(token)) - np.repeat(ends[:-1], np.diff(ends))
+    whole = (place == 0) | (np.arange(len(token)) + SHINGLE <= stop)
+    page = np.repeat(np.arange(len(pages)), np.diff(ends))[whole]
+    _, column = np.unique(key[whole], return_inverse=True)
+    cells = np.unique(column.astype(np.int64) * len(pages) + page)
+    column, page = cells // len(pages), cells % len(pages)
+    size = np.bincount(page, minlength=len(pages))
+    shared = np.bincount(column)[column] > 1
+    column, page = np.unique(column[shared], return_inverse=True)[1], page[shared]
+    both = np.zeros((len(pages), len(pages)))
+    for first in range(0, int(column.max(initial=-1)) + 1, COLUMNS):
+        here = slice(*np.searchsorted(column, (first, first + COLUMNS)))
+        held = np.zeros((len(pages), COLUMNS), np.float32)
+        held[page[here], column[here] - first] = 1
+        both += held @ held.T
+    near = both >= SAME_PAGE * (size[:, None] + size - both) - 1e-9
+    np.fill_diagonal(near, True)
+    # The least page that is reached stands for all.
+    least = np.arange(len(pages))
+    while (now := np.where(near, least, len(pages)).min(axis=1)).tolist() != least.tolist():
+        least = now
+    return least[text]
+
+
+def repeated_blocks(pages: list[list[str]], same: np.ndarray | None = None) -> dict[int, int]:
     """Block hash to the number of pages on which a block is covered by substrings that distinct pages repeat.
 
+    Pages of one number in same count as one page.
+
     The pages' token streams stand in a row, with a mark at each block's end and
     a mark of its own at each page's, and their suffixes are sorted by their
     first MIN_TOKENS tokens or more, by prefix doubling. Suffixes that share
     those stand together; where they come from two pages or more, their tokens
     are covered.
     """
+    if same is None:
+        same = np.arange(len(pages))
+    pages, same = [pages[i] for i in np.argsort(same, kind="stable")], np.sort(same)
     blocks = [b for p in pages for b in p]
     if len(pages) < 2 or not blocks:
         return {}
@@ -188,7 +237,7 @@ def repeated_blocks(pages: list[list[str]]) -> dict[int, int]:
         new[order] = np.concatenate(([0], np.cumsum(np.diff(key[order]) != 0)))
         rank, depth = new, 2 * depth
     order = np.argsort(rank, kind="stable")  # the suffix array, to that depth
-    sorted_rank, sorted_page = rank[order], page[order]
+    sorted_rank, sorted_page = rank[order], same[page[order]]
     # Positions are in order within a rank, so pages are too.
     fresh = np.concatenate(([True], (np.diff(sorted_rank) != 0) | (np.diff(sorted_page) != 0)))
     group = np.concatenate(([0], np.cumsum(np.diff(sorted_rank) != 0)))
@@ -203,7 +252,7 @@ def repeated_blocks(pages: list[list[str]]) -> dict[int, int]:
     out: dict[int, int] = {}
     seen: set[tuple[int, int]] = set()
     for k in np.flatnonzero(whole).tolist():
-        at = (int(page_of_block[k]), block_hash(blocks[k]))
+        at = (int(same[page_of_block[k]]), block_hash(blocks[k]))
         if at not in seen:
             seen.add(at)
             out[at[1]] = out.get(at[1], 0) + 1
@@ -223,12 +272,15 @@ def boilerplate(pages: DataFrame) -> DataFrame:
         key, held = None, []
 
         def count() -> pa.RecordBatch:
-            found = repeated_blocks([t.split("\n") for t in held])
+            same = same_pages(held)
+            found: dict[int | None, int] = dict(repeated_blocks([t.split("\n") for t in held], same))
             if key[2]:
                 # What one shard has once may be repeated in another.
                 for t in held:
                     for h in {block_hash(b) for b in t.split("\n")}:
                         found.setdefault(h, 1)
+            # Without a block: how many distinct pages there are.
+            found[None] = len(np.unique(same))
             return pa.RecordBatch.from_arrays(
                 [pa.array([key[0]] * len(found), pa.string()), pa.array([key[1]] * len(found), pa.int32()), pa.array(list(found), pa.int64()), pa.array(list(found.values()), pa.int64())], names=["host", "zone", "hash", "n"]
             )
@@ -246,16 +298,15 @@ def boilerplate(pages: DataFrame) -> DataFrame:
     shards = F.ceil(F.col("n_pages") / SHARD_PAGES)
     shard = F.pmod(F.xxhash64("page_id", "url"), shards).alias("shard")
     # A host with fewer pages than may repeat a block has none to lose.
-    rows = pages.where((F.col("n_pages") >= UNMARKED_PAGES) & (F.col("html") != "")).select("host", shard, "html", "n_pages")
+    rows = pages.where((F.col("n_pages") >= LEAST_PAGES) & (F.col("html") != "")).select("host", shard, "html", "n_pages")
     parsed = rows.select("host", "shard", "html").mapInArrow(streams, "host string, shard long, zone int, text string").where("text <> ''")
     counts = pages.select("host", "n_pages").where(shards > 1).distinct().select(F.col("host").alias("h"))
     parsed = parsed.join(small(cut(counts)), F.col("host") == F.col("h"), "left").select("host", "shard", "zone", F.col("h").isNotNull().alias("many"), "text")
     grouped = parsed.repartition("host", "shard", "zone").sortWithinPartitions("host", "shard", "zone")
-    found = grouped.mapInArrow(arrays, "host string, zone int, hash long, n long").groupBy("host", "zone", "hash").agg(F.sum("n").alias("n"))
-    totals = pages.select(F.col("host").alias("h"), "n_pages").distinct()
-    marked = F.col("zone") > OPEN
-    least = F.when(marked, F.greatest(F.lit(MARKED_PAGES), F.col("n_pages") * MARKED_SHARE)).otherwise(F.greatest(F.lit(UNMARKED_PAGES), F.col("n_pages") * UNMARKED_SHARE))
-    often = found.where(F.col("n") >= UNMARKED_PAGES).join(totals, F.col("host") == F.col("h")).where(F.col("n") >= least)
+    found = cut(grouped.mapInArrow(arrays, "host string, zone int, hash long, n long").groupBy("host", "zone", "hash").agg(F.sum("n").alias("n")))
+    totals = found.where("hash is null").groupBy(F.col("host").alias("h")).agg(F.sum("n").alias("n_distinct"))
+    least = F.greatest(F.lit(LEAST_PAGES), F.col("n_distinct") * F.when(F.col("zone") > OPEN, MARKED_SHARE).otherwise(UNMARKED_SHARE))
+    often = found.where((F.col("n") >= LEAST_PAGES) & F.col("hash").isNotNull()).join(totals, F.col("host") == F.col("h")).where(F.col("n") >= least)
     return often.groupBy("host").agg(F.collect_list(F.struct("zone", "hash")).alias("boilerplate")).withColumnRenamed("host", "h")
 
 
@@ -267,7 +318,8 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     scripts, styles, comments and hidden elements hold is left out. Then blocks
     go that a host's suffix arrays find repeated across so many of its pages
     that they are boilerplate; far more pages must repeat what a page itself
-    marks as its article, as copies and quoted passages belong to it. A page
+    marks as its article, as quoted passages belong to it. Copies and near
+    copies count as one page. A page
     never loses all its blocks that way. n_removed counts those it loses.
 
     A null html is empty and gives no text; pages without a host share one;

@@ -103,6 +103,18 @@ def test_repeated_boilerplate_goes_and_copies_stay(spark, monkeypatch, shard_pag
     assert x.extract(df.limit(0)).collect() == []
 
 
+def test_near_copies_count_as_one_page(spark):
+    words = lambda seed, n: " ".join(random.Random(seed).choices("river stone bread cloud paper light train house water music green apple".split(), k=n))
+    shared = [words(k, 40) for k in range(5)]
+    rows = [(i, f"http://{kind}{size}.com/{i}", open_ + "".join(f"<p>{b}</p>" for b in ([*shared, f"{words((kind, i, size).__repr__(), 9)}"] if i < 0.7 * size else [words((i, size).__repr__(), 120)])) + close)
+            for kind, open_, close in (("marked", "<article>", "</article>"), ("open", "", "")) for size in (10, 30) for i in range(size)]
+    # An unclassed notice in the articles of a small host.
+    rows += [(900 + i, f"http://notice.com/{i}", f"<article><p>{words(2000 + i, 60)}</p><p>{BANNER}</p></article>") for i in range(6)]
+    got = x.extract(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4)).collect()
+    assert len(got) == len(rows)
+    assert all(r.n_removed == (1 if "notice" in r.url else 0) and (BANNER in r.text) == False for r in got)  # noqa: E712
+
+
 def test_tables_pages_give_their_articles(spark, sf_dir):
     pages = spark.read.parquet(sf_dir.replace("0.001", "0.01") + "/pages.parquet")
     want = {}
