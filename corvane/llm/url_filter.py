@@ -16,6 +16,7 @@ MAX_COMPILED = 200
 URL = r"(?s)\A.*?://([^/?#]*)([^?#]*)"
 CANONICAL = r"""(?is)<link\b[^>]*\brel\s*=\s*["']?canonical\b[^>]*>"""
 REFRESH = r"""(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*["']?refresh\b[^>]*>"""
+BASE = r"(?is)<base\s[^>]*\bhref\s*=[^>]*>"
 HREF = r"""(?is)\bhref\s*=\s*["']?([^"'\s>]+)"""
 TARGET = r"""(?is)\burl\s*=\s*["']?([^"'\s>]+)"""
 
@@ -59,20 +60,44 @@ def with_rule(df: DataFrame, host: str, path: str, rules=RULES) -> DataFrame:
     return df.join(best, (F.col(host) == F.col("__host")) & (F.col(path) == F.col("__path")), "left").drop("__host", "__path")
 
 
-def page_edges(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """(a, b): alias keys of pages and of what their canonical links and refresh redirects name, relative addresses resolved."""
-    html = F.col(html_col)
-    link = F.when(F.contains(F.lower(html), F.lit("canonical")), F.regexp_extract(F.regexp_extract(html, CANONICAL, 0), HREF, 1))
-    move = F.when(F.contains(F.lower(html), F.lit("http-equiv")), F.regexp_extract(F.regexp_extract(html, REFRESH, 0), TARGET, 1))
-    named = pages.select(F.col(url_col).alias("url"), F.explode(F.array(link, move)).alias("to")).where("to <> ''")
-    to = F.replace("to", F.lit("&amp;"), F.lit("&"))
-    scheme = F.regexp_extract("url", r"(?s)\A(.*?)://", 1)
-    whole = (
-        F.when(F.contains(to, F.lit("://")), to)
+def resolved(base: Column, to: Column) -> Column:
+    """The whole address that ``to`` names on a page at ``base``: absolute, or relative to its scheme, host, folder or query; null for other schemes."""
+    scheme, path = F.regexp_extract(base, r"(?s)\A(.*?)://", 1), path_of(base)
+    own, rest = F.regexp_extract(to, r"(?s)\A([^?#]*)", 1), F.regexp_extract(to, r"(?s)\A[^?#]*(.*)", 1)
+    query = F.regexp_extract(base, r"(?s)\A.*?://[^?#]*(\?[^#]*)", 1)
+    folder = F.when(path == "", F.lit("/")).otherwise(F.regexp_extract(path, r"(?s)\A(.*/)", 1))
+    steps = F.split(F.substring(F.when(F.startswith(own, F.lit("/")), own).otherwise(F.concat(folder, own)), F.lit(2), F.lit(2**31 - 1)), "/")
+    # ".." takes away the step before it and "." none; at the end both leave a folder.
+    walked = F.aggregate(
+        steps, F.array().cast("array<string>"), lambda done, x: F.when(x == ".", done).when(x == "..", F.slice(done, F.lit(1), F.greatest(F.size(done) - 1, F.lit(0)))).otherwise(F.concat(done, F.array(x)))
+    )
+    ends = F.element_at(steps, -1).isin(".", "..")
+    walked = F.concat(F.lit("/"), F.array_join(F.when(ends, F.concat(walked, F.array(F.lit("")))).otherwise(walked), "/"))
+    root = F.concat(scheme, F.lit("://"), host_of(base))
+    return (
+        F.when(F.rlike(to, F.lit(r"(?s)\A[A-Za-z][A-Za-z0-9+.-]*://")), to)
+        .when(F.rlike(to, F.lit(r"(?s)\A[A-Za-z][A-Za-z0-9+.-]*:")), F.lit(None).cast("string"))
         .when(F.startswith(to, F.lit("//")), F.concat(scheme, F.lit(":"), to))
-        .when(F.startswith(to, F.lit("/")), F.concat(scheme, F.lit("://"), host_of(F.col("url")), to))
+        .when(own != "", F.concat(root, walked, rest))
+        .when(F.startswith(to, F.lit("?")), F.concat(root, path, to))
+        .otherwise(F.concat(root, path, query, to))
     )
-    return named.select(alias_key(F.col("url")).alias("a"), alias_key(whole).alias("b")).where("a is not null and b is not null and a <> b")
+
+
+def page_edges(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
+    """(a, b): alias keys of pages and of what all their canonical links and refresh redirects name, relative addresses resolved against the page's url or base element."""
+    html = F.col(html_col)
+
+    def all_of(mark: str, tag: str, address: str) -> Column:
+        found = F.transform(F.regexp_extract_all(html, F.lit(tag), F.lit(0)), lambda x: F.regexp_extract(x, address, 1))
+        return F.when(F.contains(F.lower(html), F.lit(mark)), found).otherwise(F.array().cast("array<string>"))
+
+    targets = F.concat(all_of("canonical", CANONICAL, HREF), all_of("http-equiv", REFRESH, TARGET))
+    named = pages.select(F.col(url_col).alias("url"), html.alias("html"), F.explode(targets).alias("to")).where("to <> ''")
+    plain = lambda c: F.replace(c, F.lit("&amp;"), F.lit("&"))
+    named = named.select("url", plain(F.col("to")).alias("to"), plain(F.regexp_extract(F.regexp_extract("html", BASE, 0), HREF, 1)).alias("base"))
+    named = named.withColumn("from", F.coalesce(F.when(F.col("base") != "", resolved(F.col("url"), F.col("base"))), F.col("url")))
+    return named.select(alias_key(F.col("url")).alias("a"), alias_key(resolved(F.col("from"), F.col("to"))).alias("b")).where("a is not null and b is not null and a <> b")
 
 
 def judge_urls(pages: DataFrame, rules=RULES, redirects: DataFrame | None = None, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

@@ -1,4 +1,5 @@
 import random
+from urllib.parse import urljoin
 
 import duckdb
 import pytest
@@ -90,6 +91,23 @@ def test_redirect_table_and_relative_links(spark):
     assert got == {1: "block", 2: "allow", 3: "allow"}
 
 
+def test_every_relative_target_is_resolved(spark):
+    bases = ["http://a.com", "http://a.com/x/y.html?p=1#f", "http://a.com/x/y/?p", "https://A.com/"]
+    targets = ["page2.html", "../a", "../../../a/./b/..", "?id=1", "#top", "./", "..", "/q/../r?s=/../t", "//b.com/x", "http://c.com/../d", "a?u=http://e.com/", "x/y#z", "mailto:me@f.com", "g:h"]
+    rows = [(u0, to, f'<link rel="canonical" href="{to}">') for u0 in bases for to in targets]
+    rows += [(u0, urljoin(b, to), f"<base href='{b}'><meta http-equiv=refresh content='0; url={to}'>") for u0 in bases for b in ["http://z.com/k/l/", "//z.com/k", "http://z.com/m?n"] for to in ["p", "?q", "../r"]]
+    rows += [(u0, urljoin(urljoin(u0, "k/l"), "p"), "<base href=k/l><link rel=canonical href=p>") for u0 in bases]
+    pages = spark.createDataFrame(rows, "url string, to string, html string")
+    want = {(key(u0), key(urljoin(u0, to))) for u0, to, _ in rows if key(urljoin(u0, to)) and "mailto" not in to and to != "g:h"}
+    assert {(r.a, r.b) for r in u.page_edges(pages).collect()} == {(a, b) for a, b in want if a != b}
+
+
+def test_every_match_of_a_page_is_taken(spark):
+    page = '<link rel="canonical" href="http://a.com/2"><link rel="canonical" href="sub/x"><meta http-equiv=refresh content="0; url=http://c.com/"><meta http-equiv=refresh content="5; url=http://bad.net/">'
+    pages = spark.createDataFrame([(1, "http://a.com/1", page), (2, "http://a.com/sub/x", None), (3, "http://d.com/", "")], "page_id long, url string, html string")
+    assert {r.page_id: r.verdict for r in u.judge_urls(pages).collect()} == {1: "block", 2: "block", 3: "allow"}
+
+
 def test_empty(spark):
     assert u.judge_urls(spark.createDataFrame([], "page_id long, url string, html string")).collect() == []
 
