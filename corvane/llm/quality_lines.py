@@ -19,26 +19,38 @@ MIN_WORDS, MAX_REPEAT_PCT = 50, 50
 MAX_LOST_PCT = 50
 #: Of a line's words: symbols (percent), and the commonest word (percent, from LONG_LINE words on).
 MAX_SYMBOL_PCT, MAX_SAME_PCT, LONG_LINE = 30, 50, 10
-MAX_SEPARATORS, MAX_PHRASE_WORDS, SHOUT_LETTERS = 1, 40, 20
+MAX_SEPARATORS, MIN_PHRASE_PCT, SHOUT_LETTERS = 1, 10, 20
 
-#: A line's end: a mark that ends a sentence, perhaps with closing quotes, brackets or emphasis after it.
-ENDED = re.compile(r"""[.!?…:;。！？；：؟।][ \u00a0\u202f]?[")'\]}”’»」』*_]*$""")
+#: A line's end: a mark that ends a sentence, perhaps one space, and any number of closing quotes, brackets or emphasis.
+MARKS, THIN, CLOSERS = ".!?…:;。！？；：؟।", " \u00a0\u202f", "\")'\\]}”’»」』*_"
 #: Words that part the items of a menu.
 SEPARATORS = ("|", "»", "›", ">", "·", "•", "::")
-# Phrases that page furniture is made of, lower case.
+# Phrases that page furniture is made of, lower case, in English, German, French and Spanish.
 PHRASES = re.compile(
     r"all rights reserved|terms of (?:use|service)|privacy policy|cookie policy|we use cookies|uses cookies|accept cookies|"
     r"enable javascript|javascript is (?:disabled|required)|lorem ipsum|sign up for|log ?in to|click here|read more|"
     r"share (?:this|on)|follow us|subscribe to|skip to (?:main )?content|back to top|page \d+ of \d+|powered by|"
-    r"licensed under|copyright ©|© ?\d{4}|\(c\) ?\d{4}"
+    r"licensed under|copyright ©|© ?\d{4}|\(c\) ?\d{4}|"
+    r"alle rechte vorbehalten|nutzungsbedingungen|datenschutzerkl[äa]rung|cookie-richtlinie|wir verwenden cookies|verwendet cookies|cookies akzeptieren|"
+    r"javascript aktivieren|jetzt anmelden|hier klicken|weiterlesen|mehr lesen|folgen sie uns|zum inhalt springen|nach oben|seite \d+ von \d+|lizenziert unter|"
+    r"tous droits réservés|conditions d['’]utilisation|politique de confidentialité|nous utilisons des cookies|utilise des cookies|accepter les cookies|"
+    r"activez javascript|inscrivez-vous|cliquez ici|lire la suite|suivez-nous|abonnez-vous|aller au contenu|haut de (?:la )?page|page \d+ sur \d+|sous licence|"
+    r"todos los derechos reservados|t[ée]rminos de (?:uso|servicio)|política de privacidad|política de cookies|utilizamos cookies|utiliza cookies|aceptar cookies|"
+    r"active javascript|regístrese|haga clic aquí|leer más|síganos|síguenos|suscríbase|saltar al contenido|volver arriba|página \d+ de \d+|bajo licencia"
 )
 RULES = ("punctuation", "navigation", "symbols", "shouting", "repetition", "boilerplate", "repeated_line")
 
 
+def ended(line: str) -> bool:
+    """Whether a line without white space at its end ends a sentence."""
+    end = line.rstrip(CLOSERS)
+    return end.endswith(tuple(MARKS)) or end.endswith(tuple(THIN)) and end[:-1].endswith(tuple(MARKS))
+
+
 def failed_rule(line: str, words: list[str]) -> str | None:
     """The first rule that a line with words breaks."""
     end = line.rstrip(SPACES)
-    if not ENDED.search(end[-12:]):
+    if not ended(end):
         return "punctuation"
     n = len(words)
     if sum(map(words.count, SEPARATORS)) > MAX_SEPARATORS:
@@ -50,7 +62,7 @@ def failed_rule(line: str, words: list[str]) -> str | None:
         return "shouting"
     if n >= LONG_LINE and 100 * Counter(words).most_common(1)[0][1] > MAX_SAME_PCT * n:
         return "repetition"
-    if n <= MAX_PHRASE_WORDS and PHRASES.search(line.lower()):
+    if 100 * sum(map(len, PHRASES.findall(line.lower()))) >= MIN_PHRASE_PCT * len(end) and PHRASES.search(line.lower()):
         return "boilerplate"
     return None
 
@@ -135,7 +147,11 @@ def judge_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def clean_documents(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """The rows of docs that are kept, with its columns; their texts are whole, see clean_lines for the lines that pass."""
+    """The rows of docs that are kept, with all its columns, whatever they are called; their texts are whole, see clean_lines for the lines that pass.
+
+    A null or empty text has no words and goes; texts of any length are read
+    whole; repeated rows stay or go together; an empty table stays empty.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -146,7 +162,12 @@ def clean_documents(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
 
 def clean_lines(docs: DataFrame, text_col: str = "text", chars_col: str | None = None) -> DataFrame:
-    """The kept rows of docs with the lines that fail taken out of their texts; chars_col, if named, is set to the new length."""
+    """The kept rows of docs with the lines that fail taken out of their texts; chars_col, if named and there, is set to the new length.
+
+    A null or empty text has no words and goes; texts of any length are read
+    whole; repeated rows stay or go together, cleaned alike; other columns,
+    whatever they are called, stay; an empty table stays empty.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -154,7 +175,7 @@ def clean_lines(docs: DataFrame, text_col: str = "text", chars_col: str | None =
             b = b.filter(pa.array([judge(t)[6] for t in texts(b.column(at))], pa.bool_()))
             new = [cleaned(t) for t in texts(b.column(at))]
             b = b.set_column(at, b.schema.field(at), pa.array(new, b.schema.field(at).type))
-            if chars_col:
+            if chars_col in b.schema.names:
                 k = b.schema.get_field_index(chars_col)
                 b = b.set_column(k, b.schema.field(k), pa.array(list(map(len, new)), b.schema.field(k).type))
             yield b
@@ -163,7 +184,8 @@ def clean_lines(docs: DataFrame, text_col: str = "text", chars_col: str | None =
 
 
 _LISTED = ", ".join(f"'{x}'" for x in SEPARATORS)
-_ENDED, _PHRASES = (x.pattern.replace("'", "''").replace("\\u00a0", "\\x{a0}").replace("\\u202f", "\\x{202f}") for x in (ENDED, PHRASES))
+_ENDED = f"[{MARKS}][{THIN}]?[{re.escape(CLOSERS)}]*$".replace("'", "''")
+_PHRASES = PHRASES.pattern.replace("'", "''")
 #: The same figures and verdicts for DuckDB.
 ORACLE_SQL = rf"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
@@ -173,12 +195,12 @@ win AS (SELECT r, i, count(*) OVER (PARTITION BY r, words[i], words[i + 1], word
 rep AS (SELECT r, count(DISTINCT i + k) AS repeats FROM win, (SELECT unnest([0, 1, 2]) AS k) WHERE n > 1 GROUP BY r),
 l0 AS (SELECT r, unnest(string_split(t, chr(10))) AS line, unnest(range(len(string_split(t, chr(10))))) AS k FROM d),
 l1 AS (SELECT r, line, regexp_extract_all(line, '[^\x20\x09-\x0D]+') AS own, row_number() OVER (PARTITION BY r, line ORDER BY k) > 1 AS again FROM l0 WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
-l2 AS (SELECT *, len(own) AS n, again OR NOT regexp_matches(right(regexp_replace(line, '[\x20\x09-\x0D]+$', ''), 12), '{_ENDED}')
+l2 AS (SELECT *, len(own) AS n, again OR NOT regexp_matches(regexp_replace(line, '[\x20\x09-\x0D]+$', ''), '{_ENDED}')
     OR len(list_filter(own, lambda x: x IN ({_LISTED}))) > {MAX_SEPARATORS}
     OR 100 * (length(line) - length(regexp_replace(line, '[#*$%&|<>]', '', 'g'))) > {MAX_SYMBOL_PCT} * len(own)
     OR (upper(line) = line AND len(regexp_extract_all(line, '\p{{Lu}}')) >= {SHOUT_LETTERS})
     OR (len(own) >= {LONG_LINE} AND 100 * len(list_filter(own, lambda x: x = list_aggregate(own, 'mode'))) > {MAX_SAME_PCT} * len(own))
-    OR (len(own) <= {MAX_PHRASE_WORDS} AND regexp_matches(lower(line), '{_PHRASES}')) AS failed FROM l1),
+    OR (regexp_matches(lower(line), '{_PHRASES}') AND 100 * list_sum(list_transform(regexp_extract_all(lower(line), '{_PHRASES}'), lambda x: length(x))) >= {MIN_PHRASE_PCT} * length(regexp_replace(line, '[\x20\x09-\x0D]+$', ''))) AS failed FROM l1),
 l AS (SELECT r, count(*) FILTER (again) AS dups, coalesce(sum(n) FILTER (failed), 0) AS lost FROM l2 GROUP BY r),
 f AS (SELECT doc_id, len(words)::BIGINT AS n_words, coalesce(list_sum(list_transform(words, lambda x: length(x))), 0)::BIGINT AS word_chars,
     (length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols, coalesce(dups, 0)::BIGINT AS n_dup_lines,

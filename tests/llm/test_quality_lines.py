@@ -78,3 +78,17 @@ def test_quality_labels_are_met(spark, sf_dir):
     clean = [r.kept for r in rows if r.quality == 1]
     junk = [r.kept for r in rows if r.quality == 0]
     assert sum(clean) >= 0.99 * len(clean) and sum(junk) <= 0.05 * len(junk)
+
+
+def test_any_number_of_closing_marks_and_any_length():
+    for n in (0, 11, 12, 40):
+        line = 'He said "No.' + '"' * n
+        assert q.failed_rule(line, line.split()) is None
+        assert q.failed_rule(line + "x", line.split()) == "punctuation"
+    furniture = ["Alle Rechte vorbehalten.", "Nous utilisons des cookies.", "Lea la política de privacidad.", "Accept cookies to read more and follow us. " * 20 + "Accept cookies."]
+    for line in furniture:
+        assert q.failed_rule(line, line.split()) == "boilerplate", line
+    # One phrase in a long paragraph is no furniture, however long that is.
+    for n in (3, 10, 300):
+        line = PROSE.format("") * n + " He would read more of it later."
+        assert q.failed_rule(line, line.split()) is None
