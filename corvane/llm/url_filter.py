@@ -16,6 +16,7 @@ MAX_COMPILED = 200
 URL = r"(?s)\A.*?://([^/?#]*)([^?#]*)"
 CANONICAL = r"""(?is)<link\b[^>]*\brel\s*=\s*["']?canonical\b[^>]*>"""
 REFRESH = r"""(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*["']?refresh\b[^>]*>"""
+COMMENT = r"(?s)<!--.*?(?:-->|\z)"
 BASE = r"(?is)<base\s[^>]*\bhref\s*=[^>]*>"
 HREF = r"""(?is)\bhref\s*=\s*["']?([^"'\s>]+)"""
 TARGET = r"""(?is)\burl\s*=\s*["']?([^"'\s>]+)"""
@@ -38,6 +39,11 @@ def alias_key(url: Column) -> Column:
     return F.when(host != "", F.concat(host, rest))
 
 
+def rooted(key: Column) -> Column:
+    """An alias key with an empty path as /, which is the same address."""
+    return F.regexp_replace(key, r"\A([^/?]+)(?=\?|\z)", "$1/")
+
+
 def with_rule(df: DataFrame, host: str, path: str, rules=RULES) -> DataFrame:
     """df with __rule, a struct (rule, verdict) of the longest rule that fits, or null; of equals an allow comes first."""
     rules = [(h.lower(), p, v) for h, p, v in rules]
@@ -85,8 +91,8 @@ def resolved(base: Column, to: Column) -> Column:
 
 
 def page_edges(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """(a, b): alias keys of pages and of what all their canonical links and refresh redirects name, relative addresses resolved against the page's url or base element."""
-    html = F.col(html_col)
+    """(a, b): alias keys of pages and of what all their canonical links and refresh redirects name, relative addresses resolved against the page's url or base element. HTML comments name nothing."""
+    html = F.when(F.contains(html_col, F.lit("<!--")), F.regexp_replace(html_col, COMMENT, " ")).otherwise(F.col(html_col))
 
     def all_of(mark: str, tag: str, address: str) -> Column:
         found = F.transform(F.regexp_extract_all(html, F.lit(tag), F.lit(0)), lambda x: F.regexp_extract(x, address, 1))
@@ -112,13 +118,14 @@ def judge_urls(pages: DataFrame, rules=RULES, redirects: DataFrame | None = None
 
     Edges come from the pages' html and from redirects(a, b), if given, as URLs.
     A null URL or one without ``://`` has no host, path, rule or alias and is
-    allowed; repeated rows are judged alike; other columns are not read.
+    allowed; a null or empty html names no alias; repeated rows are judged
+    alike; other columns are not read; an empty table gives no rows.
     """
     edges = page_edges(pages, url_col, html_col)
     if redirects is not None:
         edges = edges.unionByName(redirects.select(alias_key(F.col("a")).alias("a"), alias_key(F.col("b")).alias("b")))
-    edges = cut(edges.where("a is not null and b is not null").distinct())
-    urls = pages.select(F.col(id_col).alias("page_id"), host_of(F.col(url_col)).alias("host"), path_of(F.col(url_col)).alias("path"), alias_key(F.col(url_col)).alias("key"))
+    edges = cut(edges.where("a is not null and b is not null").select(rooted(F.col("a")).alias("a"), rooted(F.col("b")).alias("b")).distinct())
+    urls = pages.select(F.col(id_col).alias("page_id"), host_of(F.col(url_col)).alias("host"), path_of(F.col(url_col)).alias("path"), rooted(alias_key(F.col(url_col))).alias("key"))
     urls = with_rule(urls, "host", "path", rules)
     own, shown = F.col("__rule.verdict"), ["page_id", "host", "path", F.col("__rule.rule").alias("rule")]
     if not edges.take(1):
@@ -136,14 +143,14 @@ def _sql(rules=RULES) -> str:
     listed = ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in rules)
     host = r"translate(regexp_extract(coalesce({0}, ''), '(?s)\A.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
     path = r"regexp_extract(coalesce({0}, ''), '(?s)\A.*?://[^/?#]*([^?#]*)', 1)"
-    rest = r"regexp_extract({0}, '(?s)\A.*?://[^/?#]*([^#]*)', 1)"
+    rest = r"regexp_replace(regexp_extract({0}, '(?s)\A.*?://[^/?#]*([^#]*)', 1), '\A([^/]|\z)', '/\1')"
     q = lambda x: x.replace("'", "''")
     best = """(SELECT arg_max(h || p || ' ' || v, length(h || p) * 2 + (v <> 'block')::INT) FROM rules WHERE ({0}.host = h OR ends_with({0}.host, '.' || h)) AND starts_with({0}.path, p))"""
     key = lambda u: f"CASE WHEN {host.format(u)} <> '' THEN {host.format(u)} || {rest.format(u)} END"
     return f"""
 WITH RECURSIVE rules(h, p, v) AS (VALUES {listed}),
-u AS (SELECT page_id, url, html, {host.format('url')} AS host, {path.format('url')} AS path, {key('url')} AS key FROM pages),
-t AS (SELECT url, host, key, replace(unnest([regexp_extract(regexp_extract(html, '{q(CANONICAL)}'), '{q(HREF)}', 1), regexp_extract(regexp_extract(html, '{q(REFRESH)}'), '{q(TARGET)}', 1)]), '&amp;', '&') AS go FROM u),
+u AS (SELECT page_id, url, regexp_replace(html, '{COMMENT}', ' ', 'g') AS html, {host.format('url')} AS host, {path.format('url')} AS path, {key('url')} AS key FROM pages),
+t AS (SELECT url, host, key, replace(unnest(list_transform(regexp_extract_all(html, '{q(CANONICAL)}'), lambda x: regexp_extract(x, '{q(HREF)}', 1)) || list_transform(regexp_extract_all(html, '{q(REFRESH)}'), lambda x: regexp_extract(x, '{q(TARGET)}', 1))), '&amp;', '&') AS go FROM u WHERE html IS NOT NULL),
 w AS (SELECT key AS a, CASE WHEN contains(go, '://') THEN go WHEN starts_with(go, '//') THEN split_part(url, '://', 1) || ':' || go
     WHEN starts_with(go, '/') THEN split_part(url, '://', 1) || '://' || host || go END AS whole FROM t WHERE go <> ''),
 e0 AS (SELECT a, {key('whole')} AS b FROM w),

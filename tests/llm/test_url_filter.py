@@ -108,6 +108,18 @@ def test_every_match_of_a_page_is_taken(spark):
     assert {r.page_id: r.verdict for r in u.judge_urls(pages).collect()} == {1: "block", 2: "block", 3: "allow"}
 
 
+def test_comments_name_nothing_and_an_empty_path_is_the_root(spark):
+    bad = '<link rel="canonical" href="http://x.net/">'
+    rows = [(1, "http://a.com/1", f"<!-- {bad} --><p>x"), (2, "http://b.com", "<link rel=canonical href=http://bad.org/>"), (3, "http://b.com/", bad), (4, "http://c.com?q", ""), (5, "http://d.com/", "<link rel=canonical href=http://c.com/?q>" + bad), (6, "http://e.com/", f"<!-- {bad}")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: r.verdict for r in u.judge_urls(df).collect()}
+    assert got == {1: "allow", 2: "block", 3: "block", 4: "block", 5: "block", 6: "allow"}
+    db = duckdb.connect()
+    pages = df.toPandas()
+    db.register("pages", pages)
+    assert dict(db.execute(f"SELECT page_id, verdict FROM ({u.ORACLE_SQL})").fetchall()) == got
+
+
 def test_empty(spark):
     assert u.judge_urls(spark.createDataFrame([], "page_id long, url string, html string")).collect() == []
 
