@@ -11,7 +11,9 @@ import types
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,6 +35,8 @@ def shared_dir(spark: SparkSession) -> str:
     """
     sc = spark.sparkContext
     named = sc.getConf().get("spark.checkpoint.dir")
+    if not named and not sc.getCheckpointDir() and not sc.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir names no folder that driver and executors share")
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(named or "file://" + tempfile.mkdtemp(prefix="corvane-"))
     return named or sc.getCheckpointDir()
@@ -68,13 +72,22 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-#: Rows up to which a table that is proven to have no more is broadcast; beyond, it is joined by shuffle.
-BROADCAST_ROWS = 200_000
+#: Rows and bytes up to which a table that is proven to have no more is broadcast; beyond, it is joined by shuffle.
+BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 32 << 20
 
 
 def small(df: DataFrame) -> DataFrame:
-    """df, to be broadcast if counting proves that it has few rows."""
-    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+    """df, to be broadcast if counting proves that it has few rows and, where rows may be long, few bytes."""
+    long = [F.octet_length(F.to_json(F.struct(c))) for c, k in df.dtypes if k in ("string", "binary") or k.startswith(("array", "map", "struct"))]
+    size = sum(long, F.lit(0)).cast("long")
+    n, total = df.limit(BROADCAST_ROWS + 1).agg(F.count("*"), F.sum(size)).first()
+    return F.broadcast(df) if n <= BROADCAST_ROWS and (total or 0) <= BROADCAST_BYTES else df
+
+
+def aside(docs: DataFrame) -> tuple[DataFrame, list[Column], dict[str, str]]:
+    """docs with its columns that begin with two underscores, as an operator's own do, under other names; what gives docs back; and the names."""
+    names = {c: f"aside{k}_{uuid.uuid4().hex}" if c.startswith("__") else c for k, c in enumerate(docs.columns)}
+    return docs.withColumnsRenamed(names), [F.col(n).alias(c) for c, n in names.items()], names
 
 
 def ascii_lower(c: Column) -> Column:
@@ -104,6 +117,18 @@ def texts(column: pa.Array) -> Iterator[str]:
         yield from (x or "" for x in column.slice(at, 256).to_pylist())
 
 
+def slices(rows: pa.Array | pa.RecordBatch, most: int, n_bytes: int, text: int | None = None) -> Iterator:
+    """rows in slices of at most so many rows and so many bytes of texts (those of a column, for a batch), a longer text in one of its own."""
+    column = rows if isinstance(rows, pa.Array) else rows.column(text) if text is not None else None
+    size = pc.fill_null(pc.binary_length(column), 0).to_numpy(False) if column is not None else np.zeros(rows.num_rows, np.int64)
+    ends, at = np.cumsum(size, dtype=np.int64), 0
+    while at < len(size):
+        fits = int(np.searchsorted(ends, (ends[at - 1] if at else 0) + n_bytes, side="right"))
+        n = max(1, min(most, fits - at))
+        yield rows.slice(at, n)
+        at += n
+
+
 def give_back() -> None:
     """Hands memory that is free back to the system, at a task's end: a worker outlives its tasks."""
     pa.default_memory_pool().release_unused()

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corvane.llm.common import cut, small
+from corvane.llm.common import aside, cut, small
 from corvane.llm.graph import connected_components
 
 SEED, SHINGLE, MAX_BITS = 42, 3, 3
@@ -73,7 +73,19 @@ def _segments(fp: str, balls: bool) -> Column:
     return F.concat(*of(0), *of(1))
 
 
-def links(fps: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
+def crowded_keys(fps: DataFrame) -> DataFrame:
+    """(key): segment values that more than HOT_BUCKET fingerprints share."""
+    return cut(fps.select("fp", F.explode(_segments("fp", False)).alias("key")).groupBy("key").count().where(F.col("count") > HOT_BUCKET).select("key"))
+
+
+def _beside(fps: DataFrame, crowded: DataFrame) -> DataFrame:
+    """(fp, key): fingerprints a segment of which differs in one bit from a crowded value."""
+    flips = F.transform(F.sequence(F.lit(0), F.lit(31)), _one)
+    keys = F.transform(_segments("fp", False), lambda k: F.transform(flips, lambda bit: k.bitwiseXOR(bit)))
+    return fps.select("fp", F.explode(F.flatten(keys)).alias("key")).join(small(crowded), "key")
+
+
+def links(fps: DataFrame, max_bits: int = MAX_BITS, crowded: DataFrame | None = None) -> DataFrame:
     """(a, b): the links that join each group of distinct fingerprints fps(fp), every end with max_bits (3 at most) or fewer differing bits.
 
     Multi-index hashing: of two fingerprints at 3 or fewer bits, one of the two
@@ -87,7 +99,7 @@ def links(fps: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     if not 0 <= max_bits <= 3:
         raise ValueError("two segments with balls of radius one find 3 bits at most")
     entries = fps.select("fp", F.explode(_segments("fp", False)).alias("key"))
-    crowded = cut(entries.groupBy("key").count().where(F.col("count") > HOT_BUCKET).select("key"))
+    crowded = crowded_keys(fps) if crowded is None else crowded
     probes = fps.select(F.col("fp").alias("a"), F.explode(_segments("fp", True)).alias("key"))
     if any_hot := bool(crowded.take(1)):
         plain_entries, plain_probes = entries.join(crowded, "key", "left_anti"), probes.join(crowded, "key", "left_anti")
@@ -126,10 +138,7 @@ def _hot_links(entries: DataFrame, fps: DataFrame, crowded: DataFrame, max_bits:
 
     members = entries.select("key", "fp", other.alias("value")).select("key", "fp", "value", F.explode(ball(F.col("value"), reach)).alias("point"))
     members = members.select("key", "fp", "point", (F.bit_count(F.col("value").bitwiseXOR(F.col("point"))) <= inner).alias("inner"))
-    flips = F.transform(F.sequence(F.lit(0), F.lit(31)), _one)
-    keys = F.transform(_segments("fp", False), lambda k: F.transform(flips, lambda bit: k.bitwiseXOR(bit)))
-    guests = fps.select("fp", F.explode(F.flatten(keys)).alias("key")).join(crowded, "key")
-    guests = guests.select("key", "fp", F.explode(ball(other, max_bits - 1 - inner)).alias("point"), F.lit(False).alias("inner"))
+    guests = _beside(fps, crowded).select("key", "fp", F.explode(ball(other, max_bits - 1 - inner)).alias("point"), F.lit(False).alias("inner"))
     rows = members.unionByName(guests)
     centres = rows.where("inner").groupBy("key", "point").agg(F.min("fp").alias("a"))
     return rows.join(centres, ["key", "point"]).where("a <> fp").select("a", F.col("fp").alias("b")).distinct()
@@ -140,24 +149,35 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     fingerprint is 16 lower-case hex digits; component_id the smallest doc_id
     reachable through links (null ids aside; null if no member has one); n_links
-    counts the other fingerprints found linked to this one. Equal fingerprints
+    counts the other fingerprints at max_bits or fewer, and is null where a
+    segment is crowded or beside a crowded one, as links then join the group
+    without being all of its pairs. Texts of any length are read whole; an empty
+    or null one has fingerprint zero, linked like any other. Equal fingerprints
     are one node, so copies are never paired. Repeated rows stay, each with the
     same answer; other columns of docs are not read; an empty table gives none.
     """
     fps = cut(fingerprints(docs, id_col, text_col))
     nodes = cut(fps.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies")))
-    pairs = cut(links(nodes.select("fp"), max_bits).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    crowded = crowded_keys(nodes)
+    pairs = cut(links(nodes.select("fp"), max_bits, crowded).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     groups = connected_components(pairs, "a", "b").withColumnsRenamed({"node": "fp", "component": "group"})
     degrees = pairs.select(F.explode(F.array("a", "b")).alias("fp")).groupBy("fp").agg(F.count("*").alias("n_links"))
+    if crowded.take(1):
+        members = nodes.select("fp", F.explode(_segments("fp", False)).alias("key")).join(small(crowded), "key").select("fp")
+        partly = members.unionByName(_beside(nodes, crowded).select("fp")).distinct().withColumn("partly", F.lit(True))
+        degrees = degrees.join(partly, "fp", "left").select("fp", F.when(F.col("partly").isNull(), F.col("n_links")).alias("n_links"), F.lit(True).alias("linked"))
+    else:
+        degrees = degrees.withColumn("linked", F.lit(True))
     # Only nodes with a link have anything to join, and they are few.
     linked = nodes.join(groups, "fp").join(degrees, "fp")
-    linked = linked.join(linked.groupBy("group").agg(F.min("least").alias("first")), "group").select("fp", "first", "n_links")
+    linked = linked.join(linked.groupBy("group").agg(F.min("least").alias("first")), "group").select("fp", "first", "n_links", "linked")
     # A document that shares its fingerprint with none and has no link is its own group, so it meets no other table.
-    shared = nodes.join(linked, "fp", "left").where((F.col("copies") > 1) | F.col("n_links").isNotNull())
-    shared = shared.select("fp", F.lit(True).alias("known"), F.when(F.col("n_links").isNull(), F.col("least")).otherwise(F.col("first")).alias("component_id"), "n_links")
+    shared = nodes.join(linked, "fp", "left").where((F.col("copies") > 1) | F.col("linked").isNotNull())
+    shared = shared.select("fp", F.lit(True).alias("known"), F.when(F.col("linked").isNull(), F.col("least")).otherwise(F.col("first")).alias("component_id"), F.when(F.col("linked").isNull(), 0).otherwise(F.col("n_links")).alias("n_links"))
     out = fps.join(small(cut(shared)), "fp", "left")
     component = F.when(F.col("known"), F.col("component_id")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), component.alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    n_links = F.when(F.col("known"), F.col("n_links")).otherwise(0).cast("long")
+    return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), component.alias("component_id"), n_links.alias("n_links"))
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_bits: int = MAX_BITS) -> DataFrame:
@@ -165,8 +185,11 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Of rows that repeat an id the first by text stays (a null text first).
     Rows without an id never stand for a group; they stay, one for each equal
-    fingerprint, only where their group has no row with an id.
+    fingerprint, only where their group has no row with an id. Columns may have
+    any names; texts of any length are read whole; an empty table stays empty.
     """
+    docs, back, names = aside(docs)
+    id_col, text_col = names[id_col], names[text_col]
     groups = cut(simhash_groups(docs, id_col, text_col, max_bits))
     keep = groups.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("__keep")).distinct()
     named = docs.join(keep, F.col(id_col) == F.col("__keep"), "left_semi")
@@ -174,7 +197,7 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     named = named.withColumn("__row", F.row_number().over(order)).where("__row = 1").drop("__row")
     orphans = groups.where(F.col("component_id").isNull()).select(F.conv("fingerprint", 16, -10).cast("long").alias("__keep")).distinct()
     if not orphans.take(1):
-        return named
+        return named.select(*back)
     bare = docs.where(F.col(id_col).isNull()).withColumn("__fp", fingerprint_of(text_col)).join(orphans, F.col("__fp") == F.col("__keep"), "left_semi")
     order = Window.partitionBy("__fp").orderBy(F.col(text_col).asc_nulls_first())
-    return named.unionByName(bare.withColumn("__row", F.row_number().over(order)).where("__row = 1").drop("__row", "__fp"))
+    return named.unionByName(bare.withColumn("__row", F.row_number().over(order)).where("__row = 1").drop("__row", "__fp")).select(*back)

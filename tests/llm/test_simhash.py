@@ -98,3 +98,20 @@ def test_fingerprint_is_sparks_own_hash(spark):
     df = spark.createDataFrame([("One TWO three",)], "text string")
     h = df.select(F.xxhash64(F.lit("one two three"))).first()[0] % 2**64
     assert int.from_bytes(simhash.fingerprint(b"One TWO three"), "big") == h
+
+
+def test_links_are_counted_whole_or_not_at_all(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "HOT_BUCKET", 4)
+    rng = random.Random(4)
+    base = " ".join(rng.choice("abcdefgh") + str(rng.randrange(40)) for _ in range(400)).split()
+    rows = [(i, " ".join(w if rng.random() > 0.004 else "zz" for w in base)) for i in range(60)] + [(100, "one two three four"), (101, None)]
+    got = simhash.simhash_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    fps = {int(r.fingerprint, 16) for r in got}
+    exact = {f: sum(0 < (f ^ g).bit_count() <= 3 for g in fps) for f in fps}
+    assert all(r.n_links is None or r.n_links == exact[int(r.fingerprint, 16)] for r in got)
+    assert any(r.n_links is None for r in got) and {r.doc_id: r.n_links for r in got}[100] == 0
+
+
+def test_clashing_names_come_back(spark):
+    df = spark.createDataFrame([(1, "a b c", 1, 2, 3), (2, "a b c", 4, 5, 6)], "doc_id long, text string, __row int, __fp int, __keep int")
+    assert [tuple(r) for r in simhash.near_dedup(df).collect()] == [(1, "a b c", 1, 2, 3)] and simhash.near_dedup(df).columns == df.columns
