@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corvane.llm.common import cut, small, word_count
+from corvane.llm.common import aside, cut, small, word_count
 
 WEIGHTS = (5.0, 2.0, 1.0)
 MAX_REPEAT = 3
@@ -109,6 +109,8 @@ def mix_plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
     null text has no words. Each source's taken words miss its target by less
     than one document. Rows that repeat an id are hashed alike, and rows without
     an id by their text; empty tables give no rows. Runs with one seed agree.
+    Columns that begin with two underscores are the plan's own, see mix for docs
+    that have such.
     """
     spark = docs.sparkSession
     key = F.coalesce(F.col(id_col).cast("string"), F.md5(F.coalesce(F.col(text_col), F.lit(""))))
@@ -146,7 +148,8 @@ def mix_plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
     draw_turn = F.md5(F.concat_ws(":", F.lit(seed), F.lit("draw"), "rank", "block", "copy"))
     draws = cut(draws.withColumn("turn", F.row_number().over(Window.partitionBy("rank").orderBy(draw_turn, "block", "copy")).cast("long")))
     total = narrow.agg(F.sum("size")).first()[0] or 0
-    levels = min(14, max(0, (int(total) // SHARD_WORDS).bit_length()))
+    # A shard has a block at least, of which there are MAX_BLOCKS and a few; beyond that many shards, shards grow.
+    levels = min((int(total) // SHARD_WORDS).bit_length(), max(0, draws.count().bit_length() - 1))
     dealt = quotas(draws.groupBy("rank").agg(F.count("*").alias("n")), levels, seed)
     ahead = F.coalesce(F.sum("quota").over(Window.partitionBy("rank").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     seats = dealt.withColumn("ahead", ahead).select("rank", "shard", F.explode(F.sequence(F.col("ahead") + 1, F.col("ahead") + F.col("quota"))).alias("turn"))
@@ -168,11 +171,18 @@ def mix_plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
 
 
 def mix(docs: DataFrame, n_partitions: int | None = None, **options) -> DataFrame:
-    """The mix itself: the rows of docs, with its columns, each as often as it is taken, whole shards together and shuffled locally."""
-    plan = mix_plan(docs, **options)
+    """The mix itself: the rows of docs, with its columns, each as often as it is taken, whole shards together and shuffled locally.
+
+    Columns may have any names. A null or empty text has no words, and is taken
+    with its block as others are; repeated rows are taken alike; null is a
+    source of its own; an empty table gives no rows. Texts are not read but for
+    their words, so their length is free.
+    """
+    docs, back, names = aside(docs)
+    plan = mix_plan(docs, **{k: names[options.get(k, d)] for k, d in (("id_col", "doc_id"), ("text_col", "text"), ("source_col", "source"))}, **{k: v for k, v in options.items() if not k.endswith("_col")})
     rows = plan.select(*docs.columns, F.explode("__draws").alias("__d"))
     rows = rows.repartitionByRange(n_partitions, "__d.shard", "__d.position") if n_partitions else rows.repartitionByRange("__d.shard", "__d.position")
-    return rows.sortWithinPartitions("__d.shard", "__d.position").select(*docs.columns)
+    return rows.sortWithinPartitions("__d.shard", "__d.position").select(*back)
 
 
 #: The same plan up to each document's taken words, for DuckDB; shards and positions aside.

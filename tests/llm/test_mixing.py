@@ -109,3 +109,9 @@ def test_empty_table_and_no_words(spark):
     assert mixing.mix(spark.createDataFrame([], SCHEMA)).collect() == []
     none = mixing.mix_plan(spark.createDataFrame([(1, "", "a", *MORE), (2, None, None, *MORE)], SCHEMA)).collect()
     assert [(r["__size"], r["__target"]) for r in none] == [(0, 0.0), (0, 0.0)]
+
+
+def test_clashing_names_come_back(spark):
+    df = spark.createDataFrame([(i, "w " * (i % 7), "a", i, 2, 3) for i in range(50)], "doc_id long, text string, source string, __size int, __u int, __draws int")
+    mixed = mixing.mix(df)
+    assert mixed.columns == df.columns and all(r["__size"] == r.doc_id for r in mixed.collect())
