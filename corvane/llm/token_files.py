@@ -4,15 +4,18 @@ A file is a row of segments. A segment (little-endian) is:
 
     8 bytes   magic "CVTOK8B1"
     4 x u64   length of the segment in bytes, documents, ids, blocks
-    i64[]     a document's id, for each
+    i64[]     a document's id, for each, where ids are whole numbers
     u8[]      1 where that id is null, for each document
     u64[]     ids before a document, for each and at the end
     u64[]     words before a block, for each and at the end
     u64[]     Simple-8b words; each block holds BLOCK_IDS ids, the last the rest
 
-and is followed by one line feed. A segment has whole documents only, about
-SEGMENT_IDS ids of them, so neither writer nor reader holds more than that and
-one document. Any block is decoded alone.
+and is followed by one line feed. Ids of other types stand, as texts, in a
+segment of magic "CVTOK8N1", whose i64[] are the ends of the ids in a row of
+UTF-8 bytes that follows the words. A segment has whole documents only, about
+SEGMENT_IDS ids of them, which is what the writer holds, with one document; a
+file has FILE_SEGMENTS segments at most, which is what a reading task holds. Any
+block is decoded alone.
 """
 
 from __future__ import annotations
@@ -27,12 +30,13 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from corvane.llm import simple8b
 from corvane.llm.common import cut, give_back, scratch_path, worker_cache
 
-MAGIC = b"CVTOK8B1"
-BLOCK_IDS, SEGMENT_IDS = 65_536, 1_000_000
+MAGIC, NAMED = b"CVTOK8B1", b"CVTOK8N1"
+BLOCK_IDS, SEGMENT_IDS, FILE_SEGMENTS = 65_536, 1_000_000, 16
 END_ID = 2
 #: Distinct words whose ids a worker remembers.
 MAX_KNOWN = 1_000_000
@@ -192,25 +196,28 @@ class Encoder:
         return out, counts
 
 
-def pack(ids: list[int | None], encoded: list[np.ndarray]) -> bytes:
-    """One segment of documents."""
+def pack(ids: list[int | str | None], encoded: list[np.ndarray]) -> bytes:
+    """One segment of documents, whose ids are all numbers or all texts."""
+    named = any(isinstance(i, str) for i in ids)
+    names = [(i or "").encode() for i in ids] if named else []
     flat = np.concatenate(encoded) if encoded else np.empty(0, np.uint64)
     blocks = [simple8b.encode(flat[i : i + BLOCK_IDS]) for i in range(0, len(flat), BLOCK_IDS)]
     body = b"".join(
         (
-            np.array([i or 0 for i in ids], "<i8").tobytes(),
+            np.array(np.cumsum(list(map(len, names))) if named else [i or 0 for i in ids], "<i8").tobytes(),
             np.array([i is None for i in ids], np.uint8).tobytes(),
             np.concatenate(([0], np.cumsum([len(e) for e in encoded]))).astype("<u8").tobytes(),
             np.concatenate(([0], np.cumsum([len(b) for b in blocks]))).astype("<u8").tobytes(),
             *(b.astype("<u8").tobytes() for b in blocks),
+            *names,
         )
     )
-    return MAGIC + np.array([40 + len(body), len(ids), len(flat), len(blocks)], "<u8").tobytes() + body
+    return (NAMED if named else MAGIC) + np.array([40 + len(body), len(ids), len(flat), len(blocks)], "<u8").tobytes() + body
 
 
-def unpack(data: memoryview, at: int = 0) -> tuple[list[int | None], np.ndarray, np.ndarray, int]:
+def unpack(data: memoryview, at: int = 0) -> tuple[list[int | str | None], np.ndarray, np.ndarray, int]:
     """Document ids, their offsets and all token ids of the segment at a place, and the next one's place."""
-    if bytes(data[at : at + 8]) != MAGIC:
+    if bytes(data[at : at + 8]) not in (MAGIC, NAMED):
         raise ValueError(f"no segment at byte {at}")
     length, docs, ids, blocks = np.frombuffer(data, "<u8", 4, at + 8).tolist()
     place = at + 40
@@ -219,6 +226,9 @@ def unpack(data: memoryview, at: int = 0) -> tuple[list[int | None], np.ndarray,
     offsets = np.frombuffer(data, "<u8", docs + 1, place := place + docs).astype(np.int64)
     words = np.frombuffer(data, "<u8", blocks + 1, place := place + 8 * (docs + 1)).astype(np.int64)
     body = np.frombuffer(data, "<u8", int(words[-1]), place + 8 * (blocks + 1))
+    if bytes(data[at : at + 8]) == NAMED:
+        row = bytes(data[place + 8 * (blocks + 1) + 8 * int(words[-1]) : at + length])
+        names = [row[a:b].decode() for a, b in zip([0, *names[:-1]], names, strict=True)]
     parts = [simple8b.decode(body[a:b]) for a, b in zip(words[:-1], words[1:], strict=True)]
     flat = np.concatenate(parts) if parts else np.empty(0, np.uint64)
     if len(flat) != ids:
@@ -234,10 +244,13 @@ def tokenizer_json(path: str) -> str:
 def write(docs: DataFrame, json: str, path: str | None = None, id_col: str = "doc_id", text_col: str = "text", end_id: int = END_ID) -> str:
     """Writes the token ids of docs, each document's ended by end_id, in ascending order of id, and returns the folder.
 
-    Null ids come first, and rows that repeat an id follow each other. A null
-    text is empty and gives end_id alone. Texts are shuffled once, by ranges of
-    id, and sorted within; files' names follow that order. The files are
-    committed by Spark's own text writer, whose rows are segments' bytes.
+    Null ids come first, and rows that repeat an id follow each other, by text.
+    Ids of any type keep their type's order; those that are no whole numbers are
+    written as texts. A null or empty text gives end_id alone; texts of any
+    length are encoded whole; other columns are not read. Texts are shuffled
+    once, by ranges of id, and sorted within; files' names follow that order.
+    The files are committed by Spark's own text writer, whose rows are segments'
+    bytes.
     """
     spark = docs.sparkSession
     path = path or scratch_path(spark, "tokens")
@@ -268,26 +281,29 @@ def write(docs: DataFrame, json: str, path: str | None = None, id_col: str = "do
             yield flush()
         give_back()
 
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    rows = rows.repartitionByRange("id").sortWithinPartitions("id").mapInArrow(run, "segment binary")
-    rows.select(F.col("segment").cast("string").alias("value")).write.option("compression", "none").text(path)
+    whole = isinstance(docs.schema[id_col].dataType, T.IntegralType)
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).repartitionByRange("id").sortWithinPartitions("id", F.col("text").asc_nulls_first())
+    rows = rows.select(F.col("id").cast("long" if whole else "string").alias("id"), "text").mapInArrow(run, "segment binary")
+    rows.select(F.col("segment").cast("string").alias("value")).write.option("compression", "none").option("maxRecordsPerFile", FILE_SEGMENTS).text(path)
     return path
 
 
-DOC = "part int, place long, doc_id long, start long, n_tokens long, ids_crc32 long"
+DOC = "part int, roll int, place long, doc_id {}, start long, n_tokens long, ids_crc32 long"
 
 
-def read(spark, path: str, with_ids: bool = False) -> DataFrame:
+def read(spark, path: str, with_ids: bool = False, id_type: str = "long") -> DataFrame:
     """One row for each document in the files: doc_id, start (ids of all documents before it), n_tokens, ids_crc32, and ids if asked for.
 
-    Starts within a file come from its offsets; those of files from a running
-    sum over one row a file.
+    id_type is long, or string where ids were written as texts. Starts within a
+    file come from its offsets; those of files from a running sum over one row a
+    file. A folder without documents gives no rows.
     """
+    schema = DOC.format(id_type)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for name, content in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                part = int(re.search(r"part-(\d+)", name)[1])
+                part, roll = map(int, re.search(r"/part-(\d+).*-c(\d+)", name).groups())
                 data, at, place, before = memoryview(content.as_buffer()), 0, 0, 0
                 while at < len(data):
                     names, offsets, flat, at = unpack(data, at)
@@ -295,15 +311,15 @@ def read(spark, path: str, with_ids: bool = False) -> DataFrame:
                     n = len(names)
                     raw = flat.astype("<u4").tobytes()
                     crcs = [zlib.crc32(raw[4 * x : 4 * y]) for x, y in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
-                    columns = [pa.array([part] * n, pa.int32()), pa.array(range(place, place + n), pa.int64()), pa.array(names, pa.int64()), pa.array(offsets[:-1] + before), pa.array(np.diff(offsets)), pa.array(crcs, pa.int64())]
+                    columns = [pa.array([part] * n, pa.int32()), pa.array([roll] * n, pa.int32()), pa.array(range(place, place + n), pa.int64()), pa.array(names, pa.int64() if id_type == "long" else pa.string()), pa.array(offsets[:-1] + before), pa.array(np.diff(offsets)), pa.array(crcs, pa.int64())]
                     if with_ids:
                         columns.append(pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(flat.astype(np.int64))))
-                    yield pa.RecordBatch.from_arrays(columns, names=[*(x.split()[0] for x in DOC.split(", ")), *["ids"] * with_ids])
+                    yield pa.RecordBatch.from_arrays(columns, names=[*(x.split()[0] for x in schema.split(", ")), *["ids"] * with_ids])
                     place, before = place + n, before + len(flat)
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).where("length > 0").select("path", "content")
-    docs = files.mapInArrow(run, DOC + ", ids array<long>" * with_ids)
+    docs = files.mapInArrow(run, schema + ", ids array<long>" * with_ids)
     docs = docs if with_ids else cut(docs)
-    whole = docs.groupBy("part").agg(F.sum("n_tokens").alias("n"))
-    ahead = whole.select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("ahead"))
-    return docs.join(ahead, "part").withColumn("start", F.col("start") + F.col("ahead")).drop("ahead")
+    whole = docs.groupBy("part", "roll").agg(F.sum("n_tokens").alias("n"))
+    ahead = whole.select("part", "roll", F.coalesce(F.sum("n").over(Window.orderBy("part", "roll").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("ahead"))
+    return docs.join(ahead, ["part", "roll"]).withColumn("start", F.col("start") + F.col("ahead")).drop("ahead")

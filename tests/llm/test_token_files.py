@@ -121,3 +121,26 @@ def test_counts_match_the_vocabulary(spark):
     twice = spark.createDataFrame([(1, "a"), (1, "a b c")], "doc_id long, text string")
     assert sorted(r.n_tokens for r in token_counts.count_tokens(twice, ranks, public_tokenizers.PATTERN, 50256).collect()) == [2, 4]
     assert token_counts.count_tokens(twice.limit(0), ranks, public_tokenizers.PATTERN, 50256).collect() == []
+
+
+def test_long_runs_of_white_space():
+    encode = token_counts.encoder(queries.tokenizer_file("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    for text in ("a" + " " * 30000 + "b", "\n" * 25000, "x  " + "\t \n" * 9000 + "end " + " " * 21000, "\u3000" * 20001 + "'s", "a" * 30000, " " * 19999 + "b"):
+        assert encode(text) == LIBRARY.encode(text, add_special_tokens=False).ids
+    assert len(encode(" " * 2_000_000)) > 0 and len(encode("a" + "\n" * 2_000_000 + "b")) > 2
+
+
+def test_rolling_files_and_ids_of_any_type(spark, monkeypatch):
+    monkeypatch.setattr(token_counts, "FILE_BYTES", 200)
+    monkeypatch.setattr(token_files, "SEGMENT_IDS", 50)
+    monkeypatch.setattr(token_files, "FILE_SEGMENTS", 2)
+    rows = [(i if i is None else f"id {i}\n/%", t) for i, t in rows_of(3)] + [("", "empty id"), ("7", " " * 50_000)]
+    df = spark.createDataFrame([(i, t, 5) for i, t in rows], "doc_id string, text string, chunk int").repartition(2)
+    ranks = queries.tokenizer_file("byte_bpe_50k.tiktoken")
+    counted = token_counts.count_tokens(df, ranks, public_tokenizers.PATTERN, 50256, block_ids=64).collect()
+    want = {(i, n) for i, t in rows for n in [len(LIBRARY.encode(t or "", add_special_tokens=False).ids) + 1]}
+    assert len(counted) == len(rows) and {(r.doc_id, r.n_tokens) for r in counted} == want and max(r.chunk for r in counted) > 2
+    got = token_files.read(spark, token_files.write(df, JSON), True, "string").orderBy("start").collect()
+    order = sorted((i for i, _ in rows), key=lambda i: (i is not None, i))
+    assert [r.doc_id for r in got] == order and {(r.doc_id, r.n_tokens) for r in got} == want and max(r.roll for r in got) > 2
+    assert [r.start for r in got[1:]] == list(np.cumsum([r.n_tokens for r in got])[:-1])
