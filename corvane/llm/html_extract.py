@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html as html_entities
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -50,13 +51,18 @@ NAMES = frozenset(
     breadcrumb breadcrumbs pagination pager related recommended recommendations toolbar widget widgets skip copyright legal disclaimer""".split()
 )
 HEADERS = frozenset(["header", "masthead"])
+#: Names that tell no furniture within an article, and the elements whose names tell some there: an article's paragraphs, headings and lists are its own.
+OWN_NAMES = HEADERS | frozenset("legal copyright disclaimer related alert skip".split())
+CONTAINERS = frozenset("div section span a figure details".split())
 COMMENT_NAMES = frozenset("comment comments commentlist disqus respond replies reply".split())
 
 TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)[^>]*(?:>|\Z)", re.S)
 ATTRIBUTE = re.compile(r"""([a-zA-Z][\w:-]*)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 
-FURNITURE_ZONE, OPEN, MAIN, ARTICLE = 0, 1, 2, 3
+#: HEADED is furniture by the name of a header alone.
+FURNITURE_ZONE, HEADED, OPEN, MAIN, ARTICLE = -1, 0, 1, 2, 3
+MARKED = re.compile(r"<(?:article|main)\b|\brole\s*=\s*[\"']?(?:article|main)\b", re.I)
 
 
 def zone_of(tag: str, attributes: str, zone: int, closed: bool) -> tuple[int, bool]:
@@ -79,10 +85,12 @@ def zone_of(tag: str, attributes: str, zone: int, closed: bool) -> tuple[int, bo
         return zone, False
     if role in ROLES:
         return FURNITURE_ZONE, True
-    # A header within an article has its title.
-    if words & (NAMES - HEADERS if zone == ARTICLE else NAMES) or tag == "header" and zone < ARTICLE:
+    if zone == ARTICLE:
+        # A header within an article has its title.
+        return (FURNITURE_ZONE, False) if tag in CONTAINERS and words & (NAMES - OWN_NAMES) else (zone, False)
+    if words & (NAMES - HEADERS) or tag == "header":
         return FURNITURE_ZONE, False
-    return zone, False
+    return (min(zone, HEADED) if words & HEADERS else zone), False
 
 
 def blocks_of(html: str) -> list[tuple[int, str]]:
@@ -92,6 +100,14 @@ def blocks_of(html: str) -> list[tuple[int, str]]:
     # Of each open element: its name, zone, whether that is closed, and whether its content is skipped.
     stack: list[tuple[str, int, bool, bool]] = []
     zone, closed, skipped, at = OPEN, False, False, 0
+    #: How many elements of a name are open, so that an end tag without one costs nothing.
+    still: Counter[str] = Counter()
+
+    def end_elements(k: int) -> None:
+        nonlocal zone, closed, skipped
+        still.subtract(e[0] for e in stack[k:])
+        del stack[k:]
+        _, zone, closed, skipped = stack[-1] if stack else ("", OPEN, False, False)
 
     def end_block() -> None:
         if held:
@@ -117,12 +133,11 @@ def blocks_of(html: str) -> list[tuple[int, str]]:
         if tag not in INLINE:
             end_block()
         if closing:
-            for k in range(len(stack) - 1, -1, -1):
+            for k in range(len(stack) - 1, -1, -1) if still[tag] else ():
                 if stack[k][0] == tag:
                     if any(s[1] != zone for s in stack[k:]) or (stack[k - 1][1] if k else OPEN) != zone:
                         end_block()
-                    del stack[k:]
-                    _, zone, closed, skipped = stack[-1] if stack else ("", OPEN, False, False)
+                    end_elements(k)
                     break
             continue
         if tag in VOID:
@@ -133,10 +148,9 @@ def blocks_of(html: str) -> list[tuple[int, str]]:
             at = close.end() if close else size
             continue
         for other in ENDS.get(tag, ()):
-            for k in range(len(stack) - 1, -1, -1):
+            for k in range(len(stack) - 1, -1, -1) if still[other] else ():
                 if stack[k][0] == other:
-                    del stack[k:]
-                    _, zone, closed, skipped = stack[-1] if stack else ("", OPEN, False, False)
+                    end_elements(k)
                     break
                 if stack[k][0] in SCOPES:
                     break
@@ -147,14 +161,21 @@ def blocks_of(html: str) -> list[tuple[int, str]]:
             end_block()
         zone, closed, skipped = inner, shut, skipped or tag in SKIPPED
         stack.append((tag, zone, closed, skipped))
+        still[tag] += 1
     end_block()
     return out
 
 
 def main_blocks(html: str) -> tuple[int, list[str]]:
-    """The zone that holds a page's main text, and its blocks: its articles, else its main element, else all but the furniture."""
+    """The zone that holds a page's main text, and its blocks: its articles, else its main element, else all but the furniture.
+
+    What is furniture by a header's name alone counts only on a page that has
+    nothing else and marks neither article nor main element.
+    """
     found = blocks_of(html)
     best = max((z for z, _ in found), default=OPEN)
+    if best == HEADED and not MARKED.search(html):
+        return OPEN, [t for z, t in found if z == HEADED]
     best = max(best, OPEN)
     return best, [t for z, t in found if z == best]
 
@@ -275,9 +296,9 @@ def boilerplate(pages: DataFrame) -> DataFrame:
             same = same_pages(held)
             found: dict[int | None, int] = dict(repeated_blocks([t.split("\n") for t in held], same))
             if key[2]:
-                # What one shard has once may be repeated in another.
+                # What one shard has once may be repeated in another; blocks that are shorter than a substring need their surroundings repeated too.
                 for t in held:
-                    for h in {block_hash(b) for b in t.split("\n")}:
+                    for h in {block_hash(b) for b in t.split("\n") if b.count(" ") >= MIN_TOKENS - 1}:
                         found.setdefault(h, 1)
             # Without a block: how many distinct pages there are.
             found[None] = len(np.unique(same))

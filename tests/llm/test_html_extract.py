@@ -123,3 +123,41 @@ def test_tables_pages_give_their_articles(spark, sf_dir):
         blocks = (re.sub(r"\s+", " ", html.unescape(re.sub(r"<[^>]*>", "", b))).strip() for b in re.split(r"</?(?:p|h1|br)>", inside))
         want[r.page_id] = "\n".join(b for b in blocks if b)
     assert {r.page_id: r.text for r in x.extract(pages).collect()} == want
+
+
+def test_an_article_keeps_what_its_names_say_of_itself():
+    assert main('<article><p class="legal">One<p class="share notice">Two<div class="related">Three</div><div class="ad">x</div><ul class="menu"><li>Four</ul></article>') == "One\nTwo\nThree\nFour"
+    assert main('<div class="Header-content"><p>All there is</p></div><nav>n</nav>') == "All there is"
+    assert main('<div class="page-header">x</div><p>y') == "y" and main('<div class="page-header">x</div><article></article>') == ""
+
+
+def test_parsing_is_linear_in_tags():
+    import time
+
+    took = []
+    for n in (4000, 16000):
+        page = "<i>" * n + "</b>" * n + "<div><b>" * n + "</u></p>" * n + "text"
+        began = time.process_time()
+        assert main(page) == "text"
+        took.append(time.process_time() - began)
+    assert took[1] < 12 * took[0] + 0.2
+
+
+@pytest.mark.parametrize("host_pages", [40, 300])
+def test_parts_of_any_size_remove_the_same(spark, monkeypatch, host_pages):
+    """Brute force over text without any markup of an article: a block goes where a fifth of the pages, three at least, have it."""
+    rng = random.Random(host_pages)
+    words = "river stone bread cloud paper light train house water music green apple".split()
+    line = lambda n: " ".join(rng.choices(words, k=n)) + f" {rng.random()}"
+    often, seldom = [line(9) for _ in range(3)], [line(9) for _ in range(40)]
+    pages = {}
+    for i in range(host_pages):
+        pages[i] = [*(b for k, b in enumerate(often) if rng.random() < 0.3 + 0.2 * k), *rng.sample(seldom, 2), *(line(rng.randrange(12, 40)) for _ in range(3))]
+        rng.shuffle(pages[i])
+    n = {b: sum(b in p for p in pages.values()) for b in often + seldom}
+    want = {i: "\n".join(b for b in p if n.get(b, 0) < max(3, 0.2 * host_pages)) for i, p in pages.items()}
+    df = spark.createDataFrame([(i, f"http://one.com/{i}", "".join(f"<p>{b}</p>" for b in p)) for i, p in pages.items()], "page_id long, url string, html string")
+    for part in (10**6, 128, 50):
+        monkeypatch.setattr(x, "SHARD_PAGES", part)
+        got = x.extract(df).collect()
+        assert {r.page_id: r.text for r in got} == want and sum(r.n_removed for r in got) > host_pages
