@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# The printed forms of classification codes.
 SUBCLASS = r"^:?([A-H]\d{2}[A-Z])\z"
 GROUP = r"^(\d{1,4}/\d{2,6})\z"
 COMPACT = r"^:?([A-H]\d{2}[A-Z])(\d{1,4}/\d{2,6})\z"

@@ -23,6 +23,7 @@ WORKS = (
     "results array<struct<id:string,title:string,abstract:string,publication_date:string,primary_location:struct<landing_page_url:string>,"
     "authorships:array<struct<institutions:array<struct<display_name:string>>>>>>"
 )
+# The markup of bibliographic blocks and of project cards.
 BIBLIO = r'(?s)<div class="biblio" data-docid="([^"]+)">(.*?)</div>\s*(?=<div|\z)'
 CARD = r'(?s)<div class="project">\s*<a href="([^"]+)">(.*?)</a>\s*<span class="date">(.*?)</span>\s*<p class="desc">(.*?)</p>\s*</div>'
 
@@ -35,6 +36,18 @@ def whole_files(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value")
 
 
+def json_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(file, line, raw): the lines of files that are not blank. Large files are read in splits, as any text is.
+
+    line grows with the place in a file but doesn't count from one: it is the
+    split's first byte, and the line's number within the split after it.
+    """
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), "value")
+    # A running number of each task, whose lowest 33 bits count its rows in order.
+    line = F.col("block") + F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    return lines.select("file", line.alias("line"), F.col("value").alias("raw")).where(F.trim("raw") != "")
+
+
 def matches(c: Column, pattern: str, groups: list[str]) -> Column:
     """Every match of a pattern as a struct of its groups, in order."""
     return F.arrays_zip(*[F.regexp_extract_all(c, F.lit(pattern), F.lit(k)).alias(name) for k, name in enumerate(groups, 1)])
@@ -93,16 +106,15 @@ def patent_export_records(rows: DataFrame) -> DataFrame:
 
 def google_patents(spark: SparkSession, path: str, **given) -> DataFrame:
     """JSON lines of the patent export; blank lines go."""
-    lines = whole_files(spark, path).select("file", F.posexplode(F.split("value", t.LINES, -1)).alias("line", "raw")).where(F.trim("raw") != "")
-    rows = lines.select("file", "line", F.from_json("raw", PATENT_EXPORT).alias("r")).select("file", "line", "r.*")
+    rows = json_lines(spark, path).select("file", "line", F.from_json("raw", PATENT_EXPORT).alias("r")).select("file", "line", "r.*")
     return finish(patent_export_records(rows), "google_patents", "patent", **given)
 
 
-def patentscope(spark: SparkSession, path: str, **given) -> DataFrame:
-    """HTML of bibliographic blocks, a record each."""
-    found = whole_files(spark, path).select("file", F.posexplode(matches(F.col("value"), BIBLIO, ["docid", "block"])).alias("line", "m")).select("file", "line", "m.*")
+def biblio_records(pages: DataFrame) -> DataFrame:
+    """Bibliographic blocks of pages(file, value) as uncleaned records."""
+    found = pages.select("file", F.posexplode(matches(F.col("value"), BIBLIO, ["docid", "block"])).alias("line", "m")).select("file", "line", "m.*")
     span = lambda name: inner_span(F.col("block"), name)
-    rows = found.select(
+    return found.select(
         "file",
         "line",
         F.concat(F.lit("https://patentscope.wipo.int/search/en/detail.jsf?docId="), "docid").alias("source_url"),
@@ -115,7 +127,11 @@ def patentscope(spark: SparkSession, path: str, **given) -> DataFrame:
         span("filing-date").alias("filing_date"),
         span("status").alias("legal_status"),
     )
-    return finish(rows, "patentscope", "patent", **given)
+
+
+def patentscope(spark: SparkSession, path: str, **given) -> DataFrame:
+    """HTML of bibliographic blocks, a record each."""
+    return finish(biblio_records(whole_files(spark, path)), "patentscope", "patent", **given)
 
 
 def card_records(pages: DataFrame, organisation: str | None) -> DataFrame:
@@ -135,11 +151,11 @@ def listing(source_id: str) -> Callable[..., DataFrame]:
     return read
 
 
-def openalex(spark: SparkSession, path: str, **given) -> DataFrame:
-    """Works of a JSON response; institutions of all authorships are the applicants."""
-    docs = whole_files(spark, path).select("file", F.from_json("value", WORKS).alias("d"))
+def work_records(pages: DataFrame) -> DataFrame:
+    """Works of JSON responses in pages(file, value) as uncleaned records; institutions of all authorships are the applicants."""
+    docs = pages.select("file", F.from_json("value", WORKS).alias("d"))
     works = docs.select("file", F.posexplode("d.results").alias("line", "w"))
-    rows = works.select(
+    return works.select(
         "file",
         "line",
         F.coalesce(F.nullif(F.col("w.primary_location.landing_page_url"), F.lit("")), "w.id").alias("source_url"),
@@ -148,7 +164,11 @@ def openalex(spark: SparkSession, path: str, **given) -> DataFrame:
         F.flatten(F.transform("w.authorships", lambda a: F.coalesce(F.transform(a["institutions"], lambda i: i["display_name"]), F.array().cast("array<string>")))).alias("applicants"),
         t.clean_text(F.col("w.publication_date")).alias("filing_date"),
     )
-    return finish(rows, "openalex", "publication", **given)
+
+
+def openalex(spark: SparkSession, path: str, **given) -> DataFrame:
+    """Works of a JSON response."""
+    return finish(work_records(whole_files(spark, path)), "openalex", "publication", **given)
 
 
 #: Readers in the order in which their records count for keep-first rules.
@@ -179,6 +199,5 @@ def records_jsonl(spark: SparkSession, path: str) -> DataFrame:
     where = jvm.org.apache.hadoop.fs.Path(path)
     found = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(where)
     if not found:
-        return spark.createDataFrame([], RECORD).withColumns({"file": F.lit(""), "line": F.lit(0)})
-    lines = whole_files(spark, path).select("file", F.posexplode(F.split("value", "\n", -1)).alias("line", "raw")).where(F.trim("raw") != "")
-    return conform(lines.select("file", "line", F.from_json("raw", RECORD).alias("r")).select("file", "line", "r.*"))
+        return spark.createDataFrame([], RECORD).withColumns({"file": F.lit(""), "line": F.lit(0).cast("long")})
+    return conform(json_lines(spark, path).select("file", "line", F.from_json("raw", RECORD).alias("r")).select("file", "line", "r.*"))

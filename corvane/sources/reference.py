@@ -10,6 +10,7 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 
+# The two keyword tables must equal those that records were labelled by, as labels depend on every term.
 # Keywords of each value-chain stage, as (whole words, substrings).
 STAGE_KEYWORDS: dict[str, tuple[list[str], list[str]]] = {
     "exploration": (["mapping", "targeting", "drilling", "assay", "survey"], ["prospect", "remote sensing", "sentinel", "aeromag", "radiomet", "hyperspectral", "geophys", "geochem"]),

@@ -76,7 +76,7 @@ FROM BRINE
 
 (51) International
 C22B
-26/12, 1)RAVI KUMAR
+26/12, 1)SOME PERSON
 :C01D15/08
 (71)Name of Applicant :
 1)Acme Metals Ltd
