@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 from corvane.functions import text as t
 from corvane.operators import analytics, dedupe, export, graph, quality, resolve, search
 from corvane.operators.taxonomy import classified, term_hits
+from corvane.plans import jobs
 from corvane.plans.driver_views import DRIVER_TAXONOMY, customer_records, kind_of_status, star_records, table, text_records
 from corvane.sources.journal import with_candidate_reason
 from corvane.sources.readers import matches
@@ -170,10 +172,15 @@ def cofiled_edges(spark, sf):
 
 
 @query(f"""{EDGES} SELECT (SELECT count(*) FROM n WHERE type = 'record')::BIGINT AS record_nodes, (SELECT count(*) FROM rec)::BIGINT AS expected_records, (SELECT count(*) FROM n)::BIGINT AS node_count,
-(SELECT count(*) FROM e)::BIGINT AS edge_count, (SELECT count(*) FROM e WHERE src NOT IN (SELECT id FROM n) OR dst NOT IN (SELECT id FROM n))::BIGINT AS dangling_edges, TRUE AS consistent""")
+(SELECT count(*) FROM e)::BIGINT AS edge_count, (SELECT count(*) FROM e WHERE src NOT IN (SELECT id FROM n) OR dst NOT IN (SELECT id FROM n))::BIGINT AS dangling_edges,
+(SELECT count(*) FROM n WHERE type = 'record') = (SELECT count(*) FROM rec) AND NOT EXISTS (FROM e WHERE src NOT IN (SELECT id FROM n) OR dst NOT IN (SELECT id FROM n)) AS consistent""")
 def graph_reconcile(spark, sf):
     records = keyed_star(spark, sf)
-    return graph.reconcile(graph.nodes(records, ["o_orderkey"]), graph.edges(records), records.count())
+    # The graph is made once, as a job that writes it would, and counted as it was written.
+    path = f"{_shared(spark)}/graph-{uuid.uuid4().hex}"
+    graph.nodes(records, ["o_orderkey"]).write.parquet(f"{path}/nodes")
+    graph.edges(records).write.parquet(f"{path}/edges")
+    return graph.reconcile(spark.read.parquet(f"{path}/nodes"), spark.read.parquet(f"{path}/edges"), table(spark, sf, "orders").join(table(spark, sf, "lineitem"), F.col("o_orderkey") == F.col("l_orderkey"), "left_semi").count())
 
 
 @query(f"WITH {STAR} SELECT o_orderkey::VARCHAR AS doc_id, org, 'applicant' AS role FROM org")
@@ -296,7 +303,8 @@ def holdout_label_scores(spark, sf):
 
 
 @query(f"""{SCORED} SELECT (SELECT count(*) FROM d)::BIGINT AS n, (SELECT round(avg((gq = pq AND gt = pt)::INT::DOUBLE), 4) FROM d) AS subset_accuracy,
-(SELECT round(avg(2.0::DOUBLE * tp / (2 * tp + fp + fn)), 4) FROM c WHERE tp + fp + fn > 0) AS macro_f1, 2::BIGINT AS labels_scored, 1::BIGINT AS labels_unexercised""")
+(SELECT round(avg(2.0::DOUBLE * tp / (2 * tp + fp + fn)), 4) FROM c WHERE tp + fp + fn > 0) AS macro_f1, (SELECT count(*) FROM c WHERE tp + fp + fn > 0)::BIGINT AS labels_scored,
+(SELECT count(*) FROM c WHERE tp + fp + fn = 0)::BIGINT AS labels_unexercised""")
 def holdout_metrics(spark, sf):
     return quality.task_scores(scored_documents(spark, sf), "gold", "pred", label_list(spark))
 
@@ -484,7 +492,7 @@ def alerts_seeded(spark, sf):
 @query(ALERTS)
 def alerts_stream(spark, sf):
     """The same through a stream: a file source, state in tables, two runs of which the second has nothing new."""
-    base = f"{_shared(spark)}/alerts-{abs(hash((sf, id(spark))))}-{_number()}"
+    base = f"{_shared(spark)}/alerts-{uuid.uuid4().hex}"
     store = alerts.AlertTable(spark, base)
     subscriptions(spark).write.mode("overwrite").parquet(f"{base}/subscriptions/batch=0")
     documents = table(spark, sf, "documents")
@@ -504,19 +512,13 @@ def alert_records_of(documents: DataFrame) -> DataFrame:
 
 @query()
 def manifest_hash(spark, sf):
-    """SHA-256 of the smallest table's file, as a backup's manifest has it. Files have no SQL."""
-    files = spark.read.format("binaryFile").load(f"{sf}/region.parquet")
-    return quality.manifest(files).select(F.element_at(F.split("path", "/"), -1).alias("path"), "sha256")
-
-
-_count = iter(range(10**9))
-
-
-def _number() -> int:
-    return next(_count)
+    """SHA-256 of every file of the tables, as a backup's manifest has it. Files have no SQL."""
+    return jobs.backup_manifest(spark, sf)
 
 
 def _shared(spark: SparkSession) -> str:
-    """The shared folder of the cluster, or a temporary one where none is named."""
+    """The shared folder of the cluster; on one machine a temporary one where none is named."""
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not named and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir names no folder that driver and executors share")
     return named.rstrip("/") if named else "file://" + tempfile.mkdtemp(prefix="corvane-")

@@ -9,6 +9,10 @@ from corvane.operators.graph import cofiled
 from corvane.schemas import KINDS, RESEARCH_KINDS
 
 
+#: Tasks that a cell's organisations are dealt out to.
+SPLITS = 8
+
+
 def totals(records: DataFrame) -> DataFrame:
     """One row: all records, and those of each kind."""
     return records.agg(F.count("*").alias("total"), *[F.count_if(F.col("kind") == k).alias(k) for k in KINDS])
@@ -42,17 +46,14 @@ def _counted(records: DataFrame, **measures: Column) -> DataFrame:
 
 def _completed(counted: DataFrame, minerals: DataFrame | None, stages: DataFrame | None, names: list[str]) -> DataFrame:
     """The counts over all pairs of two label axes, zeros included. Axes are taxonomy labels, so their product is bounded by the taxonomy, not by the records."""
-    if minerals is not None or stages is not None:
-        minerals = minerals if minerals is not None else counted.select("mineral").where("mineral is not null").distinct()
-        stages = stages if stages is not None else counted.select("stage").where("stage is not null").distinct()
-        out = minerals.crossJoin(F.broadcast(stages)).join(counted, ["mineral", "stage"], "left")
-        return out.select("mineral", "stage", *[F.coalesce(n, F.lit(0)).cast("long").alias(n) for n in names])
-    # Observed axes come from the counted cells themselves, so that the records are read once.
-    one = counted.groupBy().agg(F.collect_list(F.struct("mineral", "stage", *names)).alias("cells"))
-    axis_of = lambda name: F.array_distinct(F.filter(F.transform("cells", lambda x: x[name]), lambda v: v.isNotNull()))
-    grid = one.select("cells", axis_of("stage").alias("stages"), F.explode(axis_of("mineral")).alias("mineral")).select("cells", "mineral", F.explode("stages").alias("stage"))
-    own = F.get(F.filter("cells", lambda x: (x["mineral"] == F.col("mineral")) & (x["stage"] == F.col("stage"))), F.lit(0))
-    return grid.select("mineral", "stage", *[F.coalesce(own[n], F.lit(0)).cast("long").alias(n) for n in names])
+    # Observed axes come from the counted cells, whose shuffle the three uses share, so that the records are read once.
+    minerals = minerals if minerals is not None else counted.select("mineral").where("mineral is not null").distinct()
+    stages = stages if stages is not None else counted.select("stage").where("stage is not null").groupBy().agg(F.collect_set("stage").alias("s")).select(F.explode("s").alias("stage"))
+    # A row for each mineral with the list of stages: a grid without a product of unbounded sides.
+    listed = stages.groupBy().agg(F.collect_set("stage").alias("stages"))
+    grid = minerals.select("mineral", F.lit(0).alias("all")).join(F.broadcast(listed.withColumn("all", F.lit(0))), "all").select("mineral", F.explode("stages").alias("stage"))
+    out = grid.join(counted, ["mineral", "stage"], "left")
+    return out.select("mineral", "stage", *[F.coalesce(n, F.lit(0)).cast("long").alias(n) for n in names])
 
 
 def heatmap(records: DataFrame, minerals: DataFrame | None = None, stages: DataFrame | None = None) -> DataFrame:
@@ -86,12 +87,16 @@ def activity(records: DataFrame) -> DataFrame:
 def collaborations(records: DataFrame) -> DataFrame:
     """(org_a, org_b, mineral, stage), org_a before org_b: cells in which two organisations are active that never filed together.
 
-    An equi-join on the cell, never a product of all organisations.
+    An equi-join on the cell, never a product of all organisations. A cell's
+    organisations are dealt out to SPLITS, so that its pairs are made by as many
+    tasks: an organisation stands in its own split on one side and in all of
+    them on the other.
     """
     own = activity(records)
-    a = own.withColumnRenamed("org", "org_a")
-    b = own.withColumnRenamed("org", "org_b")
-    pairs = a.join(b, ["mineral", "stage"]).where("org_a < org_b")
+    split = F.pmod(F.xxhash64("org_a"), F.lit(SPLITS)).cast("int")
+    a = own.withColumnRenamed("org", "org_a").withColumn("split", split)
+    b = own.withColumnRenamed("org", "org_b").withColumn("split", F.explode(F.sequence(F.lit(0), F.lit(SPLITS - 1))))
+    pairs = a.join(b, ["mineral", "stage", "split"]).where("org_a < org_b").select("org_a", "org_b", "mineral", "stage")
     return pairs.join(cofiled(records).distinct(), ["org_a", "org_b"], "left_anti").select("org_a", "org_b", "mineral", "stage")
 
 

@@ -65,10 +65,12 @@ def nodes(records: DataFrame, order: list[str]) -> DataFrame:
 
 def dangling(nodes_: DataFrame, edges_: DataFrame) -> DataFrame:
     """Edges an end of which is no node."""
-    ids = nodes_.select("id").distinct()
-    src, dst = ids.withColumnRenamed("id", "__src"), ids.withColumnRenamed("id", "__dst")
+    ends = edges_.select("src").union(edges_.select("dst")).withColumnRenamed("src", "id").distinct()
+    # Ends repeat far more than nodes; those without a node are few, and edges are read once more only to name theirs.
+    lost = ends.join(nodes_.select("id"), "id", "left_anti")
+    src, dst = lost.withColumnRenamed("id", "__src"), lost.withColumnRenamed("id", "__dst")
     met = edges_.join(src, F.col("src") == F.col("__src"), "left").join(dst, F.col("dst") == F.col("__dst"), "left")
-    return met.where("__src is null or __dst is null").drop("__src", "__dst")
+    return met.where("__src is not null or __dst is not null").drop("__src", "__dst")
 
 
 def reconcile(nodes_: DataFrame, edges_: DataFrame, n_records: int, expected: int | None = None) -> DataFrame:

@@ -7,7 +7,7 @@ import json
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvane.operators.dedupe import not_stored
+from corvane.operators.dedupe import keep_first, not_stored
 from corvane.operators.graph import dangling
 
 
@@ -17,9 +17,9 @@ def write_store(records: DataFrame, path: str) -> None:
 
 
 def append_candidates(found: DataFrame, stored: DataFrame | None, path: str) -> None:
-    """Candidates whose address is not stored yet, as more JSON lines."""
+    """Candidates whose address is not stored yet, as more JSON lines; of equal addresses the first by file and line."""
     fresh = not_stored(found, stored, ["source_url"]) if stored is not None else found
-    fresh.drop("file", "line").dropDuplicates(["source_url"]).write.mode("append").json(path)
+    keep_first(fresh, ["source_url"], ["file", "line"]).drop("file", "line").write.mode("append").json(path)
 
 
 def write_archive(records: DataFrame, path: str) -> None:

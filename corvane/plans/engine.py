@@ -10,6 +10,7 @@ from corvane.operators.dedupe import with_duplicate_counts
 from corvane.operators.resolve import alias_index, resolved
 from corvane.sources.readers import READERS
 from corvane.sources.reference import Taxonomy, read_aliases, read_taxonomy
+from corvane.streaming.alerts import AlertTable
 
 DETAIL = ("doc_id", "title", "abstract", "kind", "mineral_ids", "stage_ids", "process_family_ids", "applicants", "orgs", "filing_date", "legal_status", "source_id", "source_url")
 ORDER = ["tier", "file", "line"]
@@ -29,7 +30,7 @@ def ingest(spark: SparkSession, paths: dict[str, str], fetched_at: str | None =
 
 
 class Engine:
-    """Queries over a corpus of records. The indexed corpus is cached; reload() sees new harvests."""
+    """Queries over a corpus of records. cache() keeps the indexed corpus; load again to see new harvests."""
 
     def __init__(self, spark: SparkSession, taxonomy: Taxonomy, aliases: DataFrame, records: DataFrame):
         self.spark, self.taxonomy, self.aliases = spark, taxonomy, aliases
@@ -88,6 +89,14 @@ class Engine:
         keyed = graph.with_record_key(self.records)
         return graph.nodes(keyed, ORDER), graph.edges(keyed)
 
+    def subscribe(self, alerts: AlertTable, mineral: str = "", stage: str = "", kind: str = "", q: str = "", replay: bool = False) -> str:
+        """A new subscription, which has seen the corpus as it is unless its history is to be replayed."""
+        return alerts.subscribe(mineral, stage, kind, q, None if replay else self.records)
+
+    def check_alerts(self, alerts: AlertTable, batch: int) -> DataFrame:
+        """What the corpus has that subscriptions have not seen."""
+        return alerts.check(self.records, batch, ORDER)
+
     def same_org(self, a: str, b: str) -> bool:
         """Whether two names resolve to one organisation."""
         rows = resolved(self.spark.createDataFrame([(a,), (b,)], "name string"), self.index).select("org").distinct()

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corvane.operators import quality, sinks
+from corvane.operators.dedupe import keep_first
 from corvane.operators.resolve import merge_rate
 from corvane.operators.taxonomy import classified
 from corvane.plans.engine import Engine, ingest
@@ -41,10 +42,12 @@ def harvest_journal(spark: SparkSession, texts: dict[tuple[str, str], str], arch
         try:
             found = journal.read_journal(spark, path, number, part).cache()
             sinks.write_archive(found, archive)
-            fresh = journal.new_candidates(journal.candidates(found), records_jsonl(spark, f"{store}/part-*")).dropDuplicates(["source_url"]).cache()
-            n = fresh.count()
+            fresh = journal.new_candidates(journal.candidates(found), records_jsonl(spark, f"{store}/part-*")).cache()
+            n = keep_first(fresh, ["source_url"], ["file", "line"]).count()
             sinks.append_candidates(fresh, None, store)
             added += n
+            fresh.unpersist()
+            found.unpersist()
         except Exception as error:
             failed[number, part] = str(error)
     return added, failed
@@ -57,7 +60,7 @@ def evaluate(engine: Engine, holdout_path: str) -> DataFrame:
     return quality.evaluate_holdout(classified(golden, engine.taxonomy), holdout, golden)
 
 
-def measure(engine: Engine, holdout_path: str, searches: int = 5) -> DataFrame:
+def measure(engine: Engine, holdout_path: str, searches: int = 50) -> DataFrame:
     """(metric, value) of what the baseline tracks: hold-out scores, merge rate, and the mean time of a search."""
     out = [(f"{r['task']}_{m}", float(r[m])) for r in evaluate(engine, holdout_path).collect() for m in ("subset_accuracy", "macro_f1")]
     out.append(("org_merge_rate", float(merge_rate(engine.aliases).first()["rate"] or 0.0)))

@@ -18,8 +18,8 @@ from corvane.operators.dedupe import keep_first
 
 SUBSCRIPTION = "sub_id string, mineral string, stage string, kind string, q string"
 SEEN = "sub_id string, record_key string"
-#: Subscriptions meet records by their first set facet; one that has none meets all. Of such there may be so many.
-MAX_OPEN_SUBSCRIPTIONS = 10_000
+#: Subscriptions up to which they are broadcast; more of them are dealt out, and records meet each share of them.
+BROADCAST_SUBSCRIPTIONS = 10_000
 
 
 def record_key(doc_id: str = "doc_id", source_url: str = "source_url") -> Column:
@@ -29,12 +29,11 @@ def record_key(doc_id: str = "doc_id", source_url: str = "source_url") -> Column
 def matches() -> Column:
     """Whether a record meets a subscription: its mineral, stage and kind, and all tokens of its query in title and abstract; what a subscription leaves empty meets anything."""
     unset = lambda c: F.coalesce(F.col(c), F.lit("")) == ""
-    words = token_set(F.concat_ws(" ", F.coalesce("title", F.lit("")), F.coalesce("abstract", F.lit(""))))
     return (
         (unset("s_mineral") | F.coalesce(F.array_contains("mineral_ids", F.col("s_mineral")), F.lit(False)))
         & (unset("s_stage") | F.coalesce(F.array_contains("stage_ids", F.col("s_stage")), F.lit(False)))
         & (unset("s_kind") | F.coalesce(F.col("kind") == F.col("s_kind"), F.lit(False)))
-        & (unset("q") | (F.size(F.array_except(token_set(F.col("q")), words)) == 0))
+        & (unset("q") | (F.size(F.array_except("s_tokens", "words")) == 0))
     )
 
 
@@ -42,21 +41,32 @@ def offered(records: DataFrame, subs: DataFrame, order: list[str]) -> DataFrame:
     """Each record with each subscription, once for each key: the first record in the order.
 
     Every subscription is offered every record; that product is what the state
-    holds, so it is made, with the subscriptions broadcast after a check of their
-    number, and not sought to be avoided.
+    holds, so it is made and not sought to be avoided. Subscriptions that are
+    few are broadcast. More are dealt out to shares of BROADCAST_SUBSCRIPTIONS,
+    each of which meets all records by equality of the share's number. Tokens of
+    a record and of a query are found once, before they meet.
     """
-    first = keep_first(records.withColumn("record_key", record_key()).where(F.col("record_key").isNotNull()), ["record_key"], order)
-    named = subs.select("sub_id", F.col("mineral").alias("s_mineral"), F.col("stage").alias("s_stage"), F.col("kind").alias("s_kind"), "q")
-    if named.limit(MAX_OPEN_SUBSCRIPTIONS + 1).count() > MAX_OPEN_SUBSCRIPTIONS:
-        raise ValueError(f"more than {MAX_OPEN_SUBSCRIPTIONS} subscriptions; check them in blocks")
-    return first.join(F.broadcast(named), F.lit(True))
+    words = token_set(F.concat_ws(" ", F.coalesce("title", F.lit("")), F.coalesce("abstract", F.lit(""))))
+    first = keep_first(records.withColumn("record_key", record_key()).where(F.col("record_key").isNotNull()), ["record_key"], order).withColumn("words", words)
+    named = subs.select("sub_id", F.col("mineral").alias("s_mineral"), F.col("stage").alias("s_stage"), F.col("kind").alias("s_kind"), "q", token_set(F.col("q")).alias("s_tokens"))
+    n = named.count()
+    if n <= BROADCAST_SUBSCRIPTIONS:
+        return first.join(F.broadcast(named), F.lit(True))
+    shares = -(-n // BROADCAST_SUBSCRIPTIONS)
+    dealt = named.withColumn("share", F.pmod(F.xxhash64("sub_id"), F.lit(shares)))
+    return first.withColumn("share", F.explode(F.sequence(F.lit(0), F.lit(shares - 1))).cast("long")).join(dealt, "share").drop("share")
+
+
+def fresh(records: DataFrame, subs: DataFrame, seen: DataFrame, order: list[str]) -> DataFrame:
+    """What is offered and was not before."""
+    return offered(records, subs, order).join(seen.select("sub_id", "record_key"), ["sub_id", "record_key"], "left_anti")
 
 
 def check(records: DataFrame, subs: DataFrame, seen: DataFrame, order: list[str]) -> tuple[DataFrame, DataFrame]:
     """(fired, newly seen) of one batch: what was offered before is left out, all else becomes seen and what matches fires."""
-    fresh = offered(records, subs, order).join(seen.select("sub_id", "record_key"), ["sub_id", "record_key"], "left_anti")
-    fired = fresh.where(matches()).select("sub_id", F.col("record_key").alias("record_id"), F.coalesce("title", F.lit("")).alias("title"))
-    return fired, fresh.select("sub_id", "record_key")
+    new = fresh(records, subs, seen, order)
+    fired = new.where(matches()).select("sub_id", F.col("record_key").alias("record_id"), F.coalesce("title", F.lit("")).alias("title"))
+    return fired, new.select("sub_id", "record_key")
 
 
 def subscribe(subs: DataFrame, mineral: str = "", stage: str = "", kind: str = "", q: str = "") -> tuple[str, DataFrame]:
@@ -117,10 +127,13 @@ class AlertTable:
         """Runs one batch and returns its alerts."""
         seen = self.seen()
         seen = seen.where(F.col("batch") != batch) if "batch" in seen.columns else seen
-        fired, fresh = check(records, self.subscriptions(), seen, order)
+        # What is offered is found once, each row with whether it fires, and both tables are taken from that.
+        both = fresh(records, self.subscriptions(), seen, order).select("sub_id", "record_key", F.coalesce("title", F.lit("")).alias("title"), matches().alias("fired"))
+        both.write.mode("overwrite").parquet(f"{self.path}/offered/batch={batch}")
+        both = self.spark.read.schema(both.schema).parquet(f"{self.path}/offered/batch={batch}")
         # Alerts first: a batch whose state is missing is replayed whole.
-        fired.write.mode("overwrite").parquet(f"{self.path}/alerts/batch={batch}")
-        fresh.write.mode("overwrite").parquet(f"{self.path}/seen/batch={batch}")
+        both.where("fired").select("sub_id", F.col("record_key").alias("record_id"), "title").write.mode("overwrite").parquet(f"{self.path}/alerts/batch={batch}")
+        both.select("sub_id", "record_key").write.mode("overwrite").parquet(f"{self.path}/seen/batch={batch}")
         return self.spark.read.parquet(f"{self.path}/alerts/batch={batch}")
 
     def stream(self, records: DataFrame, order: list[str], then: Callable[[DataFrame, int], None] | None = None, checkpoint: str | None = None) -> StreamingQuery:
