@@ -133,10 +133,12 @@ def org_resolve(spark, sf):
     return resolve.resolved(names, resolve.alias_index(alias_rows(spark, ALIASES)))
 
 
-@query(f"""WITH alias AS (SELECT s_nationkey::VARCHAR AS canonical, substr(s_name, 1, 16) AS variant FROM supplier), i AS (SELECT DISTINCT {FORM.format('variant')} AS norm, canonical FROM alias)
+@query(f"""WITH alias AS (SELECT s_name AS canonical, n_name AS variant FROM supplier JOIN nation ON s_nationkey = n_nationkey), i AS (SELECT DISTINCT {FORM.format('variant')} AS norm, canonical FROM alias)
 SELECT norm, count(*)::BIGINT AS n, string_agg(canonical, ', ' ORDER BY canonical) AS canonicals FROM i GROUP BY norm HAVING count(*) > 1""")
 def alias_collision(spark, sf):
-    aliases = table(spark, sf, "supplier").select(F.col("s_nationkey").cast("string").alias("canonical"), F.substring("s_name", 1, 16).alias("variant"))
+    """Suppliers that all claim their nation's name."""
+    nation = F.broadcast(table(spark, sf, "nation"))
+    aliases = table(spark, sf, "supplier").join(nation, F.col("s_nationkey") == F.col("n_nationkey")).select(F.col("s_name").alias("canonical"), F.col("n_name").alias("variant"))
     return resolve.collisions(aliases)
 
 
@@ -522,3 +524,6 @@ def _shared(spark: SparkSession) -> str:
     if not named and not spark.sparkContext.master.startswith("local"):
         raise ValueError("spark.checkpoint.dir names no folder that driver and executors share")
     return named.rstrip("/") if named else "file://" + tempfile.mkdtemp(prefix="corvane-")
+
+
+from corvane import catalogue_formats  # noqa: E402, F401  its queries join these

@@ -44,3 +44,14 @@ def test_legacy_state(spark):
     subs = spark.createDataFrame([("s1", "", "", "", ""), ("s2", "", "", "", "")], a.SUBSCRIPTION)
     seen = a.folded(subs, spark.createDataFrame([("s1", "k")], a.SEEN), spark.createDataFrame([("k",), ("m",)], "record_key string"))
     assert sorted(map(tuple, seen.collect())) == [("s1", "k"), ("s1", "m"), ("s2", "k"), ("s2", "m")]
+
+
+def test_any_number_of_subscriptions(spark, monkeypatch):
+    subs = spark.createDataFrame([(f"s{i}", "LI" if i % 2 else "", "", "", "brine" if i % 3 == 0 else "") for i in range(25)], a.SUBSCRIPTION)
+    seen = spark.createDataFrame([("s1", "r1"), ("s4", "r3")], a.SEEN)
+    said = []
+    for most in (10_000, 4):
+        monkeypatch.setattr(a, "BROADCAST_SUBSCRIPTIONS", most)
+        fired, new = a.check(records(spark, R1, R2, R3), subs, seen, ["at"])
+        said.append((sorted(map(tuple, fired.collect())), sorted(map(tuple, new.collect()))))
+    assert said[0] == said[1] and len(said[0][1]) == 25 * 3 - 2
