@@ -54,7 +54,7 @@ def offered(records: DataFrame, subs: DataFrame, order: list[str]) -> DataFrame:
         return first.join(F.broadcast(named), F.lit(True))
     shares = -(-n // BROADCAST_SUBSCRIPTIONS)
     dealt = named.withColumn("share", F.pmod(F.xxhash64("sub_id"), F.lit(shares)))
-    return first.withColumn("share", F.explode(F.sequence(F.lit(0), F.lit(shares - 1))).cast("long")).join(dealt, "share").drop("share")
+    return first.withColumn("share", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shares - 1).cast("long")))).join(dealt, "share").drop("share")
 
 
 def fresh(records: DataFrame, subs: DataFrame, seen: DataFrame, order: list[str]) -> DataFrame:
