@@ -85,3 +85,24 @@ def test_stages_match_brute_force(spark, sf_dir):
 def test_run_is_the_stages_in_a_row(spark, sf_dir):
     out = p.run(spark, sf_dir)
     assert out.count() > 0 and out.where("not decoded_equal").count() == 0
+
+
+def test_first_stages_match_independent_code(spark, sf_dir):
+    """Toxicity against plain Python, line rules against SQL, each over its own input."""
+    import duckdb
+
+    from test_toxicity import brute_scores
+
+    sf_dir = sf_dir.replace("0.001", "0.01")
+    docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
+    model = toxicity.fit(docs, labels)
+    text = {r.doc_id: r.text or "" for r in docs.collect()}
+    toxic = {r.doc_id: r.toxic for r in labels.collect()}
+    scores = brute_scores(model, text.values(), [(text[i], toxic[i]) for i in model.index.ids], list(text.values()))
+    kept = written(p.drop_toxic(spark, docs, sf_dir), "test")
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(i for i, s in zip(text, scores, strict=True) if s < 0.5)
+    db = duckdb.connect()
+    rows = kept.select("doc_id", "text").toPandas()
+    db.register("documents", rows)
+    good = sorted(r[0] for r in db.execute(f"SELECT doc_id FROM ({quality_lines.ORACLE_SQL}) WHERE kept").fetchall())
+    assert sorted(r.doc_id for r in p.clean_lines(spark, kept, sf_dir).collect()) == good

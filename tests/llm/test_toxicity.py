@@ -1,4 +1,5 @@
 import itertools
+import math
 import random
 import zlib
 
@@ -94,3 +95,63 @@ def test_nothing_to_learn(spark, case):
     labels = labels.limit(0) if case == "no labels" else labels.where("toxic = 0") if case == "one class" else labels
     model = t.fit(docs, labels)
     assert all(r.score <= 0.5 and r.predicted == 0 for r in t.score_documents(small(spark)[0], model).collect())
+
+
+def brute_scores(model, texts, examples, everything):
+    """Scores of texts by plain Python over the examples (text, label) in the index's order and all texts of the corpus."""
+    import re
+    from collections import Counter
+
+    def counts(text):
+        found, rest = Counter(), 0
+        for w in re.findall("[a-zA-Z\x80-\U0010ffff]+", text):
+            w = w.lower()
+            own = [x for x in (w, *(w[:n] + "*" for n in (4, 5, 6, 7) if len(w) > n)) if x in model.number]
+            found.update(own)
+            rest += not own
+        return found | ({None: rest} if rest else {})
+
+    df = Counter(x for text in everything for x in counts(text) if x)
+    idf = {x: math.log((1 + len(everything)) / (1 + df[x])) + 1 for x in model.number} | {None: 1.0}
+
+    def unit(text):
+        w = {x: (1 + math.log(n)) * idf[x] for x, n in counts(text).items()}
+        norm = math.sqrt(sum(v * v for v in w.values()))
+        return {x: v / norm for x, v in w.items()}
+
+    known = [(unit(text), label, text) for text, label in examples]
+    out = []
+    for text in texts:
+        q = unit(text)
+        cosines = [(sum(v * e.get(x, 0.0) for x, v in q.items()), p) for p, (e, _, other) in enumerate(known) if other != text]
+        near = sorted(((-round(c, 12), p) for c, p in cosines if c > 1e-12))[:25]
+        weights = [(1 / (max(0, 1 + c) + 0.05), known[p][1]) for c, p in near]
+        share = (sum(w * y for w, y in weights) + 0.5 * model.base) / (sum(w for w, _ in weights) + 0.5)
+        out.append(1 / (1 + math.exp(-model.slope * math.log(share / (1 - share)) - model.offset)))
+    return out
+
+
+def test_query_matches_brute_force(spark, sf_dir):
+    from corvane.llm import queries
+
+    sf_dir = sf_dir.replace("0.001", "0.01")
+    docs, labels = spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet")
+    model = t.fit(docs, labels)
+    text = {r.doc_id: r.text or "" for r in docs.collect()}
+    toxic = {r.doc_id: r.toxic for r in labels.collect() if r.toxic is not None and r.doc_id in text and zlib.crc32(str(r.doc_id).encode()) % 5}
+    assert sorted(model.index.ids) == sorted(toxic) and len(model.number) > 1
+    got = {r.doc_id: r for r in queries.QUERIES["op3_toxicity"](spark, sf_dir).collect()}
+    want = brute_scores(model, text.values(), [(text[i], toxic[i]) for i in model.index.ids], list(text.values()))
+    assert len(got) == len(text)
+    for i, s in zip(text, want, strict=True):
+        assert abs(got[i].score - s) < 1e-9 and got[i].predicted == (s >= 0.5) and got[i].held_out == (zlib.crc32(str(i).encode()) % 5 == 0)
+
+
+def test_no_example_of_the_same_text_votes(spark):
+    rows = [(i, "vile sun tree" if i % 4 == 0 else f"sun tree walk {'bread' if i % 2 else 'river'}", 0.0, 0) for i in range(200)]
+    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(200)], "doc_id long, toxic int")
+    docs = spark.createDataFrame(rows, SCHEMA)
+    model = t.fit(docs, labels)
+    assert all(model.index.labels[p] == 0 for p, _ in t._scorer(model)("vile sun tree")[1])
+    evidence = {r.doc_id: r.evidence for r in t.score_documents(docs, model).collect()}
+    assert all(not e.toxic for e in evidence[0])
