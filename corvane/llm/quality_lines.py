@@ -38,6 +38,15 @@ PHRASES = re.compile(
     r"todos los derechos reservados|t[ée]rminos de (?:uso|servicio)|política de privacidad|política de cookies|utilizamos cookies|utiliza cookies|aceptar cookies|"
     r"active javascript|regístrese|haga clic aquí|leer más|síganos|síguenos|suscríbase|saltar al contenido|volver arriba|página \d+ de \d+|bajo licencia"
 )
+
+
+def _hints(pattern: str) -> tuple[str, ...]:
+    """For each phrase of an alternation its longest run of plain characters, without which it can't match."""
+    alone = re.sub(r"\(\?:[^)]*\)\??|\[[^\]]*\]|\\d(?:\+|\{\d\})|.\?", "\n", pattern)
+    return tuple({max(re.sub(r"\\(.)", r"\1", x).split("\n"), key=len) for x in alone.split("|")})
+
+
+HINTS = _hints(PHRASES.pattern)
 RULES = ("punctuation", "navigation", "symbols", "shouting", "repetition", "boilerplate", "repeated_line")
 
 
@@ -62,8 +71,11 @@ def failed_rule(line: str, words: list[str]) -> str | None:
         return "shouting"
     if n >= LONG_LINE and 100 * Counter(words).most_common(1)[0][1] > MAX_SAME_PCT * n:
         return "repetition"
-    if 100 * sum(map(len, PHRASES.findall(line.lower()))) >= MIN_PHRASE_PCT * len(end) and PHRASES.search(line.lower()):
-        return "boilerplate"
+    low = line.lower()
+    if any(h in low for h in HINTS):
+        found = PHRASES.findall(low)
+        if found and 100 * sum(map(len, found)) >= MIN_PHRASE_PCT * len(end):
+            return "boilerplate"
     return None
 
 

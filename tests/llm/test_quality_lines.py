@@ -92,3 +92,13 @@ def test_any_number_of_closing_marks_and_any_length():
     for n in (3, 10, 300):
         line = PROSE.format("") * n + " He would read more of it later."
         assert q.failed_rule(line, line.split()) is None
+
+
+def test_every_phrase_has_its_hint():
+    alternatives = re.sub(r"\(\?:([^)]*)\)\??", lambda m: m[1].split("|")[0], q.PHRASES.pattern).split("|")
+    assert len(alternatives) > 60 and min(map(len, q.HINTS)) >= 1 and "" not in q.HINTS
+    for a in alternatives:
+        phrase = re.sub(r"\[(.)[^\]]*\]", r"\1", a).replace("\\d{4}", "2024").replace("\\d+", "7").replace(" ?", "").replace("\\", "")
+        phrase = phrase.replace("?", "")
+        assert q.PHRASES.search(phrase), (a, phrase)
+        assert any(h in phrase for h in q.HINTS), phrase
