@@ -42,7 +42,7 @@ END_ID = 2
 MAX_KNOWN = 1_000_000
 #: Words whose ids are gathered together.
 GATHERED = 200_000
-BATCH = 2048
+BATCH = 1024
 
 #: Characters for which every Unicode version and regular-expression library splits alike; of white space, space and line feed.
 PLAIN = r"\A[\n\x20-\x7e\x{a1}-\x{24f}]*\z"
