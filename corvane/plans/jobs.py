@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime
+import json
 import re
 import time
 from collections.abc import Callable
@@ -9,14 +11,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvane.operators import quality, sinks
+from corvane.operators import export, quality, sinks
 from corvane.operators.dedupe import keep_first
 from corvane.operators.resolve import merge_rate
 from corvane.operators.taxonomy import classified
 from corvane.plans.engine import Engine, ingest
 from corvane.sources import journal
 from corvane.sources.readers import records_jsonl
-from corvane.sources.reference import baseline_rows, driver_json, holdout_rows, tolerances
+from corvane.sources.reference import baseline_rows, driver_json, golden_queries, holdout_rows, recorded, tolerances
 
 SCHEME = "^[a-z0-9]+:/*"
 PROBE_QUERY = "lithium extraction recycling"
@@ -35,6 +37,21 @@ def harvest(spark: SparkSession, paths: dict[str, str], out: str | None = None,
     return stats
 
 
+def journal_plan(spark: SparkSession, listing: str, numbers: list[str] | None = None, since: int | None = None, latest: int | None = 1, all_parts: bool = False) -> DataFrame:
+    """(journal_no, published, label, file_name, slug): what a harvest of a listing page would read; all_parts takes those without applications as well."""
+    chosen = journal.select_journals(journal.list_journals(spark, listing), numbers, since, latest)
+    parts = journal.all_parts(chosen) if all_parts else journal.application_parts(chosen)
+    return parts.join(F.broadcast(chosen.select("journal_no", "published").distinct()), "journal_no").select("journal_no", "published", "label", "file_name", "slug")
+
+
+def export_patents(rows: DataFrame, out: str, **options) -> DataFrame:
+    """Writes the selected publications as Parquet and returns the counts of the volume check over what was written."""
+    sinks.write_parquet(export.export(rows, **options), out)
+    country = options.get("country", "IN")
+    written = rows.sparkSession.read.parquet(out)
+    return export.volume(written.withColumn("publication_number", F.concat(F.lit(f"{country}-"), "publication_number")), f"{country}-")
+
+
 def harvest_journal(spark: SparkSession, texts: dict[tuple[str, str], str], archive: str, store: str) -> tuple[int, dict[tuple[str, str], str]]:
     """Reads journal parts, archives all their records, and appends new candidates. Returns how many, and the parts that failed, which stop no other."""
     added, failed = 0, {}
@@ -71,31 +88,104 @@ def measure(engine: Engine, holdout_path: str, searches: int = 50) -> DataFrame:
     return engine.spark.createDataFrame(out, "metric string, value double")
 
 
-def check_drift(engine: Engine, holdout_path: str, baseline_path: str) -> tuple[bool, DataFrame]:
+def check_drift(engine: Engine, holdout_path: str, baseline_path: str, searches: int = 50) -> tuple[bool, DataFrame]:
     """Whether nothing drifted from the recorded baseline, and the report."""
     doc = driver_json(engine.spark, baseline_path)
-    report = quality.drift(measure(engine, holdout_path), baseline_rows(engine.spark, doc), *tolerances(doc)).orderBy("metric")
+    report = quality.drift(measure(engine, holdout_path, searches), baseline_rows(engine.spark, doc), *tolerances(doc)).orderBy("metric")
     return quality.drift_ok(report), report
 
 
+def record_baseline(engine: Engine, holdout_path: str, baseline_path: str, today: str | None = None, searches: int = 50) -> dict:
+    """Measures and puts the figures in place of the baseline's; its other entries stay, and so do the kinds of metrics that it has."""
+    doc = recorded(driver_json(engine.spark, baseline_path), quality.recorded_baseline(measure(engine, holdout_path, searches)), today or datetime.date.today().isoformat())
+    _write_text(engine.spark, baseline_path, json.dumps(doc, indent=2) + "\n")
+    return doc
+
+
+def check_golden(engine: Engine, queries_path: str) -> list[tuple[str, str, str | None]]:
+    """(query, expected, found) of the golden queries whose best hit is another record; the corpus ought to be the golden one alone."""
+    out = []
+    for query, expected in golden_queries(driver_json(engine.spark, queries_path)):
+        best = engine.search(**query, limit=1)[1].select("doc_id").first()
+        if best is None or best[0] != expected:
+            out.append((query["q"], expected, best and best[0]))
+    return out
+
+
 def dump_graph(engine: Engine, path: str) -> str:
     return sinks.write_graph(*engine.graph(), path)
 
 
 def backup_manifest(spark: SparkSession, root: str) -> DataFrame:
     """(path, sha256) of the files under a folder that a backup holds, paths relative to it."""
+    return _files(spark, root).select("path", "sha256")
+
+
+def _files(spark: SparkSession, root: str) -> DataFrame:
+    """(path, sha256, content) of what a backup holds. Hidden files (a leading dot or underscore) are none of Spark's, nor of a backup."""
     base = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
-    whole = base.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(base).toString().rstrip("/")
+    system = base.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    start = len(_without_scheme(system.makeQualified(base).toString().rstrip("/"))) + 1
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-    start = len(_without_scheme(whole)) + 2
-    path = F.substring(F.regexp_replace("path", SCHEME, "/"), start, 1 << 20)
-    return quality.manifest(files.withColumn("path", path).where(quality.backed_up(F.col("path"))))
+    path = F.substring(F.regexp_replace("path", SCHEME, "/"), start + 1, 1 << 20)
+    # A scan passes over files without content, so those come from the listing.
+    listed, empty = system.listFiles(base, True), []
+    while listed.hasNext():
+        one = listed.next()
+        name = _without_scheme(one.getPath().toString())[start:]
+        if not one.getLen() and not any(x.startswith((".", "_")) for x in name.split("/")):
+            empty.append((name, bytearray()))
+    rows = files.select(path.alias("path"), "content").unionByName(spark.createDataFrame(empty, "path string, content binary"))
+    return rows.where(quality.backed_up(F.col("path"))).select("path", F.sha2("content", 256).alias("sha256"), "content")
 
 
 def _without_scheme(path: str) -> str:
     return re.sub(SCHEME, "/", path)
 
 
+def backup(spark: SparkSession, root: str, archive: str) -> int:
+    """Writes the files under a folder that a backup holds as Parquet rows (path, sha256, content), in place of an earlier archive. Returns how many.
+
+    The archive lies outside the folder. Files are hashed and written where they
+    are read; each is one row, so none may exceed 2 GB.
+    """
+    _files(spark, root).write.mode("overwrite").parquet(archive)
+    return spark.read.parquet(archive).count()
+
+
+def verify_backup(spark: SparkSession, archive: str, root: str | None = None) -> DataFrame:
+    """(path, status) of files whose archived bytes differ from their recorded hash; with a folder, of its files that differ from the archive as well."""
+    held = spark.read.parquet(archive)
+    wrong = quality.manifest_difference(held.select("path", "sha256"), quality.manifest(held))
+    return wrong if root is None else wrong.unionByName(quality.manifest_difference(held.select("path", "sha256"), backup_manifest(spark, root))).distinct()
+
+
+def restore(spark: SparkSession, archive: str, dest: str) -> int:
+    """Writes an archive's files under a folder, one at a time, and returns how many; ValueError for a path that leaves it, before any is written."""
+    held = spark.read.parquet(archive)
+    out = held.where(F.startswith("path", F.lit("/")) | F.array_contains(F.split("path", "/"), "..")).select("path").first()
+    if out:
+        raise ValueError(f"leaves the folder: {out[0]}")
+    n = 0
+    for row in held.select("path", "content").toLocalIterator():
+        _write_bytes(spark, f"{dest.rstrip('/')}/{row['path']}", bytes(row["content"]))
+        n += 1
+    return n
+
+
+def _write_bytes(spark: SparkSession, path: str, content: bytes) -> None:
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    stream = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(target, True)
+    try:
+        stream.write(content)
+    finally:
+        stream.close()
+
+
+def _write_text(spark: SparkSession, path: str, text: str) -> None:
+    _write_bytes(spark, path, text.encode())
+
+
 def in_order(steps: list[tuple[str, Callable[[], object]]], log: Callable[[str], None] = print) -> bool:
     """Runs steps one after another, stops at the first that fails, and says so."""
     for name, step in steps:

@@ -124,6 +124,18 @@ def baseline_rows(spark: SparkSession, d: dict) -> DataFrame:
     return spark.createDataFrame(rows, "metric string, value double, kind string")
 
 
+def golden_queries(d: dict) -> list[tuple[dict, str]]:
+    """(arguments of a search, id of its best hit) of each golden query."""
+    return [({"q": x["q"], **{f: x[f] for f in ("mineral", "stage", "kind") if x.get(f)}}, x["expected_top"]) for x in d["queries"]]
+
+
+def recorded(d: dict, metrics: DataFrame, today: str) -> dict:
+    """A baseline document with metrics(metric, value, kind) in place of its own, by name; a metric that it has keeps its kind."""
+    kinds = {n: m.get("kind", "quality") for n, m in d.get("metrics", {}).items()}
+    rows = sorted(metrics.select("metric", "value", "kind").collect())
+    return d | {"metrics": {r["metric"]: {"value": r["value"], "kind": kinds.get(r["metric"], r["kind"]), "recorded": today} for r in rows}}
+
+
 def tolerances(d: dict) -> tuple[float, float]:
     tol = d.get("tolerance", {})
     return float(tol.get("quality_pp", 2.0)), float(tol.get("speed_pct", 20.0))

@@ -227,6 +227,68 @@ def test_jobs(engine, tmp_path):
     assert [r.path for r in jobs.backup_manifest(engine.spark, str(tmp_path / "root")).collect()] == ["data/x"]
 
 
+def test_backup_and_restore(spark, tmp_path):
+    from corvane.plans import jobs
+
+    root, archive, dest = (str(tmp_path / x) for x in ("root", "archive", "dest"))
+    (tmp_path / "root/data/x.verify").mkdir(parents=True)
+    files = {"data/a": b"one\x00\xff", "b.json": b"", "data/c d": b"x" * 100_000}
+    for path, content in (files | {"data/x.verify/y": b"y", "old.tgz": b"z"}).items():
+        (tmp_path / "root" / path).write_bytes(content)
+    assert jobs.backup(spark, root, archive) == 3 and jobs.verify_backup(spark, archive, root).collect() == []
+    assert jobs.restore(spark, archive, dest) == 3
+    assert {str(p.relative_to(dest)): p.read_bytes() for p in (tmp_path / "dest").rglob("*") if p.is_file() and not p.name.endswith(".crc")} == files
+    assert jobs.verify_backup(spark, archive, dest).collect() == []
+    (tmp_path / "root/data/a").write_bytes(b"two")
+    assert [tuple(r) for r in jobs.verify_backup(spark, archive, root).collect()] == [("data/a", "changed")]
+    held = spark.read.parquet(archive)
+    held.withColumn("content", F.when(F.col("path") == "b.json", F.encode(F.lit("!"), "utf-8")).otherwise(F.col("content"))).write.parquet(archive + "-bad")
+    assert [tuple(r) for r in jobs.verify_backup(spark, archive + "-bad").collect()] == [("b.json", "changed")]
+    held.withColumn("path", F.concat(F.lit("../"), "path")).write.parquet(archive + "-out")
+    with pytest.raises(ValueError):
+        jobs.restore(spark, archive + "-out", dest)
+
+
+def test_baseline_is_recorded(engine, tmp_path):
+    from corvane.plans import jobs
+
+    (tmp_path / "holdout.json").write_text(json.dumps({"test_ids": ["G1"], "labels": {"G1": {"mineral_ids": ["LI"], "stage_ids": ["extraction_refining"]}}}))
+    path = tmp_path / "baseline.json"
+    path.write_text(json.dumps({"tolerance": {"quality_pp": 1.0, "speed_pct": 1e9}, "metrics": {"gone": {"value": 1}, "org_merge_rate": {"value": 0, "kind": "speed"}}}))
+    jobs.record_baseline(engine, str(tmp_path / "holdout.json"), str(path), "2026-01-02", 1)
+    doc = json.loads(path.read_text())
+    assert doc["tolerance"]["quality_pp"] == 1.0 and "gone" not in doc["metrics"] and list(doc["metrics"]) == sorted(doc["metrics"])
+    assert doc["metrics"]["org_merge_rate"] == {"value": 1.0, "kind": "speed", "recorded": "2026-01-02"}
+    assert doc["metrics"]["search_ms_avg"]["kind"] == "speed" and doc["metrics"]["mineral_macro_f1"]["kind"] == "quality"
+    assert jobs.check_drift(engine, str(tmp_path / "holdout.json"), str(path), 1)[0]
+
+
+def test_golden_queries(engine, tmp_path):
+    from corvane.plans import jobs
+
+    rows = engine.records.select("doc_id", "title", "kind").collect()
+    queries = []
+    for r in rows:
+        best = engine.search(r.title, kind=r.kind, limit=1)[1].first()
+        queries.append({"q": r.title, "kind": r.kind, "expected_top": best.doc_id})
+    path = tmp_path / "golden.json"
+    path.write_text(json.dumps({"queries": queries}))
+    assert jobs.check_golden(engine, str(path)) == []
+    path.write_text(json.dumps({"queries": [queries[0] | {"expected_top": "other"}, {"q": "zzzz", "stage": None, "expected_top": "none"}]}))
+    assert jobs.check_golden(engine, str(path)) == [(rows[0].title, "other", queries[0]["expected_top"]), ("zzzz", "none", None)]
+
+
+def test_export_job(spark, tmp_path):
+    from corvane.plans import jobs
+
+    kind = "publication_number string, country_code string, kind_code string, publication_date long, title_localized array<struct<text:string,language:string>>, abstract_localized array<struct<text:string,language:string>>, assignee_harmonized array<struct<name:string>>, inventor_harmonized array<struct<name:string>>, ipc array<struct<code:string>>"
+    one = lambda n, country, title: (n, country, "A", 20200101, [(title, "en")], [], [("x",)], [], [("C22B",)])
+    rows = spark.createDataFrame([one("1", "IN", "Lithium cell"), one("2", "IN", "A chair"), one("3", "US", "Lithium"), one("4", "IN", "Cobalt and lithium")], kind)
+    report = jobs.export_patents(rows, str(tmp_path / "out")).first()
+    assert (report.in_publications, report.li, report.co, report.any_pilot) == (2, 2, 1, 2)
+    assert sorted(r.publication_number for r in spark.read.parquet(str(tmp_path / "out")).collect()) == ["1", "4"]
+
+
 def test_journal_job(spark, tmp_path):
     from corvane.plans import jobs
 

@@ -97,6 +97,8 @@ The Patent Office Journal No. 38/2026 Dated 18/09/2026 101
 
 
 def test_journal_listing(spark, tmp_path):
+    from corvane.plans import jobs
+
     (tmp_path / "l.html").write_text(LISTING)
     listed = journal.list_journals(spark, str(tmp_path / "l.html")).cache()
     rows = listed.orderBy("row").collect()
@@ -105,6 +107,9 @@ def test_journal_listing(spark, tmp_path):
     assert [r.slug for r in journal.application_parts(listed).collect()] == ["38-2026_Part-I"]
     assert journal.select_journals(listed, since=2026).count() == 1 and journal.select_journals(listed, latest=1).first().journal_no == "38/2026"
     assert journal.select_journals(listed, numbers=["37/2025"]).count() == 1
+    plan = lambda **k: sorted((r.journal_no, r.published, r.slug) for r in jobs.journal_plan(spark, str(tmp_path / "l.html"), **k).collect())
+    assert plan() == [("38/2026", "18/09/2026", "38-2026_Part-I")] == plan(since=2026) and plan(numbers=["37/2025"]) == []
+    assert [x[0] for x in plan(all_parts=True, latest=None)] == ["38/2026"] * 2
     journal.check_allowed(spark.createDataFrame([("c",)], "file_name string"), listed)
     with pytest.raises(PermissionError):
         journal.check_allowed(spark.createDataFrame([("../etc",)], "file_name string"), listed)
