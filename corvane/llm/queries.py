@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvane.llm import html_extract, mixing, quality_lines, sentencepiece_codec, simhash, spotsigs, token_counts, token_files, toxicity, url_filter
+from corvane.llm import exact_dedup, html_extract, mixing, quality_lines, sentencepiece_codec, simhash, spotsigs, token_counts, token_files, toxicity, url_filter
 from corvane.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -111,3 +111,12 @@ def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The main text of every page."""
     return html_extract.extract(table(spark, sf_dir, "pages"))
+
+
+@query
+def op13_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The group of equal texts of every document, and which of them stays."""
+    return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
+
+
+ORACLES["op13_exact_dedup"] = exact_dedup.ORACLE_SQL
