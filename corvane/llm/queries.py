@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvane.llm import exact_dedup, html_extract, mixing, quality_lines, sentencepiece_codec, simhash, spotsigs, token_counts, token_files, toxicity, url_filter
+from corvane.llm import divergence, exact_dedup, html_extract, mixing, quality_lines, sentencepiece_codec, simhash, spotsigs, token_counts, token_files, toxicity, url_filter
 from corvane.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -120,3 +120,12 @@ def op13_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLES["op13_exact_dedup"] = exact_dedup.ORACLE_SQL
+
+
+@query
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each source's distance from every other of its language, and the terms that tell it from the language."""
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+ORACLES["op12_source_divergence"] = divergence.ORACLE_SQL
