@@ -147,5 +147,5 @@ def filled(c: Column, kind: str) -> Column:
 
 
 def human_size(n: Column) -> Column:
-    """Bytes in GB, two decimals."""
-    return F.concat(F.format_number(n / 1e9, 2), F.lit(" GB"))
+    """Bytes in binary GB, two decimals."""
+    return F.format_string("%.2f GB", n / float(1 << 30))

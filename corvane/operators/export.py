@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from corvane.functions.text import first_text
 
 # Terms of the export's filter, and patterns of the volume check.
-TERMS = ("lithium", "spodumene", "lepidolite", "rare earth", "neodymium", "praseodymium", "dysprosium", "monazite", "graphite", "graphene", "cobalt", "nickel", "laterite")
+TERMS = ("lithium", "spodumene", "brine", "rare earth", "neodymium", "praseodymium", "dysprosium", "monazite", "graphite", "graphene", "cobalt", "nickel", "laterite")
 PILOT = {
     "li": r"lithium|spodumene|lepidolite|petalite",
     "ree": r"rare[ -]earth|neodymium|praseodymium|dysprosium|lanthanum|cerium|monazite|samarium|terbium",
