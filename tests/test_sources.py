@@ -141,3 +141,54 @@ def test_incremental_harvest(spark, tmp_path):
     stored = readers.records_jsonl(spark, str(tmp_path / "store/part-*"))
     assert sorted(r.appl_no for r in stored.collect()) == ["202611000001", "202611000009"]
     assert spark.read.json(str(tmp_path / "archive")).count() == 6
+
+
+TORN = [
+    "(21) Application No.{n} A\n(54) Title of the invention : T {n}\n\n(57) Abstract : lithium\n",
+    "(21) Application No.\n {n} A\n(54) Title of the invention : T {n}\n(51) x (57)\nAbstract\n:\nlithium",
+    "(21)\nApplication No.{n}\nA\n(54) Title of the invention : T {n}\n \n(57) Abstract : lithium",
+    "(21) Application No.{n} A\n(54)\nTitle of the invention : T\n{n}\n\n(57) Abstract : lithium",
+    "(21) Application No.{n} A\n(54) Title of the invention\n:\nT {n}\n\n(22)\nDate of filing of Application\n:\n05/01/2026 (43) Publication Date :\n18/09/2026 (57) Abstract : lithium No.\nof Pages\n: 4 No. of\nClaims : 2",
+]
+
+
+def test_fields_torn_over_lines(spark, tmp_path):
+    foot = "\nThe Patent Office Journal No.\n38/2026\nDated 18/09/2026\n12\f"
+    (tmp_path / "j.txt").write_text("front" + "".join("(12)\nPATENT APPLICATION PUBLICATION " + b.format(n=202611000001 + k) + foot for k, b in enumerate(TORN)))
+    got = journal.read_journal(spark, str(tmp_path / "j.txt"), "38/2026", "Part I").orderBy("appl_no").collect()
+    assert [(r.appl_no, r.title, r.kind_code, r.abstract) for r in got] == [(str(202611000001 + k), f"T {202611000001 + k}", "A", "lithium") for k in range(5)]
+    assert (got[4].filing_date, got[4].publication_date, got[4].pages, got[4].claims) == ("2026-01-05", "2026-09-18", 4, 2) and got[0].pages is None
+
+
+def test_harvest_survives_a_kill_and_equals_the_batch_run(spark, tmp_path):
+    landing, store = tmp_path / "in/journal_no=38-2026/journal_part=I", str(tmp_path / "store")
+    landing.mkdir(parents=True)
+    texts = {f"f{k}.txt": JOURNAL.replace("202611000001", str(202611000001 + k % 4)).replace("BRINE", f"BRINE {k}") for k in range(8)}
+
+    def run(before=None):
+        harvest_stream(spark, str(tmp_path / "in"), store, str(tmp_path / "archive"), str(tmp_path / "ck"), 2, before).awaitTermination()
+
+    def killed(number):
+        if number == 1:
+            raise RuntimeError("killed")
+
+    for name, text in list(texts.items())[:6]:
+        (landing / name).write_text(text)
+    # What a batch job stored before counts as stored.
+    (tmp_path / "store").mkdir()
+    (tmp_path / "store/part-0.json").write_text('{"source_url": "' + journal.LISTING_URL + '#38-2026/I/202611000003", "appl_no": "202611000003"}\n')
+    with pytest.raises(Exception, match="killed"):
+        run(killed)
+    run()
+    for name, text in list(texts.items())[6:]:
+        (landing / name).write_text(text)
+    run()
+    run()
+    rows = readers.records_jsonl(spark, store + "/part-*").collect()
+    assert sorted(r.appl_no for r in rows) == [str(202611000001 + k) for k in range(4)]
+    assert spark.read.json(str(tmp_path / "archive")).count() == 16
+    # No batch's plan reads the store: it may even be gone.
+    (tmp_path / "store").rename(tmp_path / "moved")
+    (landing / "late.txt").write_text(JOURNAL.replace("202611000001", "202611000077") + JOURNAL)
+    run()
+    assert [r.appl_no for r in readers.records_jsonl(spark, store + "/part-*").collect()] == ["202611000077"]
