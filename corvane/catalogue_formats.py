@@ -144,14 +144,16 @@ def journal_allowed_files(spark, sf):
 
 
 def journal_texts(spark, sf):
-    """Orders as blocks of journal parts, a part for each customer, with page feet, run-together columns and torn codes."""
+    """Orders as blocks of journal parts, a part for each customer, with page feet, run-together columns, torn codes, and lines torn between a field's code, label, colon and value."""
     k = F.col("k")
     day = F.concat_ws("/", F.substring("day", 9, 2), F.substring("day", 6, 2), F.substring("day", 1, 4))
+    torn = lambda rest, gap="": F.when(k % 11 == rest, "\n").otherwise(gap)  # noqa: E731  each place in one of eleven records
     block = text(
-        "(12) PATENT APPLICATION PUBLICATION (21) Application No.", k + 202600000000, F.when(k % 3 == 0, " B").otherwise(""), "\n(19) INDIA\n(22) Date of filing of Application :", day, " (43) Publication Date : 18/09/2026\n(54) Title of the invention : ",
-        F.when(k % 5 == 0, "RECOVERY OF LITHIUM").otherwise("A CHAIR"), "\nNUMBER ", k, "\n\n(51) International\n:C22B\n", k % 90 + 1, "/12, 1)", text("Late ", k % 4), "\n:C01D15/08\n:H01M0010052500\n(71)Name of Applicant :\n1)Customer ", F.col("c"),
-        " Ltd\nAddress of Applicant :12, Some Road, 9)not a name\nB09B 3/00,\n(72)Name of Inventor :\n1)First ", k % 7, "\n:01/01/1900 2)Second   Person\n(57) Abstract :\nA method of ", F.col("p"),
-        ".\n", F.when(k % 4 == 0, "").otherwise(text("No. of Pages : ", k % 60, " No. of Claims : ", k % 20)), "\nThe Patent Office Journal No. 38/2026 Dated 18/09/2026 101\n\f",
+        "(12)", torn(0, " "), "PATENT APPLICATION PUBLICATION (21)", torn(1, " "), "Application No.", torn(2), k + 202600000000, F.when(k % 3 == 0, text(torn(3, " "), "B")).otherwise(""), "\n(19) INDIA\n(22) Date of filing of Application", torn(4, " "), ":", torn(5), day,
+        " (43)", torn(4, " "), "Publication Date :", torn(5, " "), "18/09/2026\n(54)", torn(6, " "), "Title of the invention", torn(7, " "), ":", torn(8, " "),
+        F.when(k % 5 == 0, "RECOVERY OF LITHIUM").otherwise("A CHAIR"), "\nNUMBER ", k, F.when(k % 2 == 0, "\n \t\n").otherwise("\n"), "(51) International\n:C22B\n", k % 90 + 1, "/12, 1)", text("Late ", k % 4), "\n:C01D15/08\n:H01M0010052500\n(71)Name of Applicant :\n1)Customer ", F.col("c"),
+        " Ltd\nAddress of Applicant :12, Some Road, 9)not a name\nB09B 3/00,\n(72)Name of Inventor :\n1)First ", k % 7, "\n:01/01/1900 2)Second   Person\n(57)", torn(9, " "), "Abstract", torn(10, " "), ":\nA method of ", F.col("p"),
+        ".\n", F.when(k % 4 == 0, "").otherwise(text("No. of", torn(6, " "), "Pages : ", k % 60, F.when(k % 8 == 1, "").otherwise(text(torn(7, " "), "No. of Claims : ", k % 20)))), "\nThe Patent Office Journal No.", torn(8, " "), "38/2026 Dated", torn(9, " "), "18/09/2026", torn(10, " "), "101\n\f",
     )
     parts = pages_of(orders(spark, sf), "c", block, "front (12) none\n", "(12) PATENT APPLICATION PUBLICATION without a number", "")
     return parts.withColumns({"journal_no": F.lit("38/2026"), "journal_part": F.lit("Part I")})
@@ -159,7 +161,7 @@ def journal_texts(spark, sf):
 
 JOURNAL_SQL = f"""WITH {ORDERS}, r AS (SELECT c::VARCHAR AS file, row_number() OVER (PARTITION BY c ORDER BY k)::INT AS line, (202600000000 + k)::VARCHAR AS appl_no, CASE WHEN k % 3 = 0 THEN 'B' ELSE 'A' END AS kind_code,
 CASE WHEN k % 5 = 0 THEN 'RECOVERY OF LITHIUM' ELSE 'A CHAIR' END || ' NUMBER ' || k AS title, 'A method of ' || p || '.' AS abstract, 'Customer ' || c || ' Ltd' AS applicants, 'First ' || (k % 7) || '|Second Person' AS inventors,
-'C22B ' || (k % 90 + 1) || '/12|C01D 15/08|H01M 10/0525|B09B 3/00' AS ipc_codes, day AS filing_date, '2026-09-18' AS publication_date, CASE WHEN k % 4 = 0 THEN NULL ELSE (k % 60)::INT END AS pages, CASE WHEN k % 4 = 0 THEN NULL ELSE (k % 20)::INT END AS claims,
+'C22B ' || (k % 90 + 1) || '/12|C01D 15/08|H01M 10/0525|B09B 3/00' AS ipc_codes, day AS filing_date, '2026-09-18' AS publication_date, CASE WHEN k % 4 = 0 OR k % 8 = 1 THEN NULL ELSE (k % 60)::INT END AS pages, CASE WHEN k % 4 = 0 OR k % 8 = 1 THEN NULL ELSE (k % 20)::INT END AS claims,
 'https://search.ipindia.gov.in/IPOJournal/Journal/Patent#38/2026/Part-I/' || (202600000000 + k) AS source_url, k FROM o)"""
 
 
@@ -207,9 +209,9 @@ def text_rules(spark, sf):
     )
 
 
-@query("SELECT o_orderkey, printf('%.2f', o_totalprice * 1000000 / 1e9) || ' GB' AS size FROM orders")
+@query("SELECT o_orderkey, printf('%.2f', o_totalprice * 100000000 / (1024.0 * 1024 * 1024)::DOUBLE) || ' GB' AS size FROM orders")
 def human_size(spark, sf):
-    size = F.col("o_totalprice") * 1000000
+    size = F.col("o_totalprice") * 100000000
     return table(spark, sf, "orders").select("o_orderkey", t.human_size(size).alias("size"))
 
 
@@ -340,12 +342,14 @@ def collaboration_pairs(spark, sf):
 
 @query("""WITH s(sub_id) AS (VALUES ('sub-001'), ('sub-002')) SELECT sub_id, 'c' || c_custkey AS record_key FROM customer, s WHERE c_custkey % 2 = 0 UNION SELECT 'sub-001', 'c' || c_custkey FROM customer WHERE c_custkey % 3 = 0""")
 def folded_state(spark, sf):
-    keys = table(spark, sf, "customer").select(F.col("c_custkey").alias("k"), text("c", F.col("c_custkey")).alias("record_key"))
-    _, subs = alerts.subscribe(spark.createDataFrame([], alerts.SUBSCRIPTION), "LI")
-    _, subs = alerts.subscribe(subs, q="x")
-    seen = keys.where("k % 3 = 0").select(F.lit("sub-001").alias("sub_id"), "record_key")
-    legacy = keys.where("k % 2 = 0").select("record_key")
-    return alerts.folded(subs, seen, legacy.unionByName(legacy))
+    """Seeds of one subscription and legacy keys of all, kept as intervals and listed in full."""
+    keys = table(spark, sf, "customer").select(F.col("c_custkey").alias("k"), text("c", F.col("c_custkey")).alias("doc_id"), F.lit("").alias("source_url"))
+    store = alerts.AlertTable(spark, scratch(spark, "alerts"))
+    store.subscribe("LI", corpus=keys.where("k % 3 = 0"))
+    store.subscribe(q="x")
+    legacy = keys.where("k % 2 = 0").select(F.col("doc_id").alias("record_key"))
+    store.fold(legacy.unionByName(legacy))
+    return store.seen()
 
 
 def stored_rows(spark, sf):
@@ -385,13 +389,23 @@ def archive_round_trip(spark, sf):
     return spark.read.json(path).groupBy("journal_part").agg(F.count("*").alias("n"))
 
 
-@query("SELECT o_orderkey AS doc_id, regexp_replace(strftime(o_orderdate, '%Y%m%d'), '^', '') AS publication_date, 'Cobalt ' || o_orderkey AS title, 'a' || o_orderkey AS abstract, 'Customer ' || o_custkey AS assignees FROM orders WHERE o_orderkey % 2 = 0 AND o_orderkey % 3 = 0 AND strftime(o_orderdate, '%Y%m%d')::INT >= 19950101")
+#: Words for titles and abstracts: those that an export of critical minerals takes, and some that it passes over.
+TAKEN = ("Lithium", "spodumene", "BRINE", "rare earth", "neodymium", "Praseodymium", "dysprosium", "monazite", "graphite", "graphene", "cobalt", "Nickel", "laterite")
+PASSED = ("lepidolite", "petalite", "rare-earth", "cerium", "copper", "chair")
+SAID = f"[{', '.join(repr(w) for w in TAKEN + PASSED)}]"
+
+
+@query(f"""WITH w AS (SELECT *, {SAID} AS words, strftime(o_orderdate, '%Y%m%d') AS day FROM orders), s AS (SELECT *, words[o_orderkey % {len(TAKEN + PASSED)} + 1] AS word FROM w)
+SELECT o_orderkey AS doc_id, day AS publication_date, CASE WHEN o_orderkey % 3 = 0 THEN 'A ' || word ELSE 'Title ' || o_orderkey END AS title, CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE 'of ' || word || 's' END AS abstract, 'Customer ' || o_custkey AS assignees
+FROM s WHERE o_orderkey % 2 = 0 AND o_orderkey % {len(TAKEN + PASSED)} < {len(TAKEN)} AND day::INT >= 19950101""")
 def export_selection(spark, sf):
+    """Every term of the export's filter, in titles and abstracts, in any case, beside words that it passes over."""
     k = F.col("k")
-    item = lambda c, lang: F.struct(c.alias("text"), F.lit(lang).alias("language"))
+    item = lambda c, lang: F.struct(c.alias("text"), (F.lit(lang) if isinstance(lang, str) else lang).alias("language"))
+    word = F.element_at(F.array(*map(F.lit, TAKEN + PASSED)), (k % len(TAKEN + PASSED) + 1).cast("int"))
     rows = orders(spark, sf).select(
         k.cast("string").alias("publication_number"), F.when(k % 2 == 0, "IN").otherwise("US").alias("country_code"), F.replace("day", F.lit("-"), F.lit("")).cast("long").alias("publication_date"),
-        F.array(item(F.lit("Kobalt"), "de"), item(F.when(k % 3 == 0, text("Cobalt ", k)).otherwise(text("Chair ", k)), "en")).alias("title_localized"), F.array(item(text("a", k), "en")).alias("abstract_localized"),
+        F.array(item(F.lit("Kobalt, cobalt"), "de"), item(F.when(k % 3 == 0, text("A ", word)).otherwise(text("Title ", k)), "en")).alias("title_localized"), F.array(item(text("of ", word, "s"), F.when(k % 3 == 0, "de").otherwise("en"))).alias("abstract_localized"),
         F.array(F.struct(text("Customer ", F.col("c")).alias("name"))).alias("assignee_harmonized"), F.array(F.struct(F.lit("x").alias("name"))).alias("inventor_harmonized"), F.array(F.struct(F.lit("C22B").alias("code"))).alias("ipc"),
     )
     out = joined(export.export(rows, since=19950101), "assignees")
