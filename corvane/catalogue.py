@@ -6,11 +6,11 @@ import tempfile
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corvane.functions import text as t
-from corvane.operators import analytics, dedupe, export, graph, quality, resolve, search
+from corvane.operators import analytics, automaton, dedupe, export, graph, ordering, quality, resolve, search
 from corvane.operators.taxonomy import classified, term_hits
 from corvane.plans import jobs
 from corvane.plans.driver_views import DRIVER_TAXONOMY, customer_records, kind_of_status, star_records, table, text_records
@@ -66,8 +66,8 @@ def count_by_stage(spark, sf):
 
 @query(f"WITH {STAR}, c AS (SELECT org, count(*)::BIGINT AS n FROM org GROUP BY org) SELECT org, n, row_number() OVER (ORDER BY n DESC, org)::BIGINT AS rank FROM c")
 def top_orgs(spark, sf):
-    counted = analytics.top_orgs(star_records(spark, sf))
-    return counted.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("n"), "org")).cast("long"))
+    counted = analytics.count_by(star_records(spark, sf), "orgs", "org")
+    return ordering.ranked_table(counted, [F.desc("n"), "org"], _scratch(spark, "orgs"))
 
 
 @query(f"WITH {STAR} SELECT DISTINCT mineral FROM mineral")
@@ -208,8 +208,10 @@ def ranked_sql(tokens: list[str], where: str = "TRUE") -> str:
 
 def searched(spark, sf, q, limit=None, **facets):
     index = search.indexed(text_records(spark, sf))
-    found = search.search(index, q, limit=limit, **facets) if limit else search.hits(index, q, **facets)
-    return search.ranked(found.select("doc_id", "title", "kind", "score"))
+    if limit:
+        return search.ranked(search.search(index, q, limit=limit, **facets).select("doc_id", "title", "kind", "score"))
+    found = search.hits(index, q, **facets).select("doc_id", "title", "kind", "score")
+    return ordering.ranked_table(found, [F.desc("score"), "doc_id"], _scratch(spark, "hits"))
 
 
 @query(ranked_sql(["the", "trash", "la", "src3", "the"]))
@@ -282,6 +284,17 @@ def family_gate(spark, sf):
     return term_hits(table(spark, sf, "documents"), DRIVER_TAXONOMY, "doc_id", "text").groupBy("level", "label").agg(F.count("*").alias("n"))
 
 
+@query(r"""WITH w AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z]{4,}')) AS term FROM benchmark),
+d AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+')) AS term FROM documents) SELECT term, count(*)::BIGINT AS n_docs FROM d SEMI JOIN w USING (term) GROUP BY term""")
+def term_documents(spark, sf):
+    """In how many documents each word of the benchmark stands, all words in one walk of each text."""
+    words = table(spark, sf, "benchmark").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{4,}"), F.lit(0))).alias("w")).distinct()
+    # The benchmark is reference data, as a taxonomy is.
+    terms = [(r["w"], [r["w"]], []) for r in words.orderBy("w").collect()]
+    found = table(spark, sf, "documents").select("doc_id", F.explode(automaton.hits(F.lower("text"), terms)).alias("term"))
+    return found.groupBy("term").agg(F.countDistinct("doc_id").alias("n_docs"))
+
+
 RUDE = "idiot|scum|trash|moron|stupid"
 SCORED = f"""WITH d AS (SELECT doc_id, quality = 1 AS gq, toxic = 1 AS gt, ends_with(text, '.') AS pq, regexp_matches(text, '{RUDE}') AS pt FROM documents JOIN labels USING (doc_id)),
 c AS (SELECT 'quality' AS label, count(*) FILTER (gq AND pq) AS tp, count(*) FILTER (pq AND NOT gq) AS fp, count(*) FILTER (gq AND NOT pq) AS fn FROM d
@@ -518,6 +531,11 @@ def manifest_hash(spark, sf):
     return jobs.backup_manifest(spark, sf)
 
 
+def _scratch(spark: SparkSession, name: str) -> str:
+    """A new folder in the shared one."""
+    return f"{_shared(spark)}/{name}-{uuid.uuid4().hex}"
+
+
 def _shared(spark: SparkSession) -> str:
     """The shared folder of the cluster; on one machine a temporary one where none is named."""
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir")

@@ -9,8 +9,10 @@ from corvane.operators.graph import cofiled
 from corvane.schemas import KINDS, RESEARCH_KINDS
 
 
-#: Tasks that a cell's organisations are dealt out to.
-SPLITS = 8
+#: Organisations of a block: two blocks of a cell meet at a time, so that no key makes more than about BLOCK ** 2 pairs.
+BLOCK = 1000
+#: Cells of a word of a bitmap. A word is never negative.
+WORD_BITS = 62
 
 
 def totals(records: DataFrame) -> DataFrame:
@@ -84,26 +86,70 @@ def activity(records: DataFrame) -> DataFrame:
     return records.select(F.explode("orgs").alias("org"), "mineral_ids", "stage_ids").select("org", F.explode("mineral_ids").alias("mineral"), "stage_ids").select("org", "mineral", F.explode("stage_ids").alias("stage")).distinct()
 
 
-def collaborations(records: DataFrame) -> DataFrame:
-    """(org_a, org_b, mineral, stage), org_a before org_b: cells in which two organisations are active that never filed together.
+def _numbered(own: DataFrame) -> DataFrame:
+    """(mineral, stage, cell): the cells of activity() in order, from 0. They are pairs of taxonomy labels, bounded as those are."""
+    place = F.row_number().over(Window.orderBy("mineral", "stage"))
+    return own.select("mineral", "stage").where("mineral is not null and stage is not null").distinct().withColumn("cell", place - 1)
+
+
+def _bitmaps(numbered: DataFrame) -> DataFrame:
+    """(org, bits): the cells of each organisation as words of WORD_BITS."""
+    word = F.expr(f"cell div {WORD_BITS}").cast("int")
+    words = numbered.groupBy("org", word.alias("word")).agg(F.bit_or(F.expr(f"shiftleft(1L, cell % {WORD_BITS})")).alias("bits"))
+    held = words.groupBy("org").agg(F.map_from_entries(F.collect_list(F.struct("word", "bits"))).alias("held"), F.max("word").alias("last"))
+    return held.select("org", F.transform(F.sequence(F.lit(0), F.col("last")), lambda w: F.coalesce(F.try_element_at("held", w), F.lit(0).cast("long"))).alias("bits"))
+
+
+def _lowest(bits: Column) -> Column:
+    """The lowest cell of a bitmap; null where it is empty."""
+    at = F.array_position(F.transform(bits, lambda x: x != 0), True)
+    word = F.try_element_at(bits, at.cast("int"))
+    return F.when(at > 0, (at - 1) * WORD_BITS + F.bit_count(F.bitwise_not(word).bitwiseAND(word - 1)))
+
 
-    An equi-join on the cell, never a product of all organisations. A cell's
-    organisations are dealt out to SPLITS, so that its pairs are made by as many
-    tasks: an organisation stands in its own split on one side and in all of
-    them on the other.
+def _cells_of(bits: Column) -> Column:
+    """The cells of a bitmap, in order."""
+    own = lambda x, w: F.transform(F.filter(F.sequence(F.lit(0), F.lit(WORD_BITS - 1)), lambda b: F.getbit(x, b) == 1), lambda b: w * WORD_BITS + b)
+    return F.flatten(F.transform(bits, own))
+
+
+def _partners(records: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """((org_a, org_b, bits), cells): each pair of organisations, org_a before org_b, that share a cell and never filed together, once, with the bitmap of the cells they share.
+
+    Organisations of a cell are dealt out to blocks by the cell's own count, and
+    a pair of blocks meets under a key of its own, each pair of blocks once. A
+    pair of organisations is made in the first cell that both have and nowhere
+    else, so that no pairs need to be made alike, and those that filed together
+    go before any cell is listed.
     """
     own = activity(records)
-    split = F.pmod(F.xxhash64("org_a"), F.lit(SPLITS)).cast("int")
-    a = own.withColumnRenamed("org", "org_a").withColumn("split", split)
-    b = own.withColumnRenamed("org", "org_b").withColumn("split", F.explode(F.sequence(F.lit(0), F.lit(SPLITS - 1))))
-    pairs = a.join(b, ["mineral", "stage", "split"]).where("org_a < org_b").select("org_a", "org_b", "mineral", "stage")
-    return pairs.join(cofiled(records).distinct(), ["org_a", "org_b"], "left_anti").select("org_a", "org_b", "mineral", "stage")
+    cells = _numbered(own)
+    numbered = own.where("org is not null").join(cells, ["mineral", "stage"]).select("org", "cell")
+    sized = numbered.join(numbered.groupBy("cell").agg(F.ceil(F.count("*") / BLOCK).alias("blocks")), "cell")
+    placed = sized.join(_bitmaps(numbered), "org").withColumn("block", F.pmod(F.xxhash64("org"), F.col("blocks")))
+    left = placed.select("cell", F.col("org").alias("a"), F.col("bits").alias("a_bits"), F.col("block").alias("i"), F.explode(F.sequence(F.col("block"), F.col("blocks") - 1)).alias("j"))
+    right = placed.select("cell", F.col("org").alias("b"), F.col("bits").alias("b_bits"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("block"))).alias("i"), F.col("block").alias("j"))
+    both = F.zip_with("a_bits", "b_bits", lambda x, y: F.coalesce(x.bitwiseAND(y), F.lit(0).cast("long")))
+    met = left.join(right, ["cell", "i", "j"]).where("i < j or a < b").withColumn("bits", both).where(_lowest(F.col("bits")) == F.col("cell"))
+    pairs = met.select(F.least("a", "b").alias("org_a"), F.greatest("a", "b").alias("org_b"), "bits")
+    return pairs.join(cofiled(records).distinct(), ["org_a", "org_b"], "left_anti"), cells
+
+
+def collaborations(records: DataFrame) -> DataFrame:
+    """(org_a, org_b, mineral, stage), org_a before org_b: cells in which two organisations are active that never filed together. No product of all organisations is made."""
+    pairs, cells = _partners(records)
+    each = pairs.select("org_a", "org_b", F.explode(_cells_of(F.col("bits"))).alias("cell"))
+    return each.join(cells, "cell").select("org_a", "org_b", "mineral", "stage")
 
 
 def collaboration_pairs(records: DataFrame) -> DataFrame:
     """(org_a, org_b, shared): the pairs with their sorted shared cells, in order."""
-    cell = F.struct("mineral", "stage")
-    return collaborations(records).groupBy("org_a", "org_b").agg(F.array_sort(F.collect_set(cell)).alias("shared")).orderBy("org_a", "org_b")
+    pairs, cells = _partners(records)
+    # The cells' names are one row, as many as the taxonomy has pairs of labels.
+    names = cells.groupBy().agg(F.array_sort(F.collect_list(F.struct("cell", "mineral", "stage"))).alias("names")).withColumn("all", F.lit(0))
+    named = pairs.withColumn("all", F.lit(0)).join(F.broadcast(names), "all")
+    cell = lambda c: F.struct(F.get("names", c)["mineral"].alias("mineral"), F.get("names", c)["stage"].alias("stage"))
+    return named.select("org_a", "org_b", F.transform(_cells_of(F.col("bits")), cell).alias("shared")).orderBy("org_a", "org_b")
 
 
 def org_profile(records: DataFrame, org: str, order: list[str]) -> DataFrame:
