@@ -14,7 +14,7 @@ from corvane.operators import analytics, corpus, export, graph, quality, resolve
 from corvane.plans.driver_views import DRIVER_TAXONOMY, customer_records, kind_of_status, star_records, table
 from corvane.plans.engine import Engine
 from corvane.schemas import conform
-from corvane.sources import journal, readers
+from corvane.sources import journal, landed, readers
 from corvane.sources.reference import Label, Taxonomy, alias_rows, baseline_rows, holdout_rows, tolerances
 from corvane.streaming import alerts
 
@@ -88,13 +88,51 @@ def read_patentscope(spark, sf):
 INSTITUTES = list(readers.LISTINGS.items())
 
 
-@query(f"""WITH {ORDERS}, i(n, id, name) AS (VALUES {", ".join(f"({n}, '{s}', '{o}')" for n, (s, o) in enumerate(INSTITUTES))})
-SELECT id AS source_id, name AS applicants, 'rd' AS kind, 'http://lab.example/' || k AS source_url, 'Plan "' || k || '"' AS title, p AS abstract, day AS filing_date FROM o JOIN i ON k % 4 = n""")
+LISTINGS_SQL = f"""WITH {ORDERS}, i(n, id, name) AS (VALUES {", ".join(f"({n}, '{s}', '{o}')" for n, (s, o) in enumerate(INSTITUTES))})
+SELECT id AS source_id, name AS applicants, 'rd' AS kind, 'http://lab.example/' || k AS source_url, 'Plan "' || k || '"' AS title, p AS abstract, day AS filing_date FROM o JOIN i ON k % 4 = n"""
+
+
+def card_pages(spark, sf, n: int) -> DataFrame:
+    """A quarter of the orders as cards of an institution's pages."""
+    card = text('<div class="project"> <a href="http://lab.example/', F.col("k"), '">Plan &quot;', F.col("k"), '&quot;</a>\n<span class="date"> ', F.col("day"), '</span> <p class="desc">', F.col("p"), "\n</p> </div>")
+    return pages_of(orders(spark, sf).where(F.col("k") % 4 == n), "c", card)
+
+
+def landed_file(spark, pages: DataFrame, name: str) -> str:
+    """A folder of files that pages(value) stand in one after another."""
+    pages.select("value").write.text(path := scratch(spark, name))
+    return path
+
+
+@query(LISTINGS_SQL)
+def landed_listings(spark, sf):
+    """Cards of large files that are read by splits of 50,000 bytes, each institution as a format."""
+    out = None
+    for n, (source, _) in enumerate(INSTITUTES):
+        part = landed.read(spark, source, landed_file(spark, card_pages(spark, sf, n), source), 50_000, fetched_at=FETCHED)
+        out = part if out is None else out.unionByName(part)
+    return joined(out, "applicants").select("source_id", "applicants", "kind", "source_url", "title", "abstract", "filing_date")
+
+
+@query(LISTINGS_SQL)
+def landed_stream(spark, sf):
+    """The same as streams: one batch job for each institution, run twice, of which the second has nothing to read."""
+    out = None
+    for n, (source, _) in enumerate(INSTITUTES):
+        pages, base = landed_file(spark, card_pages(spark, sf, n), source), scratch(spark, "stream")
+        for _ in range(2):
+            rows = joined(landed.stream(spark, source, pages, 50_000, fetched_at=FETCHED), "applicants").select("source_id", "applicants", "kind", "source_url", "title", "abstract", "filing_date")
+            rows.writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+        part = spark.read.schema(rows.schema).parquet(f"{base}/out")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+@query(LISTINGS_SQL)
 def read_listings(spark, sf):
     out = None
     for n, (source, organisation) in enumerate(INSTITUTES):
-        card = text('<div class="project"> <a href="http://lab.example/', F.col("k"), '">Plan &quot;', F.col("k"), '&quot;</a>\n<span class="date"> ', F.col("day"), '</span> <p class="desc">', F.col("p"), "\n</p> </div>")
-        part = readers.finish(readers.card_records(pages_of(orders(spark, sf).where(F.col("k") % 4 == n), "c", card), organisation), source, "rd", fetched_at=FETCHED)
+        part = readers.finish(readers.card_records(card_pages(spark, sf, n), organisation), source, "rd", fetched_at=FETCHED)
         out = part if out is None else out.unionByName(part)
     return joined(out, "applicants").select("source_id", "applicants", "kind", "source_url", "title", "abstract", "filing_date")
 
@@ -173,6 +211,14 @@ def journal_records(spark, sf):
     return joined(out, "applicants", "inventors", "ipc_codes").select("file", F.col("line").cast("int").alias("line"), "appl_no", "kind_code", "title", "abstract", "applicants", "inventors", "ipc_codes", "filing_date", "publication_date", "pages", "claims", "source_url")
 
 
+@query(f"{JOURNAL_SQL} SELECT * EXCLUDE (k, file, line) FROM r")
+def landed_journal(spark, sf):
+    """The same texts one after another in large files, read by splits of 50,000 bytes that records, marks and page feet are torn by."""
+    path = landed_file(spark, journal_texts(spark, sf), "journal")
+    out = landed.read(spark, "journal", path, 50_000, journal_no="38/2026", journal_part="Part I")
+    return joined(out, "applicants", "inventors", "ipc_codes").select("appl_no", "kind_code", "title", "abstract", "applicants", "inventors", "ipc_codes", "filing_date", "publication_date", "pages", "claims", "source_url")
+
+
 @query(f"{JOURNAL_SQL} SELECT appl_no, CASE WHEN k % 5 = 0 THEN 'lithium' ELSE '' END AS keywords, 'C01D|C22B|H01M' AS ipc FROM r WHERE k % 8 <> 0")
 def journal_candidates(spark, sf):
     """Parsed records are written once, as the archive has them, and the recall rule reads that."""

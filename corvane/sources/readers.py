@@ -53,6 +53,12 @@ def matches(c: Column, pattern: str, groups: list[str]) -> Column:
     return F.arrays_zip(*[F.regexp_extract_all(c, F.lit(pattern), F.lit(k)).alias(name) for k, name in enumerate(groups, 1)])
 
 
+def exploded(pages: DataFrame, items: Column, name: str) -> DataFrame:
+    """(file, line, name): the items of pages(file, value), numbered within a page or, where pages have a line of their own, from that on."""
+    found = pages.select("file", (F.col("line") if "line" in pages.columns else F.lit(0)).alias("__from"), F.posexplode(items).alias("__place", name))
+    return found.select("file", (F.col("__from") + F.col("__place")).alias("line"), name)
+
+
 def inner_span(block: Column, css_class: str) -> Column:
     """The cleaned content of the first span of a class, empty where there is none."""
     return t.clean_text(F.regexp_extract(block, rf'(?s)<span class="{css_class}">(.*?)</span>', 1))
@@ -112,7 +118,7 @@ def google_patents(spark: SparkSession, path: str, **given) -> DataFrame:
 
 def biblio_records(pages: DataFrame) -> DataFrame:
     """Bibliographic blocks of pages(file, value) as uncleaned records."""
-    found = pages.select("file", F.posexplode(matches(F.col("value"), BIBLIO, ["docid", "block"])).alias("line", "m")).select("file", "line", "m.*")
+    found = exploded(pages, matches(F.col("value"), BIBLIO, ["docid", "block"]), "m").select("file", "line", "m.*")
     span = lambda name: inner_span(F.col("block"), name)
     return found.select(
         "file",
@@ -136,7 +142,7 @@ def patentscope(spark: SparkSession, path: str, **given) -> DataFrame:
 
 def card_records(pages: DataFrame, organisation: str | None) -> DataFrame:
     """Project cards of pages(file, value); the institution is the only applicant."""
-    found = pages.select("file", F.posexplode(matches(F.col("value"), CARD, ["u", "t", "d", "p"])).alias("line", "m"))
+    found = exploded(pages, matches(F.col("value"), CARD, ["u", "t", "d", "p"]), "m")
     who = F.array(F.lit(organisation)) if organisation else F.array().cast("array<string>")
     return found.select(
         "file", "line", F.col("m.u").alias("source_url"), F.col("m.t").alias("title"), F.col("m.p").alias("abstract"), t.clean_text(F.col("m.d")).alias("filing_date"), who.alias("applicants")
@@ -153,8 +159,8 @@ def listing(source_id: str) -> Callable[..., DataFrame]:
 
 def work_records(pages: DataFrame) -> DataFrame:
     """Works of JSON responses in pages(file, value) as uncleaned records; institutions of all authorships are the applicants."""
-    docs = pages.select("file", F.from_json("value", WORKS).alias("d"))
-    works = docs.select("file", F.posexplode("d.results").alias("line", "w"))
+    docs = pages.withColumn("value", F.from_json("value", WORKS))
+    works = exploded(docs, F.col("value.results"), "w")
     return works.select(
         "file",
         "line",
