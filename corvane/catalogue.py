@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corvane.functions import text as t
-from corvane.operators import analytics, automaton, dedupe, export, graph, ordering, quality, resolve, search
+from corvane.operators import analytics, automaton, dedupe, export, graph, ordering, postings, quality, resolve, search
 from corvane.operators.taxonomy import classified, term_hits
 from corvane.plans import jobs
 from corvane.plans.driver_views import DRIVER_TAXONOMY, customer_records, kind_of_status, star_records, table, text_records
@@ -224,6 +224,14 @@ def search_top10(spark, sf):
     return searched(spark, sf, "the la", limit=10)
 
 
+@query(f"SELECT * FROM ({ranked_sql(['the', 'la', 'src3'])}) WHERE rank <= 10")
+def search_index_top10(spark, sf):
+    """The best records by a written index, whose blocks are read no further than the hits need."""
+    records = text_records(spark, sf)
+    index = postings.write_index(search.indexed(records), _scratch(spark, "index"))
+    return records.select("doc_id", "title", "kind").join(F.broadcast(index.hits("the la src3")), "doc_id")
+
+
 @query(ranked_sql(["de", "la", "les"], "lang = 'fr' AND source = 'src1' AND kind = 'publication'"))
 def search_faceted(spark, sf):
     return searched(spark, sf, "De la, les", mineral="fr", stage="src1", kind="publication")

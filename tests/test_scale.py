@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from corvane.operators import analytics, automaton, ordering
+from corvane.operators import analytics, automaton, ordering, postings, search
 from corvane.operators.taxonomy import classified, term_hits
 from corvane.plans.driver_views import DRIVER_TAXONOMY, table
 from corvane.sources.reference import Label, Taxonomy
@@ -72,3 +72,20 @@ def test_pairs_by_blocks_and_bitmaps(spark, monkeypatch, block):
 def test_no_cell_no_pair(spark):
     df = spark.createDataFrame([(["a", None], ["m"], []), (["b"], None, ["s"]), (None, ["m"], ["s"])], "orgs array<string>, mineral_ids array<string>, stage_ids array<string>")
     assert analytics.collaborations(df).count() == 0 and analytics.collaboration_pairs(df).count() == 0
+
+
+@pytest.mark.parametrize("size", [1, 7, 4096])
+def test_search_by_blocks_stops_early(spark, tmp_path, size):
+    r = random.Random(size)
+    words = [f"w{k}" for k in range(12)] + ["rare", "Title"]
+    rows = [(f"d{k:03d}", " ".join(r.choices(words, k=3)) if k % 40 == 0 else "plain", " ".join(r.choices(words[:12], k=6)), [r.choice(words)], "W1 x") for k in range(300)]
+    records = spark.createDataFrame(rows, "doc_id string, title string, abstract string, applicants array<string>, tax_text string")
+    indexed = search.indexed(records)
+    index = postings.write_index(indexed, str(tmp_path / "i"), size)
+    for q, limit in (("w1", 5), ("w1 w2 w2 rare", 10), ("rare", 400), ("nobody", 3), ("w3 title", 1), ("w1 w1", 50)):
+        found = index.top(q, limit)
+        want = [(x.doc_id, x.score) for x in search.hits(indexed, q).orderBy(F.desc("score"), "doc_id").limit(limit).collect()]
+        assert found.hits == want
+        if size == 7 and q == "w1 w2 w2 rare":
+            assert 0 < found.blocks_read < found.blocks
+    assert index.top("?!", 3).hits == [] and index.hits("w1", 2).columns == ["doc_id", "score", "rank"]
