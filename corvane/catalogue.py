@@ -500,7 +500,7 @@ def subscriptions(spark):
 
 @query(ALERTS)
 def alerts_batch(spark, sf):
-    fired, _ = alerts.check(alert_records(spark, sf), subscriptions(spark), spark.createDataFrame([], alerts.SEEN), ["ordinal"])
+    fired, _ = alerts.check(alert_records(spark, sf), subscriptions(spark), spark.createDataFrame([], alerts.SEEN), ["ordinal"], _scratch(spark, "values"))
     return fired
 
 
@@ -508,7 +508,7 @@ def alerts_batch(spark, sf):
 def alerts_seeded(spark, sf):
     records = alert_records(spark, sf)
     seen = alerts.seeded("sub-001", records.where(F.array_contains("stage_ids", "src0") | F.array_contains("stage_ids", "src1")))
-    fired, _ = alerts.check(records, subscriptions(spark), seen, ["ordinal"])
+    fired, _ = alerts.check(records, subscriptions(spark), seen, ["ordinal"], _scratch(spark, "values"))
     return fired
 
 

@@ -15,9 +15,12 @@ def ranked_table(df: DataFrame, order: list[str | Column], path: str, name: str
     are as many as partitions. Rows that the order does not tell apart have
     different places, in any order.
     """
-    df.repartitionByRange(*order).sortWithinPartitions(*order).write.mode("overwrite").parquet(path)
+    # Ranges take a look at all rows before they deal them out, so the rows are made once and written as they come.
+    df.write.mode("overwrite").parquet(f"{path}/rows")
+    made = df.sparkSession.read.schema(df.schema).parquet(f"{path}/rows")
+    made.repartitionByRange(*order).sortWithinPartitions(*order).write.mode("overwrite").parquet(f"{path}/sorted")
     at = F.struct(F.col("_metadata.file_name").alias("file"), F.col("_metadata.row_index").alias("index"))
-    rows = df.sparkSession.read.schema(df.schema).parquet(path).select("*", at.alias("__at"))
+    rows = df.sparkSession.read.schema(df.schema).parquet(f"{path}/sorted").select("*", at.alias("__at"))
     # Files are numbered by their task, whose order is that of the ranges.
     counts = rows.groupBy(F.col("__at.file").alias("__file")).agg(F.count("*").alias("n"))
     before = counts.select("__file", (F.sum("n").over(Window.orderBy("__file")) - F.col("n")).alias("__before"))

@@ -16,14 +16,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from corvane.functions.text import token_set
+from corvane.functions.text import token_set, tokens
 from corvane.operators.dedupe import keep_first
 
 SUBSCRIPTION = "sub_id string, mineral string, stage string, kind string, q string"
 SEEN = "sub_id string, record_key string"
 #: Subscriptions of a share, and shares of records, where all pairs are listed.
 BROADCAST_SUBSCRIPTIONS, SALTS = 10_000, 32
-#: The value that every record has, under which subscriptions without any condition stand.
+#: The value that every record has, as subscriptions without any condition ask for.
 ANYTHING = "*"
 
 
@@ -38,11 +38,11 @@ def _marked(mark: str, values: Column) -> Column:
 
 def record_values(records: DataFrame, order: list[str]) -> DataFrame:
     """(record_key, title, values): the first record of each key, with all that a condition can ask for: its minerals, stages and kind, and the tokens of title and abstract."""
-    words = token_set(F.concat_ws(" ", F.coalesce("title", F.lit("")), F.coalesce("abstract", F.lit(""))))
-    values = F.array_distinct(F.concat(_marked("m=", F.col("mineral_ids")), _marked("s=", F.col("stage_ids")), _marked("k=", F.array("kind")), _marked("t=", words)))
-    # Values are made before the records meet, so that texts stay where they are.
-    rows = records.select(record_key().alias("record_key"), F.coalesce("title", F.lit("")).alias("title"), values.alias("values"), *[F.col(c).alias(f"__{k}") for k, c in enumerate(order)])
-    return keep_first(rows.where(F.col("record_key").isNotNull()), ["record_key"], [f"__{k}" for k in range(len(order))]).select("record_key", "title", "values")
+    rows = records.select(record_key().alias("record_key"), F.coalesce("title", F.lit("")).alias("title"), "abstract", "kind", "mineral_ids", "stage_ids", *[F.col(c).alias(f"__{k}") for k, c in enumerate(order)])
+    first = keep_first(rows.where(F.col("record_key").isNotNull()), ["record_key"], [f"__{k}" for k in range(len(order))])
+    words = tokens(F.concat_ws(" ", "title", F.coalesce("abstract", F.lit(""))))
+    values = F.array_distinct(F.concat(_marked("m=", F.col("mineral_ids")), _marked("s=", F.col("stage_ids")), _marked("k=", F.array("kind")), F.transform(words, lambda x: F.concat(F.lit("t="), x))))
+    return first.select("record_key", "title", values.alias("values"))
 
 
 def conditions(subs: DataFrame) -> DataFrame:
@@ -51,32 +51,49 @@ def conditions(subs: DataFrame) -> DataFrame:
     return subs.withColumn("wanted", F.array_distinct(wanted))
 
 
-def reverse_index(subs: DataFrame, values: DataFrame) -> DataFrame:
-    """(value, sub_id, wanted): conditions(subs) that records with values(record_key, value) may meet, each under the rarest value it asks for.
+OFFERED = "record_key string, value string, title string"
+
+
+def offered_values(records: DataFrame, wanting: DataFrame, order: list[str]) -> DataFrame:
+    """(record_key, value, title): for each record of record_values() a row of ANYTHING, with its title, and one for each of its values that any of conditions(subs) asks for."""
+    first = record_values(records, order).select("record_key", "title", F.explode(F.concat("values", F.array(F.lit(ANYTHING)))).alias("value"))
+    asked = wanting.select(F.explode("wanted").alias("value")).distinct().withColumn("asked", F.lit(True))
+    kept = first.join(asked, "value", "left").where(F.col("asked").isNotNull() | (F.col("value") == ANYTHING))
+    return kept.select("record_key", "value", F.when(F.col("value") == ANYTHING, F.col("title")).alias("title"))
+
+
+def _written(offered: DataFrame, path: str) -> DataFrame:
+    offered.write.mode("overwrite").parquet(path)
+    return offered.sparkSession.read.schema(OFFERED).parquet(path)
+
+
+def reverse_index(subs: DataFrame, hits: DataFrame) -> DataFrame:
+    """(value, sub_id, wanted): conditions(subs) that records with hits(record_key, value) may meet, each under the rarest value it asks for.
 
     A subscription that asks for a value which no record has can't be met and is
-    left out; one that asks for nothing stands under ANYTHING.
+    left out, and so is one that asks for nothing.
     """
+    known = hits.groupBy("value").agg(F.count("*").alias("n"))
     asked = subs.select("sub_id", "wanted", F.explode("wanted").alias("value"))
-    known = values.join(asked.select("value").distinct(), "value").groupBy("value").agg(F.count("*").alias("n"))
     rarest = asked.join(known, "value").groupBy("sub_id").agg(F.min_by("value", F.struct("n", "value")).alias("value"), F.count("*").alias("found"), F.first("wanted").alias("wanted"))
-    listed = rarest.where(F.col("found") == F.size("wanted")).select("value", "sub_id", "wanted")
-    return listed.unionByName(subs.where(F.size("wanted") == 0).select(F.lit(ANYTHING).alias("value"), "sub_id", "wanted"))
+    return rarest.where(F.col("found") == F.size("wanted")).select("value", "sub_id", "wanted")
 
 
-def matched(first: DataFrame, subs: DataFrame) -> DataFrame:
-    """(sub_id, record_key, title): the subscriptions that records of record_values() meet.
+def matched(offered: DataFrame, wanting: DataFrame) -> DataFrame:
+    """(sub_id, record_key, title): which conditions(subs) the records of offered_values() meet.
 
     A record looks up its own values in the reverse index; of a subscription
-    found so, all wanted values are counted among the record's. Only joins by
+    found so, the wanted values are counted among the record's. Only joins by
     equal values: a subscription that matches nothing costs its entry alone.
     """
-    each = first.select("record_key", F.explode("values").alias("value"))
+    hits, titles = offered.where(F.col("value") != ANYTHING).select("record_key", "value"), offered.where(F.col("value") == ANYTHING)
+    index = reverse_index(wanting, hits)
+    found = hits.join(index, "value").select("record_key", "sub_id", "wanted")
+    own = hits.groupBy("record_key").agg(F.collect_set("value").alias("own"))
+    met = found.join(own, "record_key").where(F.size(F.array_intersect("wanted", "own")) == F.size("wanted")).select("record_key", "sub_id")
     # As an empty query asks nothing, subscriptions to anything are met by all records alike.
-    everywhere = first.select("record_key", F.lit(ANYTHING).alias("value"))
-    found = each.unionByName(everywhere).join(reverse_index(conditions(subs), each), "value").select("record_key", "sub_id", "wanted")
-    met = found.join(first, "record_key")
-    return met.where(F.size(F.array_intersect("wanted", "values")) == F.size("wanted")).select("sub_id", "record_key", "title")
+    everywhere = pairs(titles.select("record_key", "title"), wanting.where(F.size("wanted") == 0).select("sub_id"))
+    return met.join(titles, "record_key").select("sub_id", "record_key", "title").unionByName(everywhere.select("sub_id", "record_key", "title"))
 
 
 def pairs(keys: DataFrame, subs: DataFrame) -> DataFrame:
@@ -87,15 +104,19 @@ def pairs(keys: DataFrame, subs: DataFrame) -> DataFrame:
     return spread.join(dealt, ["__share", "__salt"]).drop("__share", "__salt")
 
 
-def check(records: DataFrame, subs: DataFrame, seen: DataFrame, order: list[str]) -> tuple[DataFrame, DataFrame]:
+def check(records: DataFrame, subs: DataFrame, seen: DataFrame, order: list[str], scratch: str | None = None) -> tuple[DataFrame, DataFrame]:
     """(fired, newly seen) of one batch, against state listed in full, seen(sub_id, record_key): what was offered before is left out, all else becomes seen and what matches fires.
 
     The second is the product by its nature, and made only if it is asked for;
-    AlertTable keeps the same state without it.
+    AlertTable keeps the same state without it. With a scratch folder, what the
+    records offer is made once and written there.
     """
-    first, known = record_values(records, order), seen.select("sub_id", "record_key")
-    fired = matched(first, subs).join(known, ["sub_id", "record_key"], "left_anti")
-    new = pairs(first.select("record_key"), subs.select("sub_id")).join(known, ["sub_id", "record_key"], "left_anti")
+    wanting, known = conditions(subs), seen.select("sub_id", "record_key")
+    offered = offered_values(records, wanting, order)
+    offered = _written(offered, scratch) if scratch else offered
+    fired = matched(offered, wanting).join(known, ["sub_id", "record_key"], "left_anti")
+    keys = offered.where(F.col("value") == ANYTHING).select("record_key")
+    new = pairs(keys, subs.select("sub_id")).join(known, ["sub_id", "record_key"], "left_anti")
     return fired.select("sub_id", F.col("record_key").alias("record_id"), "title"), new.select("sub_id", "record_key")
 
 
@@ -217,11 +238,10 @@ class AlertTable:
     def check(self, records: DataFrame, batch: int, order: list[str]) -> DataFrame:
         """Runs one batch and returns its alerts."""
         subs = self._subscribed().where(F.col("start") <= batch)
-        offered = f"{self.path}/_offered/batch={batch}"
-        record_values(records, order).write.mode("overwrite").parquet(offered)
-        first = self.spark.read.schema("record_key string, title string, values array<string>").parquet(offered)
+        wanting = conditions(subs)
+        offered = _written(offered_values(records, wanting, order), f"{self.path}/_offered/batch={batch}")
         keys = self.keys(batch)
-        met = matched(first, subs).join(subs.select("sub_id", "start", "number", F.col("seed").alias("until")), "sub_id").join(keys, "record_key", "left").join(self._legacy(), "record_key", "left")
+        met = matched(offered, wanting).join(subs.select("sub_id", "start", "number", F.col("seed").alias("until")), "sub_id").join(keys, "record_key", "left").join(self._legacy(), "record_key", "left")
         met = met.where("(last is null or last < start) and (upto is null or upto < number)")
         # Only what matches is looked up among the seeds.
         known = _held(met.where("until is not null").select("sub_id", "record_key", "until").join(self._seeds(), "record_key").where("seed <= until"))
@@ -229,7 +249,7 @@ class AlertTable:
         # Alerts first: a batch whose state is missing is replayed whole.
         fired.select("sub_id", F.col("record_key").alias("record_id"), "title").write.mode("overwrite").parquet(f"{self.path}/alerts/batch={batch}")
         newest = subs.agg(F.max("start")).first()[0]
-        fresh = first.select("record_key").join(keys, "record_key", "left").where(F.col("last").isNull() | (F.col("last") < F.lit(newest if newest is not None else batch)))
+        fresh = offered.where(F.col("value") == ANYTHING).select("record_key").join(keys, "record_key", "left").where(F.col("last").isNull() | (F.col("last") < F.lit(newest if newest is not None else batch)))
         fresh.select("record_key").write.mode("overwrite").parquet(f"{self.path}/seen/batch={batch}")
         system, where = self._at(f"_offered/batch={batch}")
         system.delete(where, True)

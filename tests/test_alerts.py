@@ -77,7 +77,8 @@ def test_reverse_index_meets_what_matching_one_by_one_meets(spark):
     plan = fired._jdf.queryExecution().executedPlan().toString()
     assert "NestedLoop" not in plan and "Cartesian" not in plan
     assert {(r.sub_id, r.record_id) for r in fired.collect()} == want
-    index = a.reverse_index(a.conditions(subs), a.record_values(records(spark, *rows), ["at"]).select("record_key", F.explode("values").alias("value")))
+    wanting = a.conditions(subs)
+    index = a.reverse_index(wanting, a.offered_values(records(spark, *rows), wanting, ["at"]).select("record_key", "value"))
     # Those whose words no record has aren't entered, and the others stand under their rare word and not under the common one.
     assert index.count() < 300 and index.where("value = 't=common'").count() == 0
 
