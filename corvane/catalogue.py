@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corvane.functions import text as t
-from corvane.operators import analytics, automaton, dedupe, export, graph, ordering, postings, quality, resolve, search
+from corvane.operators import analytics, automaton, buckets, dedupe, export, graph, ordering, postings, quality, resolve, search
 from corvane.operators.taxonomy import classified, term_hits
 from corvane.plans import jobs
 from corvane.plans.driver_views import DRIVER_TAXONOMY, customer_records, kind_of_status, star_records, table, text_records
@@ -409,6 +409,16 @@ def identity_dedupe(spark, sf):
     return dedupe.merged(rows.where("gold"), rows.where("not gold"), ["o_orderkey"]).select("o_orderkey")
 
 
+@query(ORACLES["identity_dedupe"])
+def corpus_incremental(spark, sf):
+    """The same corpus, whose harvested part lands in three parts, the last records first."""
+    rows = table(spark, sf, "orders").select("o_orderkey", kind_of_status().alias("kind"), order_number().alias("appl_no"), F.col("o_orderpriority").alias("source_id"), F.col("o_custkey").cast("string").alias("source_url"), (F.col("o_orderstatus") == "P").alias("gold"))
+    corpus = buckets.IncrementalCorpus(spark, _scratch(spark, "corpus"), ["o_orderkey"], 16)
+    for part in (2, 0, 1):
+        corpus.add(rows.where("not gold").where(F.col("o_orderkey") % 3 == part))
+    return corpus.corpus(rows.where("gold")).select("o_orderkey")
+
+
 @query("SELECT c_mktsegment, count(*)::BIGINT AS n, sum((c_name <> '')::INT + (c_acctbal > 0)::INT + (c_nationkey % 2 = 0)::INT)::DOUBLE / (count(*) * 3) AS completeness FROM customer GROUP BY c_mktsegment")
 def completeness(spark, sf):
     rows = table(spark, sf, "customer").select("c_mktsegment", "c_name", F.when(F.col("c_acctbal") > 0, F.col("c_acctbal").cast("string")).alias("balance"), F.when(F.col("c_nationkey") % 2 == 0, F.array("c_nationkey")).otherwise(F.expr("cast(array() as array<int>)")).alias("nations"))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from corvane.catalogue import _shared, query
 from corvane.functions import ipc
 from corvane.functions import text as t
-from corvane.operators import analytics, corpus, export, graph, quality, resolve, search, sinks
+from corvane.operators import analytics, buckets, corpus, export, graph, quality, resolve, search, sinks
 from corvane.plans.driver_views import DRIVER_TAXONOMY, customer_records, kind_of_status, star_records, table
 from corvane.plans.engine import Engine
 from corvane.schemas import conform
@@ -426,6 +426,15 @@ def candidate_store(spark, sf):
     return readers.records_jsonl(spark, f"{path}/part-*").select("source_url", "title")
 
 
+@query(f"WITH {STORED} SELECT source_url, title FROM (SELECT *, row_number() OVER (PARTITION BY source_url ORDER BY k) AS n FROM r) WHERE n = 1")
+def candidate_buckets(spark, sf):
+    """Candidates by address in hash buckets, added in two halves and once more."""
+    store, rows = buckets.BucketStore(spark, scratch(spark, "buckets"), "source_url", ["file", "line"], 16), stored_rows(spark, sf).select("source_url", "title", "file", "line")
+    for part in (rows.where("line % 2 = 1"), rows.where("line % 2 = 0"), rows):
+        store.add(part)
+    return store.rows().select("source_url", "title")
+
+
 @query(f"WITH {STORED} SELECT part AS journal_part, count(*)::BIGINT AS n FROM r WHERE part <> 'F' OR k % 2 = 0 GROUP BY part")
 def archive_round_trip(spark, sf):
     """A part that is written again replaces itself alone."""

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from corvane.functions.text import filled
@@ -39,6 +39,31 @@ def pipeline_stats(records: DataFrame, deduped: DataFrame) -> DataFrame:
     return out.select(name.alias("source_id"), "parsed", "completeness", n.alias("deduped"), (F.col("parsed") - n).alias("duplicates"))
 
 
+def observed_stats(records: DataFrame, sources: list[str], dedupe) -> tuple[DataFrame, object]:
+    """(deduped, stats): dedupe(records), and a function that gives the rows of pipeline_stats() of known sources as a frame, once an action has run on deduped. The action's own job counts them."""
+    before, after = Observation(), Observation()
+    need, have = F.lit(0), F.lit(0)
+    for kind, fields in REQUIRED.items():
+        need = F.when(F.col("kind") == kind, len(fields)).otherwise(need)
+        have = F.when(F.col("kind") == kind, present_count(records, fields)).otherwise(have)
+    own = [F.col("source_id").eqNullSafe(F.lit(s)) for s in sources]
+    of = lambda c: [F.sum(F.when(test, c)) for test in own]
+    measures = [x.alias(f"{name}{k}") for name, c in (("n", F.lit(1)), ("need", need), ("have", have)) for k, x in enumerate([*of(c), F.sum(c)])]
+    kept = dedupe(records.observe(before, *measures))
+    kept = kept.observe(after, *[x.alias(f"n{k}") for k, x in enumerate([*of(F.lit(1)), F.count(F.lit(1))])])
+
+    def stats() -> DataFrame:
+        b, a = before.get, after.get
+        rows = []
+        for k, source in enumerate([*sources, "total"]):
+            if b[f"n{k}"]:
+                share = round((b[f"have{k}"] or 0) / b[f"need{k}"], 4) if b[f"need{k}"] else 0.0
+                rows.append((source, b[f"n{k}"], share, a[f"n{k}"] or 0, b[f"n{k}"] - (a[f"n{k}"] or 0)))
+        return records.sparkSession.createDataFrame(rows, "source_id string, parsed long, completeness double, deduped long, duplicates long")
+
+    return kept, stats
+
+
 def incomplete_sources(stats: DataFrame, least: float = COMPLETE_ENOUGH) -> DataFrame:
     """Sources that fail the completeness gate."""
     return stats.where((F.col("source_id") != "total") & (F.col("completeness") < least))

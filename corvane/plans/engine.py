@@ -16,8 +16,8 @@ DETAIL = ("doc_id", "title", "abstract", "kind", "mineral_ids", "stage_ids", "pr
 ORDER = ["tier", "file", "line"]
 
 
-def ingest(spark: SparkSession, paths: dict[str, str], fetched_at: str | None = None) -> tuple[DataFrame, DataFrame]:
-    """(records, stats) of landed files by source: all records, keep-first by source and address in the readers' order."""
+def parsed(spark: SparkSession, paths: dict[str, str], fetched_at: str | None = None) -> DataFrame:
+    """All records of landed files by source, in the readers' order by tier."""
     out = None
     for tier, (source, read) in enumerate(READERS.items()):
         if source in paths:
@@ -25,6 +25,12 @@ def ingest(spark: SparkSession, paths: dict[str, str], fetched_at: str | None =
             out = part if out is None else out.unionByName(part, allowMissingColumns=True)
     if out is None:
         raise ValueError("no sources")
+    return out
+
+
+def ingest(spark: SparkSession, paths: dict[str, str], fetched_at: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """(records, stats) of landed files by source: all records, keep-first by source and address in the readers' order."""
+    out = parsed(spark, paths, fetched_at)
     kept = with_duplicate_counts(out, ["source_id", "source_url"], ORDER)
     return kept.drop("n_duplicates"), quality.pipeline_stats(out, kept)
 

@@ -6,6 +6,7 @@ import datetime
 import json
 import re
 import time
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,9 +16,9 @@ from corvane.operators import export, quality, sinks
 from corvane.operators.dedupe import keep_first
 from corvane.operators.resolve import merge_rate
 from corvane.operators.taxonomy import classified
-from corvane.plans.engine import Engine, ingest
+from corvane.plans.engine import ORDER, Engine, parsed
 from corvane.sources import journal
-from corvane.sources.readers import records_jsonl
+from corvane.sources.readers import READERS, records_jsonl
 from corvane.sources.reference import baseline_rows, driver_json, golden_queries, holdout_rows, recorded, tolerances
 
 SCHEME = "^[a-z0-9]+:/*"
@@ -25,16 +26,36 @@ PROBE_QUERY = "lithium extraction recycling"
 
 
 def harvest(spark: SparkSession, paths: dict[str, str], out: str | None = None, check: bool = False, fetched_at: str | None = None) -> DataFrame:
-    """Ingests landed files, writes the store, and returns the statistics; with check, ValueError where a source is not complete enough."""
-    records, stats = ingest(spark, paths, fetched_at)
-    stats = stats.cache()
-    if check:
-        low = [r["source_id"] for r in quality.incomplete_sources(stats).collect()]
+    """Ingests landed files, writes the store, and returns the statistics; with check, ValueError where a source is not complete enough, and the store stays as it was.
+
+    Files are read once: the job that writes counts as well. What it writes takes
+    the store's place when it has passed the check. Without a store to write, the
+    same job ends in nothing.
+    """
+    records, stats = quality.observed_stats(parsed(spark, paths, fetched_at), [s for s in READERS if s in paths], lambda df: keep_first(df, ["source_id", "source_url"], ORDER))
+    if out is None:
+        records.write.format("noop").mode("overwrite").save()
+    else:
+        aside = f"{out.rstrip('/')}.{uuid.uuid4().hex}"
+        sinks.write_store(records, aside)
+    found = stats()
+    low = [r["source_id"] for r in quality.incomplete_sources(found).collect()] if check else []
+    if out is not None:
+        system, target = _path(spark, out)
         if low:
-            raise ValueError(f"incomplete: {', '.join(sorted(low))}")
-    if out:
-        sinks.write_store(records, out)
-    return stats
+            system.delete(_path(spark, aside)[1], True)
+        else:
+            system.delete(target, True)
+            system.rename(_path(spark, aside)[1], target)
+    if low:
+        raise ValueError(f"incomplete: {', '.join(sorted(low))}")
+    return found
+
+
+def _path(spark: SparkSession, name: str):
+    """(file system, path) of a name."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where
 
 
 def journal_plan(spark: SparkSession, listing: str, numbers: list[str] | None = None, since: int | None = None, latest: int | None = 1, all_parts: bool = False) -> DataFrame:
