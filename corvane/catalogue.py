@@ -562,4 +562,4 @@ def _shared(spark: SparkSession) -> str:
     return named.rstrip("/") if named else "file://" + tempfile.mkdtemp(prefix="corvane-")
 
 
-from corvane import catalogue_formats  # noqa: E402, F401  its queries join these
+from corvane import catalogue_formats, catalogue_jobs  # noqa: E402, F401  their queries join these

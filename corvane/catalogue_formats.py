@@ -474,19 +474,19 @@ def engine_of(spark, sf) -> Engine:
     """The facade over orders as records, the priority as their applicant."""
     empty = F.array().cast("array<string>")
     rows = star_records(spark, sf).select(
-        "doc_id", "title", F.lit("abstract").alias("abstract"), "kind", F.slice("mineral_ids", 1, 1).alias("mineral_ids"), "stage_ids", empty.alias("process_family_ids"), F.array(F.get("stage_ids", F.lit(0))).alias("applicants"), F.array(F.lower(F.get("stage_ids", F.lit(0)))).alias("orgs"),
+        "doc_id", "title", F.lit("abstract").alias("abstract"), "kind", "mineral_ids", "stage_ids", empty.alias("process_family_ids"), F.array(F.get("stage_ids", F.lit(0))).alias("applicants"), F.array(F.lower(F.get("stage_ids", F.lit(0)))).alias("orgs"),
         "filing_date", F.lit("x").alias("legal_status"), F.lit("orders").alias("source_id"), F.col("doc_id").alias("source_url"), F.lit("").alias("tax_text"), F.lit(0).alias("tier"), F.lit("f").alias("file"), F.col("o_orderkey").alias("line"), F.lit(None).cast("string").alias("fixture_id"), F.lit(None).cast("string").alias("appl_no"),
     )
     return Engine(spark, DRIVER_TAXONOMY, alias_rows(spark, {"nobody": ["no body"]}), rows)
 
 
-ENGINE = f"WITH {STAR}, one AS (SELECT o_orderkey, min(mineral) AS mineral FROM mineral GROUP BY o_orderkey), e AS (SELECT o_orderkey AS k, kind, stage, mineral FROM rec JOIN one USING (o_orderkey))"
+ENGINE = f"WITH {STAR}, m AS (SELECT o_orderkey AS k, mineral FROM mineral), e AS (SELECT o_orderkey AS k, kind, stage, (SELECT min(mineral) FROM mineral x WHERE x.o_orderkey = rec.o_orderkey) AS mineral FROM rec), em AS (SELECT k, kind, stage, m.mineral FROM e JOIN m USING (k))"
 
 
 @query(f"""{ENGINE} SELECT 'health' AS part, 'records' AS key, count(*)::BIGINT AS n FROM e UNION ALL SELECT 'totals', 'total', count(*) FROM e UNION ALL SELECT 'totals', x, (SELECT count(*) FROM e WHERE kind = x) FROM (VALUES ('patent'), ('rd'), ('publication')) v(x)
-UNION ALL SELECT 'by_mineral', mineral, count(*) FROM e GROUP BY mineral UNION ALL SELECT 'by_stage', stage, count(*) FROM e GROUP BY stage UNION ALL SELECT 'top_orgs', lower(stage), count(*) FROM e GROUP BY stage
-UNION ALL SELECT 'heatmap', m.mineral || '/' || s.stage, (SELECT count(*) FROM e WHERE e.mineral = m.mineral AND e.stage = s.stage) FROM (SELECT DISTINCT mineral FROM e) m, (SELECT DISTINCT stage FROM e) s
-UNION ALL SELECT 'graph', 'nodes', (SELECT count(*) + count(DISTINCT stage) * 2 + count(DISTINCT mineral) FROM e) UNION ALL SELECT 'graph', 'edges', (SELECT 3 * count(*) FROM e)""")
+UNION ALL SELECT 'by_mineral', mineral, count(*) FROM m GROUP BY mineral UNION ALL SELECT 'by_stage', stage, count(*) FROM e GROUP BY stage UNION ALL SELECT 'top_orgs', lower(stage), count(*) FROM e GROUP BY stage
+UNION ALL SELECT 'heatmap', x.mineral || '/' || s.stage, (SELECT count(*) FROM em WHERE em.mineral = x.mineral AND em.stage = s.stage) FROM (SELECT DISTINCT mineral FROM m) x, (SELECT DISTINCT stage FROM e) s
+UNION ALL SELECT 'graph', 'nodes', (SELECT count(*) + count(DISTINCT stage) * 2 FROM e) + (SELECT count(DISTINCT mineral) FROM m) UNION ALL SELECT 'graph', 'edges', (SELECT 2 * count(*) FROM e) + (SELECT count(*) FROM m)""")
 def engine_dashboard(spark, sf):
     """health, summary, heatmap and graph of the facade, as (part, key, n)."""
     engine = engine_of(spark, sf).cache()
@@ -510,7 +510,7 @@ def engine_search(spark, sf):
     return search.ranked(best.select("doc_id", "score")).withColumn("n", F.lit(n).cast("long"))
 
 
-@query(f"""{ENGINE}, m AS (SELECT min(k) AS k FROM e) SELECT 'record' AS part, (SELECT k::VARCHAR || '/' || kind || '/' || mineral || '/' || stage FROM e WHERE k = (SELECT k FROM m)) AS value
+@query(f"""{ENGINE}, least AS (SELECT min(k) AS k FROM e) SELECT 'record' AS part, (SELECT k::VARCHAR || '/' || kind || '/' || mineral || '/' || stage FROM e WHERE k = (SELECT k FROM least)) AS value
 UNION ALL SELECT 'org', lower('1-URGENT') || '/' || (SELECT count(*) FROM e WHERE stage = '1-URGENT') UNION ALL SELECT 'same', 'true/false'""")
 def engine_lookups(spark, sf):
     engine = engine_of(spark, sf)
@@ -522,8 +522,8 @@ def engine_lookups(spark, sf):
     return spark.createDataFrame(rows, "part string, value string")
 
 
-@query(f"""{ENGINE}, g AS (SELECT m.mineral, s.stage, (SELECT count(*) FROM e WHERE e.mineral = m.mineral AND e.stage = s.stage AND kind IN ('rd', 'publication')) AS research, (SELECT count(*) FROM e WHERE e.mineral = m.mineral AND e.stage = s.stage AND kind NOT IN ('rd', 'publication')) AS patents
-FROM (SELECT DISTINCT mineral FROM e) m, (SELECT DISTINCT stage FROM e) s), w AS (SELECT *, row_number() OVER (ORDER BY research - patents DESC, patents + research, mineral, stage)::BIGINT AS rank FROM g) SELECT mineral, stage, research - patents AS gap, rank FROM w WHERE rank <= 7""")
+@query(f"""{ENGINE}, g AS (SELECT x.mineral, s.stage, (SELECT count(*) FROM em WHERE em.mineral = x.mineral AND em.stage = s.stage AND kind IN ('rd', 'publication')) AS research, (SELECT count(*) FROM em WHERE em.mineral = x.mineral AND em.stage = s.stage AND kind NOT IN ('rd', 'publication')) AS patents
+FROM (SELECT DISTINCT mineral FROM m) x, (SELECT DISTINCT stage FROM e) s), w AS (SELECT *, row_number() OVER (ORDER BY research - patents DESC, patents + research, mineral, stage)::BIGINT AS rank FROM g) SELECT mineral, stage, research - patents AS gap, rank FROM w WHERE rank <= 7""")
 def engine_whitespace(spark, sf):
     return engine_of(spark, sf).whitespace(7).select("mineral", "stage", "gap", "rank")
 
