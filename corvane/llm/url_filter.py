@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+import html
+import re
+from collections.abc import Iterator
+from urllib.parse import urljoin
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm.common import ascii_lower, cut
+from corvane.llm.common import ascii_lower, cut, texts
 from corvane.llm.graph import connected_components
 
 #: (host, path, verdict). A rule fits its host and all subdomains, where the path starts with the rule's.
@@ -14,12 +20,11 @@ RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com"
 MAX_COMPILED = 200
 
 URL = r"(?s)\A.*?://([^/?#]*)([^?#]*)"
-CANONICAL = r"""(?is)<link\b[^>]*\brel\s*=\s*["']?canonical\b[^>]*>"""
-REFRESH = r"""(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*["']?refresh\b[^>]*>"""
-COMMENT = r"(?s)<!--.*?(?:-->|\z)"
-BASE = r"(?is)<base\s[^>]*\bhref\s*=[^>]*>"
-HREF = r"""(?is)\bhref\s*=\s*["']?([^"'\s>]+)"""
-TARGET = r"""(?is)\burl\s*=\s*["']?([^"'\s>]+)"""
+#: What a page's tags are read by: comments and elements whose contents are no markup go, link, meta and base tags stay.
+QUOTED = r"""(?:[^>"']|"[^"]*"|'[^']*')*+"""
+TAGS = re.compile(rf"(?is)<!--.*?(?:-->|\Z)|<(script|style|template|textarea|title|xmp|iframe)\b{QUOTED}>.*?(?:</\1\s*>|\Z)|<(link|meta|base)(?=[\s/>])({QUOTED})>")
+ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>][^\s>]*)))?""")
+GOES = re.compile(r"""(?is)\A\s*[\d.]*\s*[;,]?\s*url\s*=\s*(?:"([^"]*)|'([^']*)|(.*))""")
 
 
 def host_of(url: Column) -> Column:
@@ -66,44 +71,67 @@ def with_rule(df: DataFrame, host: str, path: str, rules=RULES) -> DataFrame:
     return df.join(best, (F.col(host) == F.col("__host")) & (F.col(path) == F.col("__path")), "left").drop("__host", "__path")
 
 
-def resolved(base: Column, to: Column) -> Column:
-    """The whole address that ``to`` names on a page at ``base``: absolute, or relative to its scheme, host, folder or query; null for other schemes."""
-    scheme, path = F.regexp_extract(base, r"(?s)\A(.*?)://", 1), path_of(base)
-    own, rest = F.regexp_extract(to, r"(?s)\A([^?#]*)", 1), F.regexp_extract(to, r"(?s)\A[^?#]*(.*)", 1)
-    query = F.regexp_extract(base, r"(?s)\A.*?://[^?#]*(\?[^#]*)", 1)
-    folder = F.when(path == "", F.lit("/")).otherwise(F.regexp_extract(path, r"(?s)\A(.*/)", 1))
-    steps = F.split(F.substring(F.when(F.startswith(own, F.lit("/")), own).otherwise(F.concat(folder, own)), F.lit(2), F.lit(2**31 - 1)), "/")
-    # ".." takes away the step before it and "." none; at the end both leave a folder.
-    walked = F.aggregate(
-        steps, F.array().cast("array<string>"), lambda done, x: F.when(x == ".", done).when(x == "..", F.slice(done, F.lit(1), F.greatest(F.size(done) - 1, F.lit(0)))).otherwise(F.concat(done, F.array(x)))
-    )
-    ends = F.element_at(steps, -1).isin(".", "..")
-    walked = F.concat(F.lit("/"), F.array_join(F.when(ends, F.concat(walked, F.array(F.lit("")))).otherwise(walked), "/"))
-    root = F.concat(scheme, F.lit("://"), host_of(base))
-    return (
-        F.when(F.rlike(to, F.lit(r"(?s)\A[A-Za-z][A-Za-z0-9+.-]*://")), to)
-        .when(F.rlike(to, F.lit(r"(?s)\A[A-Za-z][A-Za-z0-9+.-]*:")), F.lit(None).cast("string"))
-        .when(F.startswith(to, F.lit("//")), F.concat(scheme, F.lit(":"), to))
-        .when(own != "", F.concat(root, walked, rest))
-        .when(F.startswith(to, F.lit("?")), F.concat(root, path, to))
-        .otherwise(F.concat(root, path, query, to))
-    )
+def resolved(base: str, to: str) -> str:
+    """The whole address that ``to`` names on a page at ``base``, whatever the base's scheme is."""
+    scheme, found, rest = base.partition("://")
+    out = urljoin("http://" + rest if found else base, to)
+    # Only what took the stand-in's scheme gets the page's own back.
+    return scheme + out[4:] if found and not re.match(r"(?i)[a-z][a-z0-9+.-]*:", to) and out.startswith("http://") else out
 
 
-def page_edges(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """(a, b): alias keys of pages and of what all their canonical links and refresh redirects name, relative addresses resolved against the page's url or base element. HTML comments name nothing."""
-    html = F.when(F.contains(html_col, F.lit("<!--")), F.regexp_replace(html_col, COMMENT, " ")).otherwise(F.col(html_col))
+def named_addresses(url: str, page: str) -> Iterator[str]:
+    """The whole addresses that a page's canonical links and refresh redirects name, in order.
 
-    def all_of(mark: str, tag: str, address: str) -> Column:
-        found = F.transform(F.regexp_extract_all(html, F.lit(tag), F.lit(0)), lambda x: F.regexp_extract(x, address, 1))
-        return F.when(F.contains(F.lower(html), F.lit(mark)), found).otherwise(F.array().cast("array<string>"))
+    Tags are read by their attributes: the first of a name counts, references in
+    values are decoded, rel is a list of words. What stands in comments or in
+    elements whose contents are no markup names nothing. The first base element
+    with an address counts for all.
+    """
+    found, base = [], None
+    for tag in TAGS.finditer(page):
+        if not tag[2]:
+            continue
+        own: dict[str, str] = {}
+        for name, *values in ATTRIBUTE.findall(tag[3]):
+            own.setdefault(name.lower(), html.unescape("".join(values)).strip())
+        kind, to = tag[2].lower(), ""
+        if kind == "base":
+            base = base if base is not None else own.get("href") or None
+        elif kind == "link" and "canonical" in own.get("rel", "").lower().split():
+            to = own.get("href", "")
+        elif kind == "meta" and own.get("http-equiv", "").lower() == "refresh" and (goes := GOES.match(own.get("content", ""))):
+            to = "".join(x or "" for x in goes.groups()).strip()
+        if to:
+            found.append(to)
+    home = url if base is None else resolved(url, base)
+    for to in found:
+        try:
+            yield resolved(home, to)
+        except ValueError:
+            # An address that can't be one, such as an open bracket for a host, names nothing.
+            continue
+
+
+def _edges_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(url, to) of pages(url, html)."""
+    for batch in batches:
+        urls, to = [], []
+        for url, page in zip(batch.column(0).to_pylist(), texts(batch.column(1)), strict=True):
+            try:
+                own = list(named_addresses(url, page))
+            except ValueError:
+                own = []
+            urls += [url] * len(own)
+            to += own
+        yield pa.RecordBatch.from_arrays([pa.array(urls, pa.string()), pa.array(to, pa.string())], ["url", "to"])
 
-    targets = F.concat(all_of("canonical", CANONICAL, HREF), all_of("http-equiv", REFRESH, TARGET))
-    named = pages.select(F.col(url_col).alias("url"), html.alias("html"), F.explode(targets).alias("to")).where("to <> ''")
-    plain = lambda c: F.replace(c, F.lit("&amp;"), F.lit("&"))
-    named = named.select("url", plain(F.col("to")).alias("to"), plain(F.regexp_extract(F.regexp_extract("html", BASE, 0), HREF, 1)).alias("base"))
-    named = named.withColumn("from", F.coalesce(F.when(F.col("base") != "", resolved(F.col("url"), F.col("base"))), F.col("url")))
-    return named.select(alias_key(F.col("url")).alias("a"), alias_key(resolved(F.col("from"), F.col("to"))).alias("b")).where("a is not null and b is not null and a <> b")
+
+def page_edges(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
+    """(a, b): alias keys of pages and of what all their canonical links and refresh redirects name, relative addresses resolved against the page's url or base element. Only pages that may name one are parsed."""
+    lower = F.lower(F.col(html_col))
+    may = F.contains(lower, F.lit("canonical")) | F.contains(lower, F.lit("refresh")) | F.rlike(lower, F.lit(r"(?s)<(?:link|meta)[^>]*&"))
+    named = pages.where(F.col(url_col).isNotNull() & may).select(F.col(url_col).alias("url"), F.col(html_col).alias("html")).mapInArrow(_edges_of, "url string, to string")
+    return named.select(alias_key(F.col("url")).alias("a"), alias_key(F.col("to")).alias("b")).where("a is not null and b is not null and a <> b")
 
 
 def judge_urls(pages: DataFrame, rules=RULES, redirects: DataFrame | None = None, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -139,6 +167,14 @@ def judge_urls(pages: DataFrame, rules=RULES, redirects: DataFrame | None = None
     return urls.join(aliases, "key", "left").select(*shown, F.coalesce(own, "said", F.lit("allow")).alias("verdict"), "component")
 
 
+# Patterns of the SQL, which knows plainly written tags, absolute addresses and rooted ones.
+CANONICAL = r"""(?is)<link\b[^>]*\brel\s*=\s*["']?canonical\b[^>]*>"""
+REFRESH = r"""(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*["']?refresh\b[^>]*>"""
+COMMENT = r"(?s)<!--.*?(?:-->|\z)"
+HREF = r"""(?is)\bhref\s*=\s*["']?([^"'\s>]+)"""
+TARGET = r"""(?is)\burl\s*=\s*["']?([^"'\s>]+)"""
+
+
 def _sql(rules=RULES) -> str:
     listed = ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in rules)
     host = r"translate(regexp_extract(coalesce({0}, ''), '(?s)\A.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"

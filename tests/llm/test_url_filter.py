@@ -144,3 +144,43 @@ def test_components_of_paths_stars_and_loops(spark):
     got = {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "a long, b long"), "a", "b").collect()}
     assert got == {x: find(x) for x in parent}
     assert connected_components(spark.createDataFrame([], "a long, b long"), "a", "b").collect() == []
+
+
+PROBES = {
+    "<link rel='alternate canonical' href='http://x.net/'>": ["http://x.net/"],
+    "<link data-href='http://x.net/' rel=canonical href='/ok'>": ["http://a.com/ok"],
+    "<link rel=canonical title='a > b' href='/ok'/>": ["http://a.com/ok"],
+    "<script>var s = '<link rel=canonical href=http://x.net/>'</script><STYLE><link rel=canonical href=/a></style>": [],
+    "<textarea><link rel=canonical href=/a></textarea><template><link rel=canonical href=/b></template><title><link rel=canonical href=/c></title>": [],
+    "<link rel=canonical href=' /a b?q=1 '>": ["http://a.com/a b?q=1"],
+    "<link rel=canonical href='/a?x=1&amp;y=&#50;'>": ["http://a.com/a?x=1&y=2"],
+    "<link rel='&#99;anonical' href='/z'>": ["http://a.com/z"],
+    "<link rel=canonical href='/a?u=http://x.net/'>": ["http://a.com/a?u=http://x.net/"],
+    "<meta http-equiv='Refresh' content=\"0;URL='http://c.com/x'\">": ["http://c.com/x"],
+    "<meta http-equiv=refresh content='5'><meta name=refresh content='0; url=/n'>": [],
+    "<linked rel=canonical href=/a><link rel=canonicals href=/a><link rel=canonical>": [],
+    "<base href='/d/e/'><base href='http://no.net/'><link rel=canonical href=f>": ["http://a.com/d/e/f"],
+    "<link rel=canonical href='http://[bad'><link rel=canonical href=/ok>": ["http://a.com/ok"],
+    "<link rel=canonical href='/open": [],
+    "<link rel=canonical rel=icon href=/first href=/second>": ["http://a.com/first"],
+}
+
+
+def test_tags_are_read_by_their_attributes(spark):
+    assert {page: list(u.named_addresses("http://a.com/p/q", page)) for page in PROBES} == PROBES
+    pages = spark.createDataFrame([("http://a.com/p/q", p) for p in PROBES], "url string, html string")
+    want = sorted({("a.com/p/q", key(to)) for tos in PROBES.values() for to in tos})
+    assert sorted(set(map(tuple, u.page_edges(pages).collect()))) == want
+
+
+def test_plan_is_small(spark):
+    pages = spark.createDataFrame([(1, "http://a.com/", "")], "page_id long, url string, html string")
+    assert len(u.page_edges(pages)._jdf.queryExecution().optimizedPlan().toString()) < 20_000
+
+
+def test_long_pages_take_linear_time():
+    import time
+
+    began = time.perf_counter()
+    assert list(u.named_addresses("x://a.com/", "<p>x</p><link rel=icon href=/a>" * 200_000 + "<link rel=canonical href=b>")) == ["x://a.com/b"]
+    assert time.perf_counter() - began < 30
