@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from corvane.catalogue import query
 from corvane.catalogue_formats import ENGINE, INSTITUTES, ORDERS, PASSED, SAID, TAKEN, engine_of, kind_of, landed_file, orders, pages_of, scratch, text
-from corvane.operators import export
+from corvane.operators import archive, export
 from corvane.plans import jobs
 from corvane.plans.driver_views import customer_records, table
 from corvane.plans.engine import Engine
@@ -79,6 +79,17 @@ def identity_probe(spark, sf):
     return export.identity_probe(rows).agg(F.count("*").alias("n"), F.bool_and((number % 6 == 0) & F.startswith("kind_code", F.lit("B"))).alias("granted"))
 
 
+@query(f"WITH {ORDERS} SELECT k || '|' || day || '|' || p AS value FROM o")
+def archive_blocks(spark, sf):
+    """A folder of text files, archived in blocks of 10,000 bytes, found whole, and put back from them: its lines."""
+    folder, held, back = (scratch(spark, n) for n in ("folder", "archive", "restored"))
+    orders(spark, sf).select(F.concat_ws("|", "k", "day", "p").alias("value")).write.text(folder)
+    archive.write_archive(spark, folder, held, 10_000)
+    wrong = archive.faults(spark, held).select("path").unionByName(archive.difference(spark, held, folder, 10_000).select("path"))
+    archive.restore(archive.archived(spark, held), back)
+    return spark.read.text(back).unionByName(wrong.select(F.col("path").alias("value")))
+
+
 # The loaded engine ---------------------------------------------------------------------------------
 
 #: Titles, and the labels that the keyword tables give them.

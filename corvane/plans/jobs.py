@@ -12,6 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corvane.operators import archive as blocks
 from corvane.operators import export, quality, sinks
 from corvane.operators.dedupe import keep_first
 from corvane.operators.resolve import merge_rate
@@ -182,16 +183,8 @@ def verify_backup(spark: SparkSession, archive: str, root: str | None = None) ->
 
 
 def restore(spark: SparkSession, archive: str, dest: str) -> int:
-    """Writes an archive's files under a folder, one at a time, and returns how many; ValueError for a path that leaves it, before any is written."""
-    held = spark.read.parquet(archive)
-    out = held.where(F.startswith("path", F.lit("/")) | F.array_contains(F.split("path", "/"), "..")).select("path").first()
-    if out:
-        raise ValueError(f"leaves the folder: {out[0]}")
-    n = 0
-    for row in held.select("path", "content").toLocalIterator():
-        _write_bytes(spark, f"{dest.rstrip('/')}/{row['path']}", bytes(row["content"]))
-        n += 1
-    return n
+    """Writes an archive's files under a folder, by the executors, and returns how many; ValueError for a path that leaves it, before any is written."""
+    return blocks.restore(spark.read.parquet(archive).withColumn("block", F.lit(0).cast("long")), dest)
 
 
 def _write_bytes(spark: SparkSession, path: str, content: bytes) -> None:
