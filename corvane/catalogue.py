@@ -117,6 +117,34 @@ def org_profile(spark, sf):
     return out.select("org", "record_count", F.array_join("record_ids", ",").alias("record_ids"), F.array_join("co_orgs", ",").alias("co_orgs"))
 
 
+@query(f"""WITH {STAR}, one AS (SELECT min(s_name) AS name FROM supplier), own AS (SELECT o_orderkey FROM org, one WHERE org = name)
+SELECT 'record' AS part, o_orderkey::VARCHAR AS key, row_number() OVER (ORDER BY o_orderkey)::BIGINT AS n FROM own UNION ALL SELECT 'partner', org, count(*)::BIGINT FROM org SEMI JOIN own USING (o_orderkey) WHERE org <> (SELECT name FROM one) GROUP BY org""")
+def org_profile_rows(spark, sf):
+    """The same profile in rows: the records with their place in the corpus, and the partners with their records."""
+    records, name = star_records(spark, sf), table(spark, sf, "supplier").agg(F.min("s_name")).first()[0]
+    own = ordering.ranked_table(analytics.org_records(records, name, ["o_orderkey"]), ["o_orderkey"], _scratch(spark, "org"), "n")
+    partners = analytics.org_partners(records, name)
+    return own.select(F.lit("record").alias("part"), F.col("doc_id").alias("key"), "n").unionByName(partners.select(F.lit("partner").alias("part"), F.col("org").alias("key"), "n"))
+
+
+@query(r"""WITH t AS (SELECT c_custkey AS k FROM customer), r AS (SELECT k, k % 40 AS part, (202600000000 + k % 900)::VARCHAR AS appl_no FROM t)
+SELECT 'archived' AS part, appl_no, count(*)::BIGINT AS n FROM r GROUP BY appl_no UNION ALL SELECT 'stored', 'p' || part || '/' || appl_no, 1 FROM (SELECT DISTINCT part, appl_no FROM r WHERE k % 900 % 3 <> 0)""")
+def journal_job(spark, sf):
+    """Forty journal parts read by one job, twice: all records archived, and the candidates of each part stored once."""
+    base, k = _scratch(spark, "journal"), F.col("c_custkey")
+    title = F.when(k % 900 % 3 == 0, "A CHAIR").otherwise("LITHIUM CELL")
+    block = F.concat(F.lit("(12) PATENT APPLICATION PUBLICATION (21) Application No."), (k % 900 + 202600000000).cast("string"), F.lit(" A\n(54) Title of the invention : "), title, F.lit("\n\n"))
+    table(spark, sf, "customer").select(block.alias("value"), (k % 40).alias("part")).write.partitionBy("part").text(f"{base}/in")
+    texts = {("1/2026", f"p{n}"): f"{base}/in/part={n}" for n in range(40)} | {("1/2026", "lost"): f"{base}/in/part=lost"}
+    for _ in range(2):
+        added, failed = jobs.harvest_journal(spark, texts, f"{base}/archive", f"{base}/store")
+    if added or list(failed) != [("1/2026", "lost")]:
+        raise ValueError(f"the second harvest stored {added} and failed in {failed}")
+    archived, stored = spark.read.json(f"{base}/archive"), spark.read.json(f"{base}/store")
+    found = stored.select(F.concat_ws("/", "journal_part", "appl_no").alias("appl_no")).groupBy("appl_no").agg(F.count("*").alias("n"))
+    return archived.groupBy("appl_no").agg(F.count("*").alias("n")).select(F.lit("archived").alias("part"), "appl_no", "n").unionByName(found.select(F.lit("stored").alias("part"), "appl_no", "n"))
+
+
 ALIASES = {"ASIA PACIFIC": ["ASIA", "Asia (Pacific)"], "Old World": ["EUROPE", "Europe & Co.", "MIDDLE EAST"], "Brand-11": ["BRAND#11"]}
 ALIAS_VALUES = ", ".join(f"('{c}', '{v}')" for c, vs in ALIASES.items() for v in [c, *vs])
 FORM = r"trim(regexp_replace(regexp_replace(lower(coalesce({0}, '')), '[.,()\"''&/\\-]', ' ', 'g'), '\s+', ' ', 'g'))"

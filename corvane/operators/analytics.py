@@ -158,3 +158,14 @@ def org_profile(records: DataFrame, org: str, order: list[str]) -> DataFrame:
     listed = own.agg(F.count("*").alias("record_count"), F.transform(F.array_sort(F.collect_list(F.struct(*order, "doc_id"))), lambda x: x["doc_id"]).alias("record_ids"))
     others = own.select(F.explode("orgs").alias("o")).where(F.col("o") != org).agg(F.array_sort(F.collect_set("o")).alias("co_orgs"))
     return listed.crossJoin(others).select(F.lit(org).alias("org"), "*")
+
+
+def org_records(records: DataFrame, org: str, order: list[str]) -> DataFrame:
+    """The records of an organisation in rows, with the columns of an order and doc_id: for one that has more than a row of org_profile() ought to hold. ordering.ranked_table() numbers them."""
+    return records.where(F.array_contains("orgs", org)).select(*order, "doc_id")
+
+
+def org_partners(records: DataFrame, org: str) -> DataFrame:
+    """(org, n): the organisations that one filed with, and on how many records."""
+    own = records.where(F.array_contains("orgs", org)).select(F.explode(F.array_distinct("orgs")).alias("org"))
+    return own.where(F.col("org") != org).groupBy("org").agg(F.count("*").alias("n"))

@@ -9,7 +9,7 @@ import time
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from corvane.operators import archive as blocks
@@ -19,7 +19,7 @@ from corvane.operators.resolve import merge_rate
 from corvane.operators.taxonomy import classified
 from corvane.plans.engine import ORDER, Engine, parsed
 from corvane.sources import journal
-from corvane.sources.readers import READERS, records_jsonl
+from corvane.sources.readers import READERS, records_jsonl, whole_files
 from corvane.sources.reference import baseline_rows, driver_json, golden_queries, holdout_rows, recorded, tolerances
 
 SCHEME = "^[a-z0-9]+:/*"
@@ -75,23 +75,51 @@ def export_patents(rows: DataFrame, out: str, **options) -> DataFrame:
 
 
 def harvest_journal(spark: SparkSession, texts: dict[tuple[str, str], str], archive: str, store: str) -> tuple[int, dict[tuple[str, str], str]]:
-    """Reads journal parts, archives all their records, and appends new candidates. Returns how many, and the parts that failed, which stop no other."""
-    added, failed = 0, {}
-    for (number, part), path in texts.items():
+    """Reads journal parts, archives all their records, and appends new candidates. Returns how many, and the parts that failed, which stop no other.
+
+    All parts are one job. Only where that fails they are taken one by one, to
+    tell which of them it was.
+    """
+    there, failed = {}, {}
+    for part, path in texts.items():
+        system, where = _path(spark, path)
+        if system.exists(where):
+            there[part] = path
+        else:
+            failed[part] = f"no such file: {path}"
+    try:
+        return _harvested(spark, there, archive, store), failed
+    except Exception as error:
+        if len(there) == 1:
+            return 0, failed | {part: str(error) for part in there}
+    added = 0
+    for part, path in there.items():
         try:
-            found = journal.read_journal(spark, path, number, part).cache()
-            sinks.write_archive(found, archive)
-            fresh = journal.new_candidates(journal.candidates(found), records_jsonl(spark, f"{store}/part-*")).cache()
-            n = keep_first(fresh, ["source_url"], ["file", "line"]).count()
-            sinks.append_candidates(fresh, None, store)
-            added += n
-            fresh.unpersist()
-            found.unpersist()
+            added += _harvested(spark, {part: path}, archive, store)
         except Exception as error:
-            failed[number, part] = str(error)
+            failed[part] = str(error)
     return added, failed
 
 
+def _harvested(spark: SparkSession, texts: dict[tuple[str, str], str], archive: str, store: str) -> int:
+    """Archives the records of journal parts and stores their new candidates, whose number is returned."""
+    if not texts:
+        return 0
+    parts = None
+    for (number, part), path in texts.items():
+        one = whole_files(spark, path).withColumns({"journal_no": F.lit(number), "journal_part": F.lit(part)})
+        parts = one if parts is None else parts.unionByName(one)
+    found = journal.journal_records(parts).cache()
+    try:
+        sinks.write_archive(found, archive)
+        fresh = journal.new_candidates(journal.candidates(found), records_jsonl(spark, f"{store}/part-*"))
+        seen = Observation()
+        sinks.append_candidates(keep_first(fresh, ["source_url"], ["file", "line"]).observe(seen, F.count(F.lit(1)).alias("n")), None, store)
+        return seen.get["n"]
+    finally:
+        found.unpersist()
+
+
 def evaluate(engine: Engine, holdout_path: str) -> DataFrame:
     """Hold-out scores of the golden records' predictions."""
     holdout = holdout_rows(engine.spark, driver_json(engine.spark, holdout_path))
