@@ -19,6 +19,12 @@ CONTRACT = {
     "op8": ["doc_id", "size", "source_size", "target", "taken"],
     "op9": ["doc_id", "n_tokens"],
     "op10": ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"],
+    "op13": ["doc_id", "keep_id", "group_size", "kept", "text_sha256"],
+}
+#: Queries that don't give one row for each of a table's.
+OTHERS = {
+    "op11": ["anchor_id", "positive_id", "rank", "negative_id", "positive_score", "negative_score"],
+    "op12": ["lang", "source", "part", "item", "value", "rank"],
 }
 
 
@@ -33,7 +39,7 @@ def rows_of(spark, sf_dir, op):
 
 
 def test_there_is_one_query_for_each():
-    assert [n.split("_")[0] for n in sorted(queries.QUERIES, key=lambda n: int(n[2:].split("_")[0]))] == [f"op{i}" for i in range(1, 11)]
+    assert [n.split("_")[0] for n in sorted(queries.QUERIES, key=lambda n: int(n[2:].split("_")[0]))] == [f"op{i}" for i in range(1, 14)]
 
 
 @pytest.mark.parametrize("op", CONTRACT)
@@ -45,10 +51,16 @@ def test_every_row_is_answered(spark, sf_dir, op):
     assert ids == sorted(r[0] for r in spark.read.parquet(f"{sf_dir}/{source}.parquet").select(key).collect())
 
 
+@pytest.mark.parametrize("op", OTHERS)
+def test_other_columns(spark, sf_dir, op):
+    df = rows_of(spark, sf_dir, op)
+    assert df.columns == OTHERS[op] and df.schema["rank"].dataType.simpleString() == "int" and df.count() > 0
+
+
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))
 def test_query_matches_sql(spark, sf_dir, name):
     db = duckdb.connect()
-    for t in ("documents", "pages"):
+    for t in ("documents", "pages", "embeddings"):
         db.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{sf_dir}/{t}.parquet')")
     df = queries.QUERIES[name](spark, sf_dir)
     columns = sorted(df.columns)
