@@ -146,6 +146,12 @@ def filled(c: Column, kind: str) -> Column:
     return F.coalesce(F.size(c) > 0, F.lit(False)) if kind.startswith("array") else F.coalesce(c.cast("string") != "", F.lit(False))
 
 
+@F.pandas_udf(T.StringType())
+def two_decimals(n: pd.Series) -> pd.Series:
+    """A double's exact value with two decimals, ties to even, as C prints it. Java's formatter rounds half up, and its shortest digits rather than its value."""
+    return n.map("{:.2f}".format)
+
+
 def human_size(n: Column) -> Column:
-    """Bytes in binary GB, two decimals."""
-    return F.format_string("%.2f GB", n / float(1 << 30))
+    """Bytes in binary GB, two decimals; null stays."""
+    return F.when(n.isNotNull(), F.concat(two_decimals(n / float(1 << 30)), F.lit(" GB")))

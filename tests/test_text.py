@@ -1,11 +1,14 @@
 import html
+import math
 import re
 
+import duckdb
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from corvane import catalogue
 from corvane.functions import ipc
 from corvane.functions import text as t
 
@@ -81,3 +84,14 @@ def test_classification_codes(spark, text, codes):
 def test_code_lines(spark):
     lines = ["C22B", "3/04,", "C22B 3/04, H01M 10/54", "1)Anna Name", "C22B 3/04 x", ""]
     assert [g[0] for g in col(spark, lines, ipc.only_codes(F.col("s")))] == [True, True, True, False, False, False]
+
+
+def test_sizes_as_sql_prints_them(spark, tmp_path):
+    # Ties that a binary fraction meets exactly (20971.52 * 10 ** 8 bytes are 1953.125 GB), values whose shortest digits look like ties, and no value.
+    prices = [20971.52, 62914.56, 104857.6, 0.0, 12345.67, -20971.52, 1e9, 1.005 * 10.73741824, 1e25, None, math.nan, math.inf, -math.inf]
+    spark.createDataFrame(list(enumerate(prices)), "o_orderkey long, o_totalprice double").coalesce(1).write.parquet(str(tmp_path / "orders.parquet"))
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW orders AS SELECT * FROM read_parquet('{tmp_path}/orders.parquet/*.parquet')")
+    got = [tuple(r) for r in catalogue.QUERIES["human_size"](spark, str(tmp_path)).orderBy("o_orderkey").collect()]
+    assert got == db.execute(f"{catalogue.ORACLES['human_size']} ORDER BY o_orderkey").fetchall()
+    assert got[0][1] == "1953.12 GB" and got[9][1] is None
