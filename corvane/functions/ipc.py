@@ -11,6 +11,8 @@ GROUP = r"^(\d{1,4}/\d{2,6})\z"
 COMPACT = r"^:?([A-H]\d{2}[A-Z])(\d{1,4}/\d{2,6})\z"
 #: Fixed width: subclass, four digits of group, six of subgroup.
 LONG = r"^:?([A-H]\d{2}[A-Z])(\d{4})(\d{6})\z"
+#: How any of these begins; the fold passes over other tokens.
+CODELIKE = r"^(:?[A-H]\d{2}[A-Z]|\d{1,4}/)"
 INLINE = r"([A-H]\d{2}[A-Z])(?U:\s)+(\d{1,4}/\d{2,6})"
 PUBLISHED = r"^[A-Z]\d{2}[A-Z]?\d+/\d+"
 
@@ -31,7 +33,7 @@ def ipc_codes(text: Column) -> Column:
     fold has not met them.
     """
     nothing = F.lit(None).cast("string")
-    parts = F.filter(F.split(F.coalesce(text, F.lit("")), r"(?U)[\s\x1c-\x1f,]+", -1), lambda t: t != "")
+    parts = F.filter(F.split(F.coalesce(text, F.lit("")), r"(?U)[\s\x1c-\x1f,]+", -1), lambda t: t.rlike(CODELIKE))
     start = F.struct(nothing.alias("open"), F.array().cast("array<string>").alias("out"))
     let_out = lambda a: F.when(a["open"].isNull(), a["out"]).otherwise(F.array_append(a["out"], a["open"]))
 

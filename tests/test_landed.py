@@ -4,6 +4,7 @@ import io
 import json
 import random
 
+import pyarrow.fs as pafs
 import pytest
 import regex
 from pyspark.sql import functions as F
@@ -99,3 +100,20 @@ def test_unknown_sources_raise(spark, tmp_path):
         spark.read.format("csir_nml").load(str(tmp_path / "no_such")).count()
     (tmp_path / "c.html").write_text(CARDS)
     assert spark.read.format("landed").option("source", "csir_nml").load(str(tmp_path)).columns == ["file", "line", "value"]
+
+
+def test_many_splits_are_few_tasks(spark, tmp_path):
+    (tmp_path / "a.html").write_text(CARDS * 500)
+    (tmp_path / "b.html").write_text("x" * 9 + CARDS)
+    sizes = [(tmp_path / n).stat().st_size for n in ("a.html", "b.html")]
+    parts = landed.Batch("csir_nml", str(tmp_path), 11).partitions()
+    assert sum(-(-n // 11) for n in sizes) > 10_000 and len(parts) <= landed.TASKS + 2
+    # Every byte is in one task, and the pieces are those of one split.
+    assert [(p.value[2], p.value[3]) for p in parts if p.value[1].endswith("b.html")][-1][1] == sizes[1]
+    assert all(p.value[3] == q.value[2] for p, q in zip(parts, parts[1:]) if p.value[1] == q.value[1])
+    got = lambda ps: [r for p in ps for b in landed.read_split("csir_nml", p) for r in zip(*b.to_pydict().values())]
+    assert got(parts) == got(landed.Batch("csir_nml", str(tmp_path), 1 << 30).partitions()) != []
+    assert landed.read(spark, "csir_nml", str(tmp_path), 11).count() == landed.read(spark, "csir_nml", str(tmp_path)).count() >= 1000
+    # Tasks are no longer than a split may be by itself.
+    big = landed.splits([pafs.FileInfo("/x", pafs.FileType.File, size=1 << 44)], "/x", 50_000, False)
+    assert max(p.value[3] - p.value[2] for p in big) <= landed.SPLIT_BYTES
