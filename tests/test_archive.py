@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from corvane.operators import archive
+from corvane.plans import jobs
 
 
 def made(folder):
@@ -69,3 +70,18 @@ def test_paths_that_leave_the_folder(spark, tmp_path):
         with pytest.raises(ValueError, match="leaves the folder"):
             archive.restore(spark.createDataFrame([(path, 0, hashlib.sha256(b"").hexdigest(), bytearray())], archive.BLOCKS), str(tmp_path / "out"))
     assert archive.restore(spark.createDataFrame([], archive.BLOCKS), str(tmp_path / "out")) == 0
+
+
+def test_manifest_of_files_of_any_size(spark, tmp_path):
+    sizes = made(tmp_path / "data")
+    want = {n: hashlib.sha256(d).hexdigest() for n, d in contents(tmp_path / "data", sizes).items()}
+    got = lambda: {r.path: r.sha256 for r in jobs.backup_manifest(spark, str(tmp_path / "data")).collect()}
+    # What a row can't hold, for the limit of 2 GB.
+    limit = "spark.sql.sources.binaryFile.maxLength"
+    spark.conf.set(limit, 1_000)
+    try:
+        assert got() == want and len(want) == 6
+    finally:
+        spark.conf.unset(limit)
+    spark.sparkContext._jsc.hadoopConfiguration().set("fs.viewfs.mounttable.away.link./in", f"file://{tmp_path}")
+    assert {r.path: r.sha256 for r in jobs.backup_manifest(spark, "viewfs://away/in/data").collect()} == want
