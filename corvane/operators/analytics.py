@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+from itertools import groupby
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -11,6 +16,8 @@ from corvane.schemas import KINDS, RESEARCH_KINDS
 
 #: Organisations of a block: two blocks of a cell meet at a time, so that no key makes more than about BLOCK ** 2 pairs.
 BLOCK = 1000
+#: Ids of a piece of a digest's text.
+PIECE_IDS = 100
 #: Cells of a word of a bitmap. A word is never negative.
 WORD_BITS = 62
 
@@ -169,3 +176,48 @@ def org_partners(records: DataFrame, org: str) -> DataFrame:
     """(org, n): the organisations that one filed with, and on how many records."""
     own = records.where(F.array_contains("orgs", org)).select(F.explode(F.array_distinct("orgs")).alias("org"))
     return own.where(F.col("org") != org).groupBy("org").agg(F.count("*").alias("n"))
+
+
+def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(org, first, last, n, ids): runs of sorted (org, doc_id), their ids joined by commas."""
+    for batch in batches:
+        out = []
+        for org, run in groupby(zip(*(c.to_pylist() for c in batch.columns), strict=True), lambda r: r[0]):
+            ids = [r[1] for r in run]
+            for part in (ids[k : k + PIECE_IDS] for k in range(0, len(ids), PIECE_IDS)):
+                said = [x for x in part if x is not None]
+                out.append((org, part[0], part[-1], len(part), ",".join(said) if said else None))
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.string(), pa.string(), pa.string(), pa.int64(), pa.string()), strict=True)], ["org", "first", "last", "n", "ids"])
+
+
+def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(org, record_count, ids) of sorted pieces, whose text streams by."""
+    rows = (r for batch in batches for r in zip(*(batch.column(c).to_pylist() for c in ("org", "n", "ids")), strict=True))
+    for org, run in groupby(rows, lambda r: r[0]):
+        md5, count, gap = hashlib.md5(), 0, b""
+        for _, n, ids in run:
+            count += n
+            if ids is not None:
+                md5.update(gap + ids.encode())
+                gap = b","
+        yield pa.RecordBatch.from_pydict({"org": [org], "record_count": pa.array([count], pa.int64()), "ids": [md5.hexdigest()]})
+
+
+def org_digests(records: DataFrame, asked: DataFrame, path: str) -> DataFrame:
+    """(name, org, record_count, ids, co_orgs) for asked(name, org): org_profile() of several organisations in one pass, ids being the MD5 of the sorted record ids, joined by commas.
+
+    The records asked for are written under a path. Ranges of ids are sorted
+    apart; an MD5 goes from front to back, so that one task has an
+    organisation's sorted text, of which it holds no more than a batch.
+    """
+    wanted = F.array(*[F.lit(r["org"]) for r in asked.select("org").distinct().collect()])
+    each = records.select("doc_id", "orgs", F.explode(F.array_intersect("orgs", wanted)).alias("org"))
+    each.write.mode("overwrite").parquet(path)
+    each = records.sparkSession.read.schema(each.schema).parquet(path)
+    pieces = each.select("org", "doc_id").orderBy("org", "doc_id").mapInArrow(_pieces, "org string, first string, last string, n long, ids string")
+    # Pieces that begin with the same id are told apart by their last.
+    digests = pieces.repartition("org").sortWithinPartitions("org", "first", "last").mapInArrow(_digests, "org string, record_count long, ids string")
+    others = each.select("org", F.explode("orgs").alias("o")).where("o <> org").groupBy("org").agg(F.array_sort(F.collect_set("o")).alias("co_orgs"))
+    out = asked.join(digests, "org", "left").join(others, "org", "left")
+    return out.select("name", "org", F.coalesce("record_count", F.lit(0)).alias("record_count"), F.coalesce("ids", F.md5(F.lit(""))).alias("ids"), F.coalesce("co_orgs", F.expr("cast(array() as array<string>)")).alias("co_orgs"))

@@ -82,6 +82,11 @@ class Engine:
         one = self.spark.createDataFrame([(name,)], "name string")
         return analytics.org_profile(self.records, resolved(one, self.index).first()["org"], ORDER)
 
+    def org_digests(self, names: list[str], path: str) -> DataFrame:
+        """The profiles of the organisations that names resolve to, with a digest of their record ids, however many those are. Their records are written under a path."""
+        asked = resolved(self.spark.createDataFrame([(n,) for n in names], "name string"), self.index).select("name", "org")
+        return analytics.org_digests(self.records, asked, path)
+
     def matrix(self) -> DataFrame:
         return analytics.matrix(self.records)
 

@@ -89,3 +89,20 @@ def test_search_by_blocks_stops_early(spark, tmp_path, size):
         if size == 7 and q == "w1 w2 w2 rare":
             assert 0 < found.blocks_read < found.blocks
     assert index.top("?!", 3).hits == [] and index.hits("w1", 2).columns == ["doc_id", "score", "rank"]
+
+
+def test_organisations_digests_without_a_list_of_ids(spark, tmp_path, monkeypatch):
+    r = random.Random(9)
+    rows = [(f"A{r.randint(0, 400)}" if k % 50 else None, r.sample(["a", "b", "c", "d"], r.randint(0, 3)), "", 0, k) for k in range(900)] + [("same", ["a"], "", 0, k) for k in range(250)]
+    records = spark.createDataFrame(rows, "doc_id string, orgs array<string>, file string, tier int, line int").repartition(7)
+    names = {"x": "a", "y": "b", "z": "a", "none": "nobody"}
+    asked = spark.createDataFrame(list(names.items()), "name string, org string")
+    monkeypatch.setattr(analytics, "PIECE_IDS", 7)
+    out = analytics.org_digests(records, asked, str(tmp_path / "orgs"))
+    got = {x.name: tuple(x)[1:] for x in out.collect()}
+    # No step gathers an organisation's ids in a row; only its partners are listed.
+    assert "collect_list" not in out._jdf.queryExecution().optimizedPlan().toString()
+    for name, org in names.items():
+        want = analytics.org_profile(records, org, ["tier", "file", "line"]).select("org", "record_count", F.md5(F.array_join(F.array_sort("record_ids"), ",")), "co_orgs").first()
+        assert got[name] == tuple(want)
+    assert got["none"][1] == 0 and got["x"][1] > 400
