@@ -92,10 +92,22 @@ LISTINGS_SQL = f"""WITH {ORDERS}, i(n, id, name) AS (VALUES {", ".join(f"({n}, '
 SELECT id AS source_id, name AS applicants, 'rd' AS kind, 'http://lab.example/' || k AS source_url, 'Plan "' || k || '"' AS title, p AS abstract, day AS filing_date FROM o JOIN i ON k % 4 = n"""
 
 
-def card_pages(spark, sf, n: int) -> DataFrame:
-    """A quarter of the orders as cards of an institution's pages."""
+def cards(spark, sf, n: int) -> tuple[DataFrame, Column]:
+    """A quarter of the orders, and the card of each on an institution's pages."""
     card = text('<div class="project"> <a href="http://lab.example/', F.col("k"), '">Plan &quot;', F.col("k"), '&quot;</a>\n<span class="date"> ', F.col("day"), '</span> <p class="desc">', F.col("p"), "\n</p> </div>")
-    return pages_of(orders(spark, sf).where(F.col("k") % 4 == n), "c", card)
+    return orders(spark, sf).where(F.col("k") % 4 == n), card
+
+
+def card_pages(spark, sf, n: int) -> DataFrame:
+    """The cards as pages, one for each customer."""
+    rows, card = cards(spark, sf, n)
+    return pages_of(rows, "c", card)
+
+
+def card_file(spark, sf, n: int, name: str) -> str:
+    """A folder of files that the cards stand in one after another, as those of pages would, without a shuffle that made pages first."""
+    rows, card = cards(spark, sf, n)
+    return landed_file(spark, rows.select(card.alias("value")), name)
 
 
 def landed_file(spark, pages: DataFrame, name: str) -> str:
@@ -109,7 +121,7 @@ def landed_listings(spark, sf):
     """Cards of large files that are read by splits of 50,000 bytes, each institution as a format."""
     out = None
     for n, (source, _) in enumerate(INSTITUTES):
-        part = landed.read(spark, source, landed_file(spark, card_pages(spark, sf, n), source), 50_000, fetched_at=FETCHED)
+        part = landed.read(spark, source, card_file(spark, sf, n, source), 50_000, fetched_at=FETCHED)
         out = part if out is None else out.unionByName(part)
     return joined(out, "applicants").select("source_id", "applicants", "kind", "source_url", "title", "abstract", "filing_date")
 

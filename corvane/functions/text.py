@@ -6,6 +6,8 @@ import html
 import re
 
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -18,10 +20,13 @@ LINES = "\r\n|[\n\x0b\x0c\r\x1c-\x1e\x85\u2028\u2029]"
 WORDISH = r"[\p{L}\p{N}_]"
 
 
-@F.pandas_udf(T.StringType())
-def decode_references(text: pd.Series) -> pd.Series:
+@F.arrow_udf(T.StringType())
+def decode_references(text: pa.Array) -> pa.Array:
     """HTML character references decoded; the one text rule that no built-in has."""
-    return text.map(lambda x: html.unescape(x) if x is not None and "&" in x else x)
+    held = pc.fill_null(pc.match_substring(text, "&"), False)
+    if not pc.any(held).as_py():
+        return text
+    return pc.replace_with_mask(text, held, pa.array([html.unescape(x) for x in text.filter(held).to_pylist()], text.type))
 
 
 def squeeze(c: Column) -> Column:

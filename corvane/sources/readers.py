@@ -25,7 +25,10 @@ WORKS = (
 )
 # The markup of bibliographic blocks and of project cards.
 BIBLIO = r'(?s)<div class="biblio" data-docid="([^"]+)">(.*?)</div>\s*(?=<div|\z)'
-CARD = r'(?s)<div class="project">\s*<a href="([^"]+)">(.*?)</a>\s*<span class="date">(.*?)</span>\s*<p class="desc">(.*?)</p>\s*</div>'
+# A part of a card runs to where its end first stands: as any text may follow, a later end never matches where the first does not.
+CARD = r'(?s)<div class="project">\s*<a href="([^"]+)">' + "".join(
+    rf'([^<]*+(?:<(?!{end[1:]})[^<]*+)*+){end}' for end in (r'</a>\s*<span class="date">', r'</span>\s*<p class="desc">', r"</p>\s*</div>")
+)
 
 #: Institutions whose listing pages are read alike: source and the organisation that stands for the applicant.
 LISTINGS = {"csir_nml": "CSIR-NML", "csir_immt": "CSIR-IMMT", "jnarddc": "JNARDDC", "dst_serb": "DST-SERB"}
@@ -64,11 +67,11 @@ def inner_span(block: Column, css_class: str) -> Column:
     return t.clean_text(F.regexp_extract(block, rf'(?s)<span class="{css_class}">(.*?)</span>', 1))
 
 
-def finish(df: DataFrame, source_id: str, kind: str, source_url_hint: str = "", fetched_at: str | None = None) -> DataFrame:
-    """Records cleaned and given the defaults of their source: its id, kind, the hint for a missing address, and today's date."""
+def finish(df: DataFrame, source_id: str, kind: str, source_url_hint: str = "", fetched_at: str | None = None, clean: tuple[str, ...] = ()) -> DataFrame:
+    """Records cleaned and given the defaults of their source: its id, kind, the hint for a missing address, and today's date. Lists named in clean are so already."""
     have = set(df.columns)
     text = [c for c in ("title", "abstract", "source_url", "legal_status") if c in have]
-    lists = [c for c in ("applicants", "inventors", "ipc_codes") if c in have]
+    lists = [c for c in ("applicants", "inventors", "ipc_codes") if c in have and c not in clean]
     today = F.lit(fetched_at) if fetched_at else F.date_format(F.current_date(), "yyyy-MM-dd")
     none = F.lit(None).cast("string")
     df = df.withColumns({c: t.clean_text(F.col(c)) for c in text} | {c: t.clean_list(F.col(c)) for c in lists})
@@ -144,14 +147,15 @@ def card_records(pages: DataFrame, organisation: str | None) -> DataFrame:
     """Project cards of pages(file, value); the institution is the only applicant."""
     found = exploded(pages, matches(F.col("value"), CARD, ["u", "t", "d", "p"]), "m")
     who = F.array(F.lit(organisation)) if organisation else F.array().cast("array<string>")
+    # References of a date are decoded here and by finish, at once: white space is squeezed after both, as no reference holds any.
     return found.select(
-        "file", "line", F.col("m.u").alias("source_url"), F.col("m.t").alias("title"), F.col("m.p").alias("abstract"), t.clean_text(F.col("m.d")).alias("filing_date"), who.alias("applicants")
+        "file", "line", F.col("m.u").alias("source_url"), F.col("m.t").alias("title"), F.col("m.p").alias("abstract"), t.decode_references(F.col("m.d")).alias("filing_date"), who.alias("applicants")
     )
 
 
 def listing(source_id: str) -> Callable[..., DataFrame]:
     def read(spark: SparkSession, path: str, **given) -> DataFrame:
-        return finish(card_records(whole_files(spark, path), LISTINGS[source_id]), source_id, "rd", **given)
+        return finish(card_records(whole_files(spark, path), LISTINGS[source_id]), source_id, "rd", clean=("applicants",), **given)
 
     read.__doc__ = f"Project cards of {LISTINGS[source_id]}."
     return read

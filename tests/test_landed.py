@@ -3,12 +3,14 @@
 import io
 import json
 import random
+import time
 
 import pyarrow.fs as pafs
 import pytest
 import regex
 from pyspark.sql import functions as F
 
+from corvane import catalogue, catalogue_formats
 from corvane.sources import journal, landed, readers
 from test_sources import BIBLIO, CARDS, EXPORT, JOURNAL, TORN
 
@@ -138,3 +140,41 @@ def test_listing_pages_by_splits(spark, tmp_path, monkeypatch):
         raw = page.encode()
         got = [p for at in range(0, len(raw), 17) for p in landed.pieces(io.BytesIO(raw), at, min(len(raw), at + 17), landed.ENDS["journal_listing"], True)]
         assert got == list(landed.pieces(io.BytesIO(raw), 0, len(raw), landed.ENDS["journal_listing"], True)) and len(got) == 6
+
+
+def test_small_splits_fill_a_task(spark, tmp_path):
+    (tmp_path / "a.html").write_bytes(b"x" + CARDS.encode().replace(b"</a>", b" \xff\xe9 \xc3\xa9</a>", 1) * 2000)
+    batch = landed.Batch("csir_nml", str(tmp_path), 500).partitions()
+    stream = landed.Stream("csir_nml", str(tmp_path), 500)
+    for parts in (batch, stream.partitions(stream.initialOffset(), stream.latestOffset())):
+        assert (tmp_path / "a.html").stat().st_size > 500 * 2 * landed.TASKS and len(parts) == 1
+    # Adjoining pieces are one buffer; bytes that are not UTF-8 are replaced within their piece.
+    text = (tmp_path / "a.html").read_bytes()
+    want = [(at, raw.decode("utf-8", "replace")) for at, raw in whole(text, landed.MARKS["csir_nml"])]
+    assert [(r["line"], r["value"]) for b in landed.read_split("csir_nml", batch[0]) for r in b.to_pylist()] == want
+
+
+def test_cards_go_to_python_once(spark, tmp_path):
+    (tmp_path / "c.html").write_text(CARDS)
+    assert landed.read(spark, "csir_nml", str(tmp_path))._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython [") == 1
+
+
+@pytest.mark.parametrize("name", ["landed_listings"])
+def test_cards_land_without_a_shuffle(spark, sf_dir, name, monkeypatch):
+    plans, write = [], catalogue_formats.landed_file
+    monkeypatch.setattr(catalogue_formats, "landed_file", lambda spark, pages, name: plans.append(pages._jdf.queryExecution().executedPlan().toString()) or write(spark, pages, name))
+    assert catalogue.QUERIES[name](spark, sf_dir).count() == spark.read.parquet(f"{sf_dir}/orders.parquet").count()
+    assert len(plans) == 4 and not any("Exchange" in p for p in plans)
+
+
+def test_cards_without_an_end_take_linear_time(spark):
+    started = '<div class="project"> <a href="u">'
+    page = started + '</a> <span class="date">' * 40_000 + " x " + started + 'T &amp;amp; <b>t</b></a>\n<span class="date"> &amp;nbsp;2024&amp;#45;01-02 </span> <p class="desc">a</p> <p>b\n</p> </div>'
+    at = time.time()
+    got = readers.finish(readers.card_records(spark.createDataFrame([("f", page), ("g", page.split(" x ")[0])], "file string, value string"), " X &amp;  Y "), "csir_nml", "rd").select("file", "title", "abstract", "filing_date", "applicants").collect()
+    assert time.time() - at < 30
+    # A card that lacks its end takes that of a later one, as any text may stand between.
+    assert [(r.file, r.abstract, r.applicants) for r in got] == [("f", "a</p> <p>b", ["X & Y"])]
+    # References of a date are decoded twice.
+    card = spark.createDataFrame([("f", page.split(" x ")[1])], "file string, value string")
+    assert [(r.title, r.filing_date) for r in readers.finish(readers.card_records(card, "X"), "csir_nml", "rd").collect()] == [("T &amp; <b>t</b>", "2024-01-02")]
