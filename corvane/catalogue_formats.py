@@ -128,13 +128,17 @@ def landed_listings(spark, sf):
 
 @query(LISTINGS_SQL)
 def landed_stream(spark, sf):
-    """The same as streams: one batch job for each institution, run twice, of which the second has nothing to read."""
+    """The same as streams: one batch job for each institution, all at once, run twice, of which the second has nothing to read."""
+    places = {source: (card_file(spark, sf, n, source), scratch(spark, "stream")) for n, (source, _) in enumerate(INSTITUTES)}
+    for _ in range(2):
+        running = []
+        for source, (path, base) in places.items():
+            rows = joined(landed.stream(spark, source, path, 50_000, fetched_at=FETCHED), "applicants").select("source_id", "applicants", "kind", "source_url", "title", "abstract", "filing_date")
+            running.append(rows.writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start())
+        for one in running:
+            one.awaitTermination()
     out = None
-    for n, (source, _) in enumerate(INSTITUTES):
-        pages, base = landed_file(spark, card_pages(spark, sf, n), source), scratch(spark, "stream")
-        for _ in range(2):
-            rows = joined(landed.stream(spark, source, pages, 50_000, fetched_at=FETCHED), "applicants").select("source_id", "applicants", "kind", "source_url", "title", "abstract", "filing_date")
-            rows.writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    for _, base in places.values():
         part = spark.read.schema(rows.schema).parquet(f"{base}/out")
         out = part if out is None else out.unionByName(part)
     return out

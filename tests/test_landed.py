@@ -159,7 +159,7 @@ def test_cards_go_to_python_once(spark, tmp_path):
     assert landed.read(spark, "csir_nml", str(tmp_path))._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython [") == 1
 
 
-@pytest.mark.parametrize("name", ["landed_listings"])
+@pytest.mark.parametrize("name", ["landed_listings", "landed_stream"])
 def test_cards_land_without_a_shuffle(spark, sf_dir, name, monkeypatch):
     plans, write = [], catalogue_formats.landed_file
     monkeypatch.setattr(catalogue_formats, "landed_file", lambda spark, pages, name: plans.append(pages._jdf.queryExecution().executedPlan().toString()) or write(spark, pages, name))
